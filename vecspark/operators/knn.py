@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vecspark.functions import bits, dense, sparse
@@ -23,9 +24,8 @@ from vecspark.operators.kernels import Metric, metric_of
 from vecspark.types import as_col
 
 # Queries travel with the tasks up to these sizes.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 8192
 BROADCAST_BYTES = 64 << 20
-SMALL_ROWS = 1024
 # Block sizes when both sides are large.
 BASE_BLOCK = 1 << 16
 QUERY_BLOCK = 1 << 13
@@ -74,17 +74,10 @@ def take_nearest(df: DataFrame, k: int, by: list[str], id: str, order: str = "di
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bounded_arrow(df: DataFrame, vec: str | None = None) -> pa.Table | None:
+def bounded_arrow(df: DataFrame) -> pa.Table | None:
     """The rows as an Arrow table when they are few and small, else None."""
-    table = df.limit(SMALL_ROWS + 1).toArrow()
-    if table.num_rows <= SMALL_ROWS:
-        return table if table.nbytes <= BROADCAST_BYTES else None
-    row_bytes = max(1, table.nbytes // table.num_rows)
-    room = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
-    if room <= SMALL_ROWS:
-        return None
-    table = df.limit(room + 1).toArrow()
-    return table if table.num_rows <= room and table.nbytes <= BROADCAST_BYTES else None
+    table = df.limit(BROADCAST_ROWS + 1).toArrow()
+    return table if table.num_rows <= BROADCAST_ROWS and table.nbytes <= BROADCAST_BYTES else None
 
 
 def _key_pairs(on) -> list[tuple[str, str]]:
@@ -95,31 +88,57 @@ def _key_pairs(on) -> list[tuple[str, str]]:
     return [(c, c) if isinstance(c, str) else tuple(c) for c in on]
 
 
-def _key(df: DataFrame, cols: list[str]) -> Column:
-    """One comparable key column; NULL when any part is NULL."""
-    if not cols:
-        return F.lit(0).cast("bigint")
-    if len(cols) == 1 and isinstance(df.schema[cols[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.col(cols[0]).cast("bigint")
-    whole = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(cols)]))
-    anything_null = F.lit(False)
-    for c in cols:
-        anything_null = anything_null | F.col(c).isNull()
+def _is_integer(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _joined(parts: list[Column]) -> Column:
+    """Several key parts as one text, NULL when any part is NULL."""
+    whole = F.to_json(F.array(*[p.cast("string") for p in parts]))
+    anything_null = parts[0].isNull()
+    for p in parts[1:]:
+        anything_null = anything_null | p.isNull()
     return F.when(~anything_null, whole)
 
 
+def _keys(base: DataFrame, queries: DataFrame, pairs) -> tuple[Column, Column]:
+    """The key of a base row, and the keys a query accepts as an array.
+
+    A query column may be an array (the lists to probe): any element matches.
+    """
+    if not pairs:
+        return F.lit(0).cast("bigint"), F.array(F.lit(0).cast("bigint"))
+    left = [F.col(b) for b, _ in pairs]
+    types = [queries.schema[q].dataType for _, q in pairs]
+    many = [i for i, t in enumerate(types) if isinstance(t, T.ArrayType)]
+    if len(many) > 1:
+        raise ValueError("only one query key may be an array")
+
+    def element(i):
+        return types[i].elementType if i in many else types[i]
+
+    plain = len(pairs) == 1 and _is_integer(base.schema[pairs[0][0]].dataType) and _is_integer(element(0))
+
+    def combine(parts):
+        return parts[0].cast("bigint") if plain else _joined(parts)
+
+    def right(value=None):
+        return combine([value if i in many else F.col(q) for i, (_, q) in enumerate(pairs)])
+
+    accepted = F.transform(F.col(pairs[many[0]][1]), right) if many else F.array(right())
+    return combine(left), F.filter(accepted, lambda x: x.isNotNull())
+
+
 def _sides(base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls):
     if query_id in (base_id, *payload):
         raise ValueError(f"the query id column needs a name of its own, not {query_id!r}")
     pairs = _key_pairs(on)
-    left = base.select(_key(base, [b for b, _ in pairs]).alias("__key"), as_col(base_vec).alias("__vec"),
-                       F.col(base_id), *[F.col(c) for c in payload])
-    right = queries.select(_key(queries, [q for _, q in pairs]).alias("__key"), as_col(query_vec).alias("__vec"),
-                           F.col(query_id))
-    if dict(left.dtypes)["__key"] != dict(right.dtypes)["__key"]:
-        left, right = (d.withColumn("__key", F.col("__key").cast("string")) for d in (left, right))
+    key, accepted = _keys(base, queries, pairs)
+    left = base.select(key.alias("__key"), as_col(base_vec).alias("__vec"), F.col(base_id),
+                       *[F.col(c) for c in payload])
+    right = queries.select(accepted.alias("__keys"), as_col(query_vec).alias("__vec"), F.col(query_id))
     if pairs:
-        left, right = left.filter(F.col("__key").isNotNull()), right.filter(F.col("__key").isNotNull())
+        left = left.filter(F.col("__key").isNotNull())
     if nulls == "skip":
         left = left.filter(F.col("__vec").isNotNull())
     return left, right, pairs
@@ -131,32 +150,30 @@ def _candidate_schema(base, queries, base_id, query_id, payload) -> T.StructType
 
 
 class _QuerySide:
-    """The queries of a task: vectors as one block, grouped by key."""
+    """The queries of a task: vectors as one block, and which queries accept a key."""
 
     def __init__(self, metric: Metric, table: pa.Table):
         table = table.combine_chunks()
-        order = pa.compute.sort_indices(table, sort_keys=[("__key", "ascending")])
-        table = table.take(order).combine_chunks()
-        self.metric, self.ids = metric, table.column(2)
-        keys = table.column("__key").to_numpy()
-        missing = table.column("__vec").is_null().to_numpy()
-        self.missing = missing
-        self.rows = np.flatnonzero(~missing)
-        self.block = kernels.block_from_arrow(metric, table.column("__vec").filter(pa.array(~missing)))
-        self.keys, first = np.unique(keys, return_index=True)
-        last = np.append(first[1:], len(keys))
-        self.slices = {k: (a, b) for k, a, b in zip(self.keys.tolist(), first.tolist(), last.tolist())}
-        self.place = np.cumsum(~missing) - 1
+        self.ids = table.column(2)
+        self.missing = table.column("__vec").is_null().to_numpy()
+        self.place = np.cumsum(~self.missing) - 1
+        self.block = kernels.block_from_arrow(metric, table.column("__vec").filter(pa.array(~self.missing)))
+        keys = table.column("__keys").combine_chunks()
+        owner = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+        flat = keys.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        values, first = np.unique(flat[order], return_index=True)
+        self.spans = dict(zip(values.tolist(), zip(first.tolist(), np.append(first[1:], len(flat)).tolist())))
 
     def __len__(self):
         return len(self.missing)
 
     def of(self, key):
-        """Query positions of a key: those with a vector, and those without."""
-        if key not in self.slices:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        span = np.arange(*self.slices[key])
-        return span[~self.missing[span]], span[self.missing[span]]
+        """Queries that accept a key: those with a vector, and those without."""
+        first, last = self.spans.get(key, (0, 0))
+        who = self.owner[first:last]
+        return who[~self.missing[who]], who[self.missing[who]]
 
     def take(self, positions):
         return self.block.take(self.place[positions])
@@ -289,7 +306,7 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 def _scan(left: DataFrame, table: pa.Table, metric: Metric, schema: T.StructType, keyed: bool, make, flush: bool):
     """Pass the base once by queries that travel with the tasks."""
     if keyed:
-        keys = table.column("__key").unique().to_pylist()
+        keys = pa.compute.unique(table.column("__keys").combine_chunks().flatten()).to_pylist()
         if len(keys) <= LITERAL_KEYS:
             left = left.filter(F.col("__key").isin(keys))
         else:
@@ -318,6 +335,7 @@ def _scan(left: DataFrame, table: pa.Table, metric: Metric, schema: T.StructType
 def _blocks(left: DataFrame, right: DataFrame, id: str, query_id: str, metric: Metric, schema: T.StructType, make,
             flush: bool):
     """Meet block by block: each key is cut into bounded base blocks and query blocks."""
+    right = right.select(F.explode("__keys").alias("__key"), "__vec", query_id)
     per_key = (left.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
                .join(right.groupBy("__key").agg(F.count(F.lit(1)).alias("__m")), "__key")
                .select("__key", F.ceil(F.col("__n") / BASE_BLOCK).cast("int").alias("__nb"),
@@ -339,7 +357,10 @@ def _blocks(left: DataFrame, right: DataFrame, id: str, query_id: str, metric: M
         wanted = _arrow_schema(schema)
         if base_block.num_rows == 0 or query_block.num_rows == 0:
             return wanted.empty_table()
-        side = _QuerySide(metric, query_block.drop_columns(extra))
+        asked_here = query_block.drop_columns(extra).combine_chunks()
+        each = pa.ListArray.from_arrays(pa.array(np.arange(asked_here.num_rows + 1, dtype=np.int32)),
+                                        asked_here.column("__key").combine_chunks())
+        side = _QuerySide(metric, asked_here.set_column(0, "__keys", each))
         state = make(metric, side)
         for batch in base_block.drop_columns(extra).to_batches(max_chunksize=10_000):
             state.add(batch)

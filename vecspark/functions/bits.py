@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vecspark.types import BIT_SQL, as_col, null_of, raising
+from vecspark.types import BIT_SQL, as_col, let, null_of, raising
 
 
 def _pack(flags: Column) -> Column:
     """Pack an array of booleans, first flag in the highest bit of the first word."""
+    return let(flags, _packed)
+
+
+def _packed(flags: Column) -> Column:
     size = F.size(flags)
     word_no = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / 64).cast("int"))
                      ).otherwise(F.array().cast("array<int>"))

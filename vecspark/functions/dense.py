@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vecspark.types import FLOAT_MAX, MAX_DIM, VECTOR_SQL, as_col, null_of, raising
+from vecspark.types import FLOAT_MAX, MAX_DIM, VECTOR_SQL, as_col, let, null_of, raising
 
 NAN = float("nan")
 
@@ -20,14 +20,15 @@ def float_range(x: Column) -> Column:
             .when(x < -FLOAT_MAX, F.lit(float("-inf"))).otherwise(x))
 
 
-def paired(a, b, body: Column, sql_type: str, kind: str = "vector") -> Column:
-    """``body`` when both vectors have one length; NULL when either is NULL; else an error."""
-    a, b = as_col(a), as_col(b)
-    message = F.concat(F.lit(f"different {kind} dimensions "), F.size(a).cast("string"),
-                       F.lit(" and "), F.size(b).cast("string"))
-    return (F.when(a.isNull() | b.isNull(), null_of(sql_type))
-            .when(F.size(a) == F.size(b), body)
-            .otherwise(raising(message, sql_type)))
+def paired(a, b, body, sql_type: str, kind: str = "vector") -> Column:
+    """``body(a, b)`` when both vectors have one length; NULL when either is NULL; else an error."""
+    def checked(a, b):
+        message = F.concat(F.lit(f"different {kind} dimensions "), F.size(a).cast("string"),
+                           F.lit(" and "), F.size(b).cast("string"))
+        return (F.when(a.isNull() | b.isNull(), null_of(sql_type))
+                .when(F.size(a) == F.size(b), body(a, b))
+                .otherwise(raising(message, sql_type)))
+    return let(as_col(a), lambda x: let(as_col(b), lambda y: checked(x, y)))
 
 
 def fold(values: Column) -> Column:
@@ -39,13 +40,16 @@ def _sum_pairs(a, b, term) -> Column:
                            lambda x, y: term(x.cast("double"), y.cast("double"))))
 
 
+def _ranged_sum(a, b, term) -> Column:
+    return let(_sum_pairs(a, b, term), float_range)
+
+
 def _sum_of(a, term) -> Column:
     return fold(F.transform(as_col(a), lambda x: term(x.cast("double"))))
 
 
 def l2_squared_distance(a, b, kind: str = "vector") -> Column:
-    total = _sum_pairs(a, b, lambda x, y: (x - y) * (x - y))
-    return paired(a, b, float_range(total), "double", kind)
+    return paired(a, b, lambda a, b: _ranged_sum(a, b, lambda x, y: (x - y) * (x - y)), "double", kind)
 
 
 def l2_distance(a, b, kind: str = "vector") -> Column:
@@ -53,7 +57,7 @@ def l2_distance(a, b, kind: str = "vector") -> Column:
 
 
 def inner_product(a, b, kind: str = "vector") -> Column:
-    return paired(a, b, float_range(_sum_pairs(a, b, lambda x, y: x * y)), "double", kind)
+    return paired(a, b, lambda a, b: _ranged_sum(a, b, lambda x, y: x * y), "double", kind)
 
 
 def negative_inner_product(a, b, kind: str = "vector") -> Column:
@@ -62,21 +66,21 @@ def negative_inner_product(a, b, kind: str = "vector") -> Column:
 
 def clamped_cosine(product: Column, norm_a2: Column, norm_b2: Column) -> Column:
     """Cosine distance from a product and two squared norms; NaN without a direction."""
-    ratio = float_range(product) / F.sqrt(float_range(norm_a2) * float_range(norm_b2))
-    return (F.when((norm_a2 == 0) | (norm_b2 == 0), F.lit(NAN))
-            .when(F.isnan(ratio), F.lit(NAN))
-            .otherwise(1 - F.least(F.greatest(ratio, F.lit(-1.0)), F.lit(1.0))))
+    def measure(s):
+        scale = float_range(s["na"]) * float_range(s["nb"])
+        ratio = F.when(scale > 0, float_range(s["ip"]) / F.sqrt(scale)).otherwise(F.lit(NAN))
+        return let(ratio, lambda r: F.when(F.isnan(r), F.lit(NAN)).otherwise(
+            1 - F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))
+    return let(F.struct(product.alias("ip"), norm_a2.alias("na"), norm_b2.alias("nb")), measure)
 
 
 def cosine_distance(a, b, kind: str = "vector") -> Column:
-    body = clamped_cosine(_sum_pairs(a, b, lambda x, y: x * y),
-                          _sum_of(a, lambda x: x * x), _sum_of(b, lambda x: x * x))
-    return paired(a, b, body, "double", kind)
+    return paired(a, b, lambda a, b: clamped_cosine(
+        _sum_pairs(a, b, lambda x, y: x * y), _sum_of(a, lambda x: x * x), _sum_of(b, lambda x: x * x)), "double", kind)
 
 
 def l1_distance(a, b, kind: str = "vector") -> Column:
-    total = _sum_pairs(a, b, lambda x, y: F.abs(x - y))
-    return paired(a, b, float_range(total), "double", kind)
+    return paired(a, b, lambda a, b: _ranged_sum(a, b, lambda x, y: F.abs(x - y)), "double", kind)
 
 
 def spherical_distance(a, b, kind: str = "vector") -> Column:
@@ -93,27 +97,22 @@ def vector_norm(a) -> Column:
     return F.sqrt(_sum_of(a, lambda x: x * x))
 
 
-def _checked(values: Column, source: Column, sql_type: str = VECTOR_SQL,
-             limit: float = FLOAT_MAX) -> Column:
+def _checked(values: Column, limit: float = FLOAT_MAX, sql_type: str = VECTOR_SQL) -> Column:
     """Overflow check over the elements of an arithmetic result."""
-    bad = F.exists(values, lambda x: (F.abs(x) > limit) | F.isnan(x))
-    return (F.when(source.isNull(), null_of(sql_type))
-            .when(bad, raising(F.lit("value out of range: overflow"), sql_type))
-            .otherwise(values.cast(sql_type)))
+    return let(values, lambda v: F.when(
+        F.exists(v, lambda x: (F.abs(x) > limit) | F.isnan(x)),
+        raising(F.lit("value out of range: overflow"), sql_type)).otherwise(v.cast(sql_type)))
 
 
 def l2_normalize(a) -> Column:
     """Unit vector as floats; the zero vector stays as it is."""
-    a = as_col(a)
-    norm = vector_norm(a)
-    scaled = F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
-    return _checked(scaled, a)
+    return let(as_col(a), lambda a: let(vector_norm(a), lambda norm: _checked(F.transform(
+        a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))))))
 
 
 def _elementwise(a, b, term, kind: str) -> Column:
-    a, b = as_col(a), as_col(b)
-    out = F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double")))
-    return paired(a, b, _checked(out, a), VECTOR_SQL, kind)
+    return paired(a, b, lambda a, b: _checked(
+        F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double")))), VECTOR_SQL, kind)
 
 
 def vector_add(a, b) -> Column:
@@ -125,12 +124,12 @@ def vector_sub(a, b) -> Column:
 
 
 def vector_mul(a, b) -> Column:
-    a, b = as_col(a), as_col(b)
-    lost = F.exists(F.zip_with(a, b, lambda x, y: (x != 0) & (y != 0)
-                               & ((x.cast("double") * y.cast("double")).cast("float") == 0)), lambda z: z)
-    product = _elementwise(a, b, lambda x, y: x * y, "vector")
-    return (F.when((F.size(a) == F.size(b)) & lost,
-                   raising(F.lit("value out of range: underflow"), VECTOR_SQL)).otherwise(product))
+    def product(a, b):
+        lost = F.exists(F.zip_with(a, b, lambda x, y: (x != 0) & (y != 0)
+                                   & ((x.cast("double") * y.cast("double")).cast("float") == 0)), lambda z: z)
+        out = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+        return F.when(lost, raising(F.lit("value out of range: underflow"), VECTOR_SQL)).otherwise(_checked(out))
+    return paired(a, b, product, VECTOR_SQL, "vector")
 
 
 def vector_concat(a, b, kind: str = "vector") -> Column:
@@ -143,7 +142,11 @@ def vector_concat(a, b, kind: str = "vector") -> Column:
 
 def subvector(a, start, count, kind: str = "vector") -> Column:
     """1-based slice; the end is fixed before a start below 1 is moved up to 1."""
-    a, start, count = as_col(a), as_col(start), as_col(count)
+    start, count = as_col(start), as_col(count)
+    return let(as_col(a), lambda a: _slice(a, start, count, kind))
+
+
+def _slice(a: Column, start: Column, count: Column, kind: str) -> Column:
     low, width = start.cast("bigint"), count.cast("bigint")
     first = F.greatest(low, F.lit(1).cast("bigint"))
     stop = F.least(low + width, F.size(a).cast("bigint") + 1)

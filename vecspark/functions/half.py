@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from vecspark.functions import dense
-from vecspark.types import HALF_MAX, HALF_OVERFLOW, VECTOR_SQL, as_col, null_of, raising, vec_check
+from vecspark.types import HALF_MAX, HALF_OVERFLOW, VECTOR_SQL, as_col, let, null_of, raising, vec_check
 
 
 def round_half(x: Column) -> Column:
     """Nearest half value, ties to even; magnitudes past the range become infinite."""
-    x = x.cast("double")
-    exponent = F.greatest(F.floor(F.log2(F.abs(x)) + 1e-12).cast("double"), F.lit(-14.0))
-    unit = F.pow(F.lit(2.0), exponent - 10)
-    rounded = F.bround(x / unit) * unit
-    return (F.when((x == 0) | F.isnan(x), x)
-            .when(F.abs(x) >= HALF_OVERFLOW, F.when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
-            .when(rounded == 0, x * 0.0)  # keeps the sign
-            .otherwise(rounded))
+    def nearest(x):
+        exponent = F.greatest(F.floor(F.log2(F.abs(x)) + 1e-12).cast("double"), F.lit(-14.0))
+        rounded = let(F.pow(F.lit(2.0), exponent - 10), lambda unit: F.bround(x / unit) * unit)
+        return (F.when((x == 0) | F.isnan(x), x)
+                .when(F.abs(x) >= HALF_OVERFLOW, F.signum(x) * F.lit(float("inf")))
+                # the product with zero keeps the sign of a value that vanishes
+                .otherwise(let(rounded, lambda r: F.when(r == 0, x * 0.0).otherwise(r))))
+    return let(x.cast("double"), nearest)
 
 
 def to_half(v) -> Column:
     """Round every element to half; a value past the range is an error."""
-    v = as_col(v)
-    over = F.filter(v, lambda x: F.abs(x) >= HALF_OVERFLOW)
-    message = F.concat(F.lit('"'), F.format_number(F.get(over, F.lit(0)), "0.######"),
-                       F.lit('" is out of range for type halfvec'))
-    return (F.when(v.isNull(), null_of(VECTOR_SQL))
-            .when(F.size(over) > 0, raising(message, VECTOR_SQL))
-            .otherwise(F.transform(v, lambda x: round_half(x).cast("float"))))
+    def convert(v):
+        over = F.get(F.filter(v, lambda x: F.abs(x) >= HALF_OVERFLOW), F.lit(0))
+        message = F.concat(F.lit('"'), F.regexp_replace(over.cast("string"), r"\.0$", ""),
+                           F.lit('" is out of range for type halfvec'))
+        return (F.when(v.isNull(), null_of(VECTOR_SQL)).when(over.isNotNull(), raising(message, VECTOR_SQL))
+                .otherwise(F.transform(v, lambda x: round_half(x).cast("float"))))
+    return let(as_col(v), convert)
 
 
 def half_check(v, dim: int | None = None) -> Column:
@@ -73,15 +73,20 @@ def l2_normalize(a) -> Column:
 
 
 def _arith(a, b, term, underflow: bool = False) -> Column:
-    a, b = as_col(a), as_col(b)
-    out = F.zip_with(a, b, lambda x, y: round_half(term(x.cast("double"), y.cast("double"))))
-    body = F.when(F.exists(out, lambda x: F.abs(x) > HALF_MAX),
-                  raising(F.lit("value out of range: overflow"), VECTOR_SQL))
-    if underflow:
-        lost = F.exists(F.zip_with(a, b, lambda x, y: (x != 0) & (y != 0)
-                                   & (round_half(x.cast("double") * y.cast("double")) == 0)), lambda z: z)
-        body = body.when(lost, raising(F.lit("value out of range: underflow"), VECTOR_SQL))
-    return dense.paired(a, b, body.otherwise(out.cast(VECTOR_SQL)), VECTOR_SQL, "halfvec")
+    def combine(a, b):
+        out = F.zip_with(a, b, lambda x, y: round_half(term(x.cast("double"), y.cast("double"))))
+        return let(out, lambda out: ranged(a, b, out))
+
+    def ranged(a, b, out):
+        body = F.when(F.exists(out, lambda x: F.abs(x) > HALF_MAX),
+                      raising(F.lit("value out of range: overflow"), VECTOR_SQL))
+        if underflow:
+            nonzero = F.zip_with(a, b, lambda x, y: (x != 0) & (y != 0))
+            lost = F.exists(F.zip_with(nonzero, out, lambda on, z: on & (z == 0)), lambda z: z)
+            body = body.when(lost, raising(F.lit("value out of range: underflow"), VECTOR_SQL))
+        return body.otherwise(out.cast(VECTOR_SQL))
+
+    return dense.paired(a, b, combine, VECTOR_SQL, "halfvec")
 
 
 def halfvec_add(a, b) -> Column:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from vecspark.functions.dense import clamped_cosine, float_range, fold
-from vecspark.types import MAX_DIM, SPARSE_SQL, VECTOR_SQL, as_col, null_of, raising
+from vecspark.types import MAX_DIM, SPARSE_SQL, VECTOR_SQL, as_col, let, null_of, raising
 
 
 def _entries(v: Column) -> Column:
     return F.map_from_arrays(v["indices"], v["values"])
 
 
-def _paired(a: Column, b: Column, body: Column) -> Column:
-    message = F.concat(F.lit("different sparsevec dimensions "), a["dim"].cast("string"),
-                       F.lit(" and "), b["dim"].cast("string"))
-    return (F.when(a.isNull() | b.isNull(), null_of("double"))
-            .when(a["dim"] == b["dim"], body).otherwise(raising(message, "double")))
+def _paired(a, b, body) -> Column:
+    def checked(a, b):
+        message = F.concat(F.lit("different sparsevec dimensions "), a["dim"].cast("string"),
+                           F.lit(" and "), b["dim"].cast("string"))
+        return (F.when(a.isNull() | b.isNull(), null_of("double"))
+                .when(a["dim"] == b["dim"], body(a, b)).otherwise(raising(message, "double")))
+    return let(as_col(a), lambda x: let(as_col(b), lambda y: checked(x, y)))
 
 
 def _sum_merged(a: Column, b: Column, term) -> Column:
@@ -28,8 +30,7 @@ def _sum_merged(a: Column, b: Column, term) -> Column:
 
 
 def l2_squared_distance(a, b) -> Column:
-    a, b = as_col(a), as_col(b)
-    return _paired(a, b, float_range(_sum_merged(a, b, lambda x, y: (x - y) * (x - y))))
+    return _paired(a, b, lambda a, b: let(_sum_merged(a, b, lambda x, y: (x - y) * (x - y)), float_range))
 
 
 def l2_distance(a, b) -> Column:
@@ -37,8 +38,7 @@ def l2_distance(a, b) -> Column:
 
 
 def inner_product(a, b) -> Column:
-    a, b = as_col(a), as_col(b)
-    return _paired(a, b, float_range(_sum_merged(a, b, lambda x, y: x * y)))
+    return _paired(a, b, lambda a, b: let(_sum_merged(a, b, lambda x, y: x * y), float_range))
 
 
 def negative_inner_product(a, b) -> Column:
@@ -50,14 +50,11 @@ def _square_sum(a: Column) -> Column:
 
 
 def cosine_distance(a, b) -> Column:
-    a, b = as_col(a), as_col(b)
-    product = _sum_merged(a, b, lambda x, y: x * y)
-    return _paired(a, b, clamped_cosine(product, _square_sum(a), _square_sum(b)))
+    return _paired(a, b, lambda a, b: clamped_cosine(_sum_merged(a, b, lambda x, y: x * y), _square_sum(a), _square_sum(b)))
 
 
 def l1_distance(a, b) -> Column:
-    a, b = as_col(a), as_col(b)
-    return _paired(a, b, float_range(_sum_merged(a, b, lambda x, y: F.abs(x - y))))
+    return _paired(a, b, lambda a, b: let(_sum_merged(a, b, lambda x, y: F.abs(x - y)), float_range))
 
 
 def l2_norm(a) -> Column:
@@ -66,58 +63,46 @@ def l2_norm(a) -> Column:
 
 def _build(dim: Column, pairs: Column) -> Column:
     """Struct from ``array<struct<i,x>>``, in index order."""
-    ordered = F.array_sort(pairs)
-    return F.struct(dim.alias("dim"), F.transform(ordered, lambda p: p["i"]).alias("indices"),
-                    F.transform(ordered, lambda p: p["x"]).alias("values")).cast(SPARSE_SQL)
+    return let(F.array_sort(pairs), lambda ordered: F.struct(
+        dim.alias("dim"), F.transform(ordered, lambda p: p["i"]).alias("indices"),
+        F.transform(ordered, lambda p: p["x"]).alias("values")).cast(SPARSE_SQL))
 
 
 def l2_normalize(a) -> Column:
     """Unit length; entries that vanish in single precision are dropped."""
-    a = as_col(a)
-    norm = l2_norm(a)
-    scaled = F.zip_with(a["indices"], a["values"], lambda i, x: F.struct(
-        i.alias("i"), (x.cast("double") / norm).cast("float").alias("x")))
-    kept = F.filter(scaled, lambda p: p["x"] != 0)
-    return F.when(a.isNull(), null_of(SPARSE_SQL)).when(norm > 0, _build(a["dim"], kept)).otherwise(a)
+    def unit(a, norm):
+        scaled = F.zip_with(a["indices"], a["values"], lambda i, x: F.struct(
+            i.alias("i"), (x.cast("double") / norm).cast("float").alias("x")))
+        kept = F.filter(scaled, lambda p: p["x"] != 0)
+        return F.when(a.isNull(), null_of(SPARSE_SQL)).when(norm > 0, _build(a["dim"], kept)).otherwise(a)
+    return let(as_col(a), lambda a: let(l2_norm(a), lambda norm: unit(a, norm)))
 
 
 def dense_to_sparse(v) -> Column:
-    v = as_col(v)
-    pairs = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.cast("float").alias("x"))),
-                     lambda p: p["x"] != 0)
-    return F.when(v.isNull(), null_of(SPARSE_SQL)).otherwise(_build(F.size(v), pairs))
+    def convert(v):
+        pairs = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.cast("float").alias("x"))),
+                         lambda p: p["x"] != 0)
+        return F.when(v.isNull(), null_of(SPARSE_SQL)).otherwise(_build(F.size(v), pairs))
+    return let(as_col(v), convert)
 
 
 def sparse_to_dense(v, kind: str = "vector") -> Column:
-    v = as_col(v)
-    entries = _entries(v)
-    body = F.transform(F.sequence(F.lit(0), v["dim"] - 1),
-                       lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0).cast("float")))
-    return (F.when(v.isNull(), null_of(VECTOR_SQL))
-            .when(v["dim"] > MAX_DIM, raising(F.lit(f"{kind} cannot have more than {MAX_DIM} dimensions"),
-                                              VECTOR_SQL))
-            .otherwise(body))
+    def convert(v):
+        body = let(_entries(v), lambda entries: F.transform(
+            F.sequence(F.lit(0), v["dim"] - 1),
+            lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0).cast("float"))))
+        return (F.when(v.isNull(), null_of(VECTOR_SQL))
+                .when(v["dim"] > MAX_DIM, raising(F.lit(f"{kind} cannot have more than {MAX_DIM} dimensions"),
+                                                  VECTOR_SQL))
+                .otherwise(body))
+    return let(as_col(v), convert)
 
 
 def sparsevec_cmp(a, b) -> Column:
-    """-1, 0 or 1 in the order the dense forms would have.
-
-    Only the first index where the two differ matters, so the merged entries
-    are sorted by index and the first unequal pair is compared.
-    """
-    a, b = as_col(a), as_col(b)
-
-    def value(x):
-        return F.coalesce(x, F.lit(0.0).cast("float"))
-
-    both = F.array_distinct(F.concat(a["indices"], b["indices"]))
-    shared = F.filter(F.array_sort(both), lambda i: i < F.least(a["dim"], b["dim"]))
-    ea, eb = _entries(a), _entries(b)
-    signs = F.transform(shared, lambda i: F.signum(
-        value(F.try_element_at(ea, i)).cast("double") - value(F.try_element_at(eb, i)).cast("double")))
-    first = F.get(F.filter(signs, lambda s: s != 0), F.lit(0)).cast("int")
-    by_dim = F.signum((a["dim"] - b["dim"]).cast("double")).cast("int")
-    return (F.when(a.isNull() | b.isNull(), null_of("int")).otherwise(F.coalesce(first, by_dim)))
+    """-1, 0 or 1 in the order the dense forms would have: the order of the sort keys."""
+    def compare(x, y):
+        return F.when(x.isNull() | y.isNull(), null_of("int")).when(x < y, -1).when(x > y, 1).otherwise(0)
+    return let(sparse_sort_key(a), lambda x: let(sparse_sort_key(b), lambda y: compare(x, y)))
 
 
 def sparse_sort_key(v) -> Column:

@@ -7,6 +7,8 @@ rounded to half), ``sparsevec(n)`` is a struct with 0-based sorted indices and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F, types as T
 
 # Fixed limits of the vector types.
@@ -39,6 +41,16 @@ def as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` uses it.
+
+    A one-element array binds the value to a lambda variable; plain columns need no binding.
+    """
+    if re.fullmatch(r"Column<'[\w.]+(\(\))?'>", repr(value)):
+        return body(value)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def null_of(sql_type: str) -> Column:
     return F.lit(None).cast(sql_type)
 
@@ -82,9 +94,9 @@ def vector_problem(v, dim: int | None = None, kind: str = "vector") -> Column:
 
 def vec_check(v, dim: int | None = None, kind: str = "vector") -> Column:
     """The vector itself, or an error when it breaks a rule of its type."""
-    v = as_col(v)
-    problem = vector_problem(v, dim, kind)
-    return F.when(problem.isNull(), v).otherwise(raising(problem, VECTOR_SQL))
+    return let(as_col(v), lambda v: let(
+        vector_problem(v, dim, kind),
+        lambda problem: F.when(problem.isNull(), v).otherwise(raising(problem, VECTOR_SQL))))
 
 
 def sparse_problem(v, dim: int | None = None) -> Column:
@@ -112,6 +124,16 @@ def sparse_problem(v, dim: int | None = None) -> Column:
 
 
 def sparse_check(v, dim: int | None = None) -> Column:
-    v = as_col(v)
-    problem = sparse_problem(v, dim)
-    return F.when(problem.isNull(), v).otherwise(raising(problem, SPARSE_SQL))
+    return let(as_col(v), lambda v: let(
+        sparse_problem(v, dim),
+        lambda problem: F.when(problem.isNull(), v).otherwise(raising(problem, SPARSE_SQL))))
+
+
+def bits_problem(b, length: int | None = None) -> Column:
+    b = as_col(b)
+    out = (F.when(b.isNull(), null_of("string"))
+           .when(F.size(b["words"]) != F.ceil(b["len"] / 64), F.lit("bit string words do not match its length")))
+    if length is not None:
+        out = out.when(b["len"] != length, F.concat(F.lit("bit string length "), b["len"].cast("string"),
+                                                    F.lit(f" does not match type bit({length})")))
+    return out.otherwise(null_of("string"))

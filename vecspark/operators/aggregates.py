@@ -31,12 +31,13 @@ def _sums(df: DataFrame, vec: str, by: list[str], dim: int | None, style: str) -
     size = F.size("__v")
     if dim is not None and dim <= UNROLL_DIM:
         declared_dim(dim)
-        parts = [F.sum(F.get("__v", F.lit(i)).cast("double")).alias(f"__s{i}") for i in range(dim)]
+        # one expression text instead of one call per element keeps planning short
+        cells = ", ".join(f"sum(double(get(__v, {i})))" for i in range(dim))
         grouped = rows.groupBy(*by).agg(F.count("__v").alias("__count"), F.min(size).alias("__low"),
-                                        F.max(size).alias("__high"), *parts)
+                                        F.max(size).alias("__high"), F.expr(f"array({cells})").alias("__cells"))
         odd = F.when(F.col("__low") != dim, F.col("__low")).otherwise(F.col("__high"))
         wrong = (F.col("__low") != dim) | (F.col("__high") != dim)
-        sums = F.array(*[F.col(f"__s{i}") for i in range(dim)])
+        sums = F.col("__cells")
         message = _mismatch(odd, F.lit(dim), style)
     else:
         cells = rows.select(*by, F.size("__v").alias("__n"), F.posexplode_outer("__v").alias("__pos", "__x"))

@@ -45,16 +45,25 @@ def distance(metric, a, b) -> Column:
     return DISTANCES[metric_of(metric).name](a, b)
 
 
-def knn(df: DataFrame, query: Column, k: int, metric="l2", vec="embedding", id="id") -> DataFrame:
+def _measured(df: DataFrame, query, metric, vec: str) -> DataFrame:
+    """Add ``distance`` to one query: a constant, or the single value of a one-row DataFrame."""
+    if not isinstance(query, DataFrame):
+        return df.withColumn("distance", distance(metric, vec, query))
+    # a subquery may not stand inside a higher-order function, so it becomes a column first
+    asked = df.withColumn("__query", query.scalar())
+    return asked.withColumn("distance", distance(metric, vec, F.col("__query"))).drop("__query")
+
+
+def knn(df: DataFrame, query: Column | DataFrame, k: int, metric="l2", vec="embedding", id="id") -> DataFrame:
     """``ORDER BY distance LIMIT k`` for one query; NULL vectors last, ties by id."""
-    return (df.withColumn("distance", distance(metric, vec, query))
-              .orderBy(F.col("distance").asc_nulls_last(), F.col(id)).limit(k))
+    return (_measured(df, query, metric, vec)
+            .orderBy(F.col("distance").asc_nulls_last(), F.col(id)).limit(k))
 
 
-def range_search(df: DataFrame, query: Column, below: float | None = None, above: float | None = None,
+def range_search(df: DataFrame, query: Column | DataFrame, below: float | None = None, above: float | None = None,
                  metric="l2", vec="embedding") -> DataFrame:
     """All rows closer than ``below`` and farther than ``above``, in no order."""
-    out = df.withColumn("distance", distance(metric, vec, query))
+    out = _measured(df, query, metric, vec)
     if below is not None:
         out = out.filter(F.col("distance") < below)
     if above is not None:

@@ -501,6 +501,14 @@ class IvfIndex:
         return range_join(self.entries(), reach, below, metric=self.metric, base_id=self.id, base_vec=self.vec,
                           query_id=query_id, query_vec="__asked", on=[("list_id", "lists")], payload=payload)
 
+    def comparisons(self, queries: DataFrame, probes: int, *, query_id: str = "query_id",
+                    query_vec: str = "embedding") -> float:
+        """Rows measured per query, on average: the sizes of the lists it visits."""
+        asked = self._asked(queries, query_id, query_vec, [], probes)
+        visited = asked.select(query_id, F.explode("lists").alias("list_id")).join(self.list_sizes(), "list_id")
+        total, count = visited.agg(F.sum("rows"), F.countDistinct(query_id)).first()
+        return float(total or 0) / max(1, count)
+
     def list_sizes(self) -> DataFrame:
         """Rows and mean distance to the centre per list, to see skew."""
         return self.entries().groupBy("list_id").agg(F.count(F.lit(1)).alias("rows"),

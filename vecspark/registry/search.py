@@ -160,8 +160,8 @@ def knn_join_blocks(spark, sf):
 
 _LINES = """li AS (SELECT l_orderkey * 8 + l_linenumber AS vec_id, l_suppkey, l_returnflag,
   [l_quantity::FLOAT, (l_discount * 100)::INT::FLOAT, (l_tax * 100)::INT::FLOAT, l_linenumber::FLOAT] AS embedding FROM lineitem),
- sup AS (SELECT s_suppkey AS query_id, s_nationkey AS flag,
-  [(s_suppkey % 50)::FLOAT, (s_nationkey % 11)::FLOAT, (s_suppkey % 9)::FLOAT, (1 + s_nationkey % 7)::FLOAT] AS qv FROM supplier)"""
+ sup AS (SELECT l_suppkey AS query_id, [avg(embedding[1])::FLOAT, avg(embedding[2])::FLOAT, avg(embedding[3])::FLOAT,
+  avg(embedding[4])::FLOAT] AS qv FROM li GROUP BY l_suppkey)"""
 
 
 def lineitem_features(spark, sf):
@@ -173,10 +173,9 @@ def lineitem_features(spark, sf):
 
 
 def supplier_queries(spark, sf):
-    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
-    return table(spark, sf, "supplier").select(
-        key.alias("query_id"), nation.alias("flag"),
-        F.array(*[f.cast("float") for f in (key % 50, nation % 11, key % 9, 1 + nation % 7)]).alias("qv"))
+    """The mean features of every supplier's lines."""
+    mean = vec_avg(lineitem_features(spark, sf), "embedding", "l_suppkey", 4, "qv")
+    return mean.withColumnRenamed("l_suppkey", "query_id")
 
 
 @query("knn_join_lineitem", sql_knn_join("l2", K, _LINES, "li", "sup", query_id="q.query_id", query_vec="q.qv"))

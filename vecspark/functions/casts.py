@@ -6,7 +6,7 @@ from pyspark.sql import Column
 
 from vecspark.functions.half import half_check, to_half
 from vecspark.functions.sparse import dense_to_sparse, sparse_to_dense
-from vecspark.types import as_col, sparse_check, vec_check
+from vecspark.types import as_col, vec_check
 
 
 def to_vector(array, dim: int | None = None) -> Column:
@@ -19,7 +19,8 @@ def to_halfvec(array, dim: int | None = None) -> Column:
 
 
 def to_sparsevec(array, dim: int | None = None) -> Column:
-    return sparse_check(dense_to_sparse(vec_check(as_col(array).cast("array<float>"))), dim)
+    # what a checked dense vector becomes is a valid sparse one
+    return dense_to_sparse(vec_check(as_col(array).cast("array<float>"), dim))
 
 
 def sparse_to_vector(v, dim: int | None = None) -> Column:

@@ -1,7 +1,7 @@
 """Block distance kernels that run inside Spark tasks.
 
-A block is a batch of vectors as numpy arrays. ``screen`` gives cheap distances
-of every base row to every query with a bound on their error, ``exact`` gives
+A block is a batch of vectors as numpy arrays. ``screen`` gives cheap ranks
+of every base row for every query with a bound on their error, ``exact`` gives
 full-precision distances of chosen pairs. ``nearest_in_block`` screens, keeps all
 pairs that could still be among the k nearest, and measures only those.
 """
@@ -78,7 +78,7 @@ def _float_range(x):
 class DenseBlock:
     def __init__(self, data: np.ndarray):
         self.data = data
-        self._norms = None
+        self._norms = self._units = None
 
     @classmethod
     def from_arrow(cls, column) -> DenseBlock:
@@ -106,23 +106,43 @@ class DenseBlock:
         if len(self) and len(other) and self.data.shape[1] != other.data.shape[1]:
             raise ValueError(f"different vector dimensions {self.data.shape[1]} and {other.data.shape[1]}")
 
+    @property
+    def units(self) -> np.ndarray:
+        """Rows of length 1; rows without a direction stay zero."""
+        if self._units is None:
+            length = np.sqrt(_float_range(self.norms))[:, None]
+            self._units = np.divide(self.data, length, out=np.zeros_like(self.data),
+                                    where=(length > 0) & np.isfinite(length))
+        return self._units
+
     def screen(self, metric: Metric, queries: DenseBlock):
+        """Rough ranks less a constant per query: ``rough, slack, constant``.
+
+        One matrix product gives them whole; for L2 the squared norm of a row is a
+        further column of the matrix, and that of the query is the constant.
+        """
         q, x = queries.data, self.data
-        dim = x.shape[1]
+        zero = np.zeros(len(q))
         if metric.name == "l1":
             out = np.empty((len(q), len(x)))
             for i in range(len(q)):
                 out[i] = np.abs(x - q[i]).sum(axis=1)
-            return out, np.zeros(len(q))
-        ip = q @ x.T
-        unit = 4 * (dim + 4) * np.finfo(np.float64).eps
-        top = self.norms.max(initial=0.0)
+            return out, zero, zero
+        unit = 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps
+        slack = unit * (queries.norms + self.norms.max(initial=0.0))
         if metric.name == "l2":
-            return queries.norms[:, None] + self.norms[None, :] - 2 * ip, unit * (queries.norms + top)
+            left = np.concatenate([-2 * q, np.ones((len(q), 1))], axis=1)
+            right = np.concatenate([x, self.norms[:, None]], axis=1)
+            return left @ right.T, slack, queries.norms
         if metric.name == "ip":
-            return -ip, unit * (queries.norms + top)
-        return (_cosine(_float_range(ip), _float_range(queries.norms)[:, None], _float_range(self.norms)[None, :]),
-                np.full(len(q), unit))
+            return -q @ x.T, slack, zero
+        rough = -queries.units @ self.units.T
+        aimless, aimless_q = (~(np.abs(b.units).max(axis=1, initial=0.0) > 0) for b in (self, queries))
+        if aimless.any():
+            rough[:, aimless] = np.inf
+        if aimless_q.any():
+            rough[aimless_q] = np.inf
+        return rough, np.full(len(q), unit), np.ones(len(q))
 
     def exact(self, metric: Metric, rows, queries: DenseBlock, qrows):
         """Ranking distances of the pairs ``(rows[i], qrows[i])``."""
@@ -186,8 +206,8 @@ class BitBlock:
 
     def screen(self, metric: Metric, queries: BitBlock):
         shape = (len(queries), len(self))
-        return (self._distance(metric, shape, lambda w: (queries.words[:, w, None], self.words[None, :, w])),
-                np.zeros(len(queries)))
+        zero = np.zeros(len(queries))
+        return (self._distance(metric, shape, lambda w: (queries.words[:, w, None], self.words[None, :, w])), zero, zero)
 
     def exact(self, metric: Metric, rows, queries: BitBlock, qrows):
         return self._distance(metric, (len(rows),), lambda w: (self.words[rows, w], queries.words[qrows, w]))
@@ -261,24 +281,25 @@ class SparseBlock:
             entry = np.repeat(part, count[part])
             inner = np.arange(len(entry)) - np.repeat(ends[part] - count[part] - base, count[part])
             at = low[entry] + inner
-            np.add.at(out, (q_row[at], mine[entry]), term(self.values[entry], q_val[at]))
+            cell = q_row[at] * len(self) + mine[entry]
+            out += np.bincount(cell, weights=term(self.values[entry], q_val[at]), minlength=out.size).reshape(out.shape)
             start = stop
         return out
 
     def screen(self, metric: Metric, queries: SparseBlock):
-        unit = 1e-12
+        unit, zero = 1e-12, np.zeros(len(queries))
         if metric.name == "sparse_l1":
             mine, theirs = self.row_sum(np.abs(self.values)), queries.row_sum(np.abs(queries.values))
-            out = mine[None, :] + theirs[:, None] + self._shared(
-                queries, lambda x, q: np.abs(x - q) - np.abs(x) - np.abs(q))
-            return out, unit * (theirs + mine.max(initial=0.0))
+            out = mine[None, :] + self._shared(queries, lambda x, q: np.abs(x - q) - np.abs(x) - np.abs(q))
+            return out, unit * (theirs + mine.max(initial=0.0)), theirs
         ip = self._shared(queries, lambda x, q: x * q)
         slack = unit * (queries.norms + self.norms.max(initial=0.0))
         if metric.name == "sparse_l2":
-            return queries.norms[:, None] + self.norms[None, :] - 2 * ip, slack
+            return self.norms[None, :] - 2 * ip, slack, queries.norms
         if metric.name == "sparse_ip":
-            return -ip, slack
-        return _cosine(ip, queries.norms[:, None], self.norms[None, :]), np.full(len(queries), unit)
+            return -ip, slack, zero
+        rough = _cosine(_float_range(ip), _float_range(queries.norms)[:, None], _float_range(self.norms)[None, :])
+        return np.where(np.isnan(rough), np.inf, rough), np.full(len(queries), unit), zero
 
     def exact(self, metric: Metric, rows, queries: SparseBlock, qrows):
         out = np.empty(len(rows))
@@ -346,16 +367,18 @@ def nearest_in_block(metric: Metric, base, codes, queries, k: int, limit=None):
     parts = []
     step = max(1, SCREEN_PAIRS // max(1, n))
     for start in range(0, m, step):
-        sub = queries.take(np.arange(start, min(m, start + step)))
-        rough, slack = base.screen(metric, sub)
-        rough = np.where(np.isnan(rough), np.inf, _float_range(rough))
-        slack = np.where(np.isfinite(slack), slack, np.inf)
-        cut = np.full(len(sub), np.inf)
-        if n > k:
-            cut = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        if limit is not None:
-            cut = np.minimum(cut, limit[start:start + len(sub)])
-        qrow, row = np.nonzero(rough <= (cut + 2 * slack)[:, None])
+        sub = queries if step >= m else queries.take(np.arange(start, min(m, start + step)))
+        rough, slack, constant = base.screen(metric, sub)
+        cut = np.full(len(sub), np.inf) if limit is None else limit[start:start + len(sub)] - constant
+        open_ended = np.isinf(cut)
+        if n > k and open_ended.any():
+            # the k-th best of a few rows already bounds the k-th best of all
+            few = rough[open_ended, :max(4 * k, 512)]
+            cut = cut.copy()
+            cut[open_ended] = np.partition(few, min(k, few.shape[1]) - 1, axis=1)[:, min(k, few.shape[1]) - 1] \
+                if few.shape[1] >= k else np.inf
+        far = np.abs(cut) + np.abs(constant) > FLOAT_MAX / 8  # ranks this large become infinite and tie
+        qrow, row = np.nonzero(rough <= np.where(far, np.inf, cut + 2 * slack)[:, None])
         rank = base.exact(metric, row, sub, qrow)
         keep = first_k(qrow, rank, codes[row], k)
         parts.append((row[keep], qrow[keep] + start, rank[keep]))
@@ -378,17 +401,19 @@ def first_k(group, rank, codes, k: int) -> np.ndarray:
 
 
 def within_block(metric: Metric, base, queries, low, high):
-    """Pairs whose distance is in ``[low, high)`` or, with ``low`` open, ``(low, high)``."""
+    """Pairs whose distance lies between ``low`` and ``high``, neither included."""
     base.check(queries)
     n, m = len(base), len(queries)
     parts = []
     step = max(1, SCREEN_PAIRS // max(1, n))
     for start in range(0, m, step):
         sub = queries.take(np.arange(start, min(m, start + step)))
-        rough, slack = base.screen(metric, sub)
+        rough, slack, constant = base.screen(metric, sub)
         top, bottom = _rank_of(metric, high), _rank_of(metric, low)
-        width = (2 * slack)[:, None]
-        qrow, row = np.nonzero((rough <= top + width) & (rough >= bottom - width))
+        inside = rough <= (top - constant + 2 * slack)[:, None]
+        if np.isfinite(bottom):
+            inside &= rough >= (bottom - constant - 2 * slack)[:, None]
+        qrow, row = np.nonzero(inside)
         dist = to_distance(metric, base.exact(metric, row, sub, qrow))
         keep = (dist < high) & (dist > low)
         parts.append((row[keep], qrow[keep] + start, dist[keep]))
@@ -415,7 +440,7 @@ def nearest_center(train: str, rows: DenseBlock, centers: DenseBlock) -> tuple[n
     step = max(1, SCREEN_PAIRS // max(1, len(centers)))
     for start in range(0, len(rows), step):
         part = rows.take(np.arange(start, min(len(rows), start + step)))
-        rough, slack = centers.screen(metric, part)
+        rough, slack, _ = centers.screen(metric, part)
         row, center = np.nonzero(rough <= (rough.min(axis=1) + 2 * slack)[:, None])
         exact = centers.exact(metric, center, part, row)
         keep = first_k(row, exact, center, 1)

@@ -29,6 +29,10 @@ BROADCAST_BYTES = 64 << 20
 # Block sizes when both sides are large.
 BASE_BLOCK = 1 << 16
 QUERY_BLOCK = 1 << 13
+# Up to this many queries per row, pairs are measured one by one.
+DIRECT_PAIRS = 4
+# Inputs of a size between these may come in fewer pieces than there are cores, and moving them is cheap.
+SPREAD_BYTES = (2 << 20, 512 << 20)
 # Distinct keys up to this number become a literal filter on the base scan.
 LITERAL_KEYS = 2000
 
@@ -172,8 +176,9 @@ class _QuerySide:
         flat = keys.flatten().to_numpy(zero_copy_only=False)
         order = np.argsort(flat, kind="stable")
         self.owner = owner[order]
-        values, first = np.unique(flat[order], return_index=True)
-        self.spans = dict(zip(values.tolist(), zip(first.tolist(), np.append(first[1:], len(flat)).tolist())))
+        self.keys, self.first = np.unique(flat[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(flat)))
+        self.spans = dict(zip(self.keys.tolist(), zip(self.first.tolist(), (self.first + self.count).tolist())))
 
     def __len__(self):
         return len(self.missing)
@@ -184,6 +189,13 @@ class _QuerySide:
         who = self.owner[first:last]
         return who[~self.missing[who]], who[self.missing[who]]
 
+    def accepting(self, keys):
+        """How many queries accept each of ``keys``, and where they start in ``owner``."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.count[at], 0), self.first[at]
+
     def take(self, positions):
         return self.block.take(self.place[positions])
 
@@ -225,6 +237,12 @@ class _Nearest:
         def put(r, q, d, is_null):
             rows.append(r), query.append(q), rank.append(d), empty.append(np.full(len(r), is_null))
 
+        keys = batch.column("__key").to_numpy(zero_copy_only=False)
+        count, first = self.side.accepting(keys)
+        if not missing.any() and not self.side.missing.any() and count.sum() <= DIRECT_PAIRS * len(keys):
+            # few queries per row: measure every pair instead of visiting key by key
+            put(*self._direct(block, codes, count, first), False)
+            return self._keep(carried, rows, query, rank, empty)
         for key, members in _batch_parts(batch):
             asked, unasked = self.side.of(_plain(key))
             solid, holes = members[~missing[members]], members[missing[members]]
@@ -240,6 +258,19 @@ class _Nearest:
                     first = lost[np.argsort(codes[lost], kind="stable")[:self.k]]
                     put(np.tile(first, len(wanting)), np.repeat(wanting, len(first)),
                         np.zeros(len(first) * len(wanting)), True)
+        self._keep(carried, rows, query, rank, empty)
+
+    def _direct(self, block, codes, count, first):
+        row = np.repeat(np.arange(len(count)), count)
+        query = self.side.owner[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(row))]
+        if len(row):
+            block.check(self.side.block)
+        rank = block.exact(self.metric, row, self.side.block, query)
+        near = np.flatnonzero(~(rank > self.limit[query]))
+        keep = near[kernels.first_k(query[near], rank[near], codes[row[near]], self.k)]
+        return row[keep], query[keep], rank[keep]
+
+    def _keep(self, carried, rows, query, rank, empty):
         if rows:
             row = np.concatenate(rows)
             self.parts.append((carried.take(pa.array(row)), np.concatenate(query), np.concatenate(rank),
@@ -312,7 +343,8 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _scan(left: DataFrame, table: pa.Table, metric: Metric, schema: T.StructType, keyed: bool, make, flush: bool):
+def _scan(left: DataFrame, table: pa.Table, id: str, metric: Metric, schema: T.StructType, keyed: bool, make,
+          flush: bool):
     """Pass the base once by queries that travel with the tasks."""
     if keyed:
         keys = pa.compute.unique(table.column("__keys").combine_chunks().flatten()).to_pylist()
@@ -338,7 +370,19 @@ def _scan(left: DataFrame, table: pa.Table, metric: Metric, schema: T.StructType
         if not flush:
             yield from state.result(wanted).to_batches(max_chunksize=10_000)
 
-    return left.mapInArrow(run, schema)
+    return _spread(left, id).mapInArrow(run, schema)
+
+
+def _spread(df: DataFrame, id: str) -> DataFrame:
+    """Spread a small input over all cores: few files or row groups make few tasks.
+
+    Large inputs have tasks enough and stay where they are.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    low, high = SPREAD_BYTES
+    if low <= int(str(size)) <= high:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, id)
+    return df
 
 
 def _blocks(left: DataFrame, right: DataFrame, id: str, query_id: str, metric: Metric, schema: T.StructType, make,
@@ -388,7 +432,7 @@ def _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, pay
     if strategy != "blocks":
         table = bounded_arrow(right)
         if table is not None:
-            return _scan(left, table, metric, schema, bool(pairs), make, flush)
+            return _scan(left, table, base_id, metric, schema, bool(pairs), make, flush)
         if strategy == "broadcast":
             raise ValueError("the queries are too large to travel with the tasks")
     return _blocks(left, right, base_id, query_id, metric, schema, make, flush)

@@ -1,7 +1,7 @@
 """Inverted-list index: k-means centres, rows stored by nearest centre, probed search.
 
 An index is a folder: ``entries`` (parquet, by ``part`` and ``list_id``; a part is
-one build or insert), ``centers`` (one small table), ``meta`` (one row) and
+one build or insert), ``centers`` (one small table) and
 ``deleted`` (ids taken out and not yet vacuumed). Centres are bounded by a checked
 size and travel with the tasks; everything else stays in tables.
 """
@@ -358,17 +358,16 @@ class IvfIndex:
         return index
 
     def _save(self):
-        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centers)]
-        self.spark.createDataFrame(rows, "list_id int, center array<double>").coalesce(1) \
-            .write.parquet(f"{self.path}/centers")
         meta = json.dumps({"metric": self.metric.name, "vec": self.vec, "id": self.id, "half": self.half,
                            "partition_by": self.partition_by, "schema": self.schema.jsonValue()})
-        self.spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.parquet(f"{self.path}/meta")
+        rows = [(i, [float(x) for x in c], meta if i == 0 else None) for i, c in enumerate(self.centers)]
+        self.spark.createDataFrame(rows, "list_id int, center array<double>, meta string").coalesce(1) \
+            .write.parquet(f"{self.path}/centers")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IvfIndex:
-        meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
         table = spark.read.parquet(f"{path}/centers").orderBy("list_id").toArrow()
+        meta = json.loads(table.column("meta")[0].as_py())
         return cls(spark, path, metric_of(meta["metric"]), DenseBlock.from_arrow(table.column("center")).data,
                    meta["vec"], meta["id"], T.StructType.fromJson(meta["schema"]), meta["partition_by"], meta["half"])
 
@@ -491,7 +490,7 @@ class IvfIndex:
         if self.metric.name != "l2":
             raise ValueError("lists can be ruled out for the l2 metric only")
         asked = self._asked(queries, query_id, query_vec, [], len(self.centers))
-        centers = self.spark.read.parquet(f"{self.path}/centers")
+        centers = self.spark.read.parquet(f"{self.path}/centers").drop("meta")
         radius = self.stored.groupBy("list_id").agg(F.max("center_distance").alias("__radius"))
         near = (asked.select(query_id, "__asked", F.explode("lists").alias("list_id"))
                 .join(radius.join(centers, "list_id"), "list_id")

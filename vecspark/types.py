@@ -94,9 +94,13 @@ def vector_problem(v, dim: int | None = None, kind: str = "vector") -> Column:
 
 def vec_check(v, dim: int | None = None, kind: str = "vector") -> Column:
     """The vector itself, or an error when it breaks a rule of its type."""
-    return let(as_col(v), lambda v: let(
-        vector_problem(v, dim, kind),
-        lambda problem: F.when(problem.isNull(), v).otherwise(raising(problem, VECTOR_SQL))))
+    def checked(v):
+        # one pass tells good vectors; what is wrong is worked out for bad ones only
+        sound = (F.size(v) >= 1) & (F.size(v) <= MAX_DIM) if dim is None else F.size(v) == declared_dim(dim, kind)
+        broken = F.exists(v, lambda x: ~F.coalesce(F.abs(x) <= FLOAT_MAX, F.lit(False)))
+        return (F.when(v.isNull() | (sound & ~broken), v)
+                .otherwise(raising(vector_problem(v, dim, kind), VECTOR_SQL)))
+    return let(as_col(v), checked)
 
 
 def sparse_problem(v, dim: int | None = None) -> Column:

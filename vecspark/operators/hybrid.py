@@ -37,7 +37,7 @@ def predicate(filters: dict) -> Column:
         op = " ".join(rest).lower() or "="
         if op not in _OPERATORS:
             raise ValueError(f"unknown filter operator {op!r}")
-        out = out & _OPERATORS[op](F.col(name), F.lit(value))
+        out = out & _OPERATORS[op](F.col(name), value)
     return out
 
 

@@ -90,10 +90,16 @@ def half_sum(df: DataFrame, vec: str, by=None, dim: int | None = None, alias: st
 
 
 def vec_from_rows(df: DataFrame, value: str, position: str, by=None, alias: str = "vec") -> DataFrame:
-    """Build a vector from rows, ordered by ``position``; at most 16000 per group."""
+    """Build a vector from rows, ordered by ``position``; more than 16000 per group are an error.
+
+    Groups are counted first, so one that is too large fails before it is gathered.
+    """
     by = _keys(by)
-    cells = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.collect_list(
-        F.struct(F.col(position).alias("p"), F.col(value).cast("float").alias("x"))).alias("__cells"))
-    vec = F.transform(F.array_sort("__cells"), lambda c: c["x"])
-    return cells.select(*by, F.when(F.col("__n") > MAX_DIM, raising(
-        F.lit(f"vector cannot have more than {MAX_DIM} dimensions"), VECTOR_SQL)).otherwise(vec).alias(alias))
+    too_large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > MAX_DIM)
+    rows = df.select(*by, F.col(position).alias("__p"), F.col(value).cast("float").alias("__x"))
+    rows = rows.join(too_large, by, "left") if by else rows.join(too_large, F.lit(True), "left")
+    cell = F.when(F.col("__n").isNotNull(), raising(
+        F.lit(f"vector cannot have more than {MAX_DIM} dimensions"), f"struct<p:{dict(df.dtypes)[position]},x:float>")).otherwise(
+        F.struct(F.col("__p").alias("p"), F.col("__x").alias("x")))
+    cells = rows.groupBy(*by).agg(F.array_sort(F.collect_list(cell)).alias("__cells"))
+    return cells.select(*by, F.transform("__cells", lambda c: c["x"]).alias(alias))

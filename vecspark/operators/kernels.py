@@ -356,6 +356,11 @@ def id_codes(ids) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1]
 
 
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true cells; the flat search is much faster than one by axis."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1] or 1)
+
+
 def nearest_in_block(metric: Metric, base, codes, queries, k: int, limit=None):
     """Pairs ``(row, query, rank)`` holding, per query, its k nearest rows of the block.
 
@@ -378,7 +383,7 @@ def nearest_in_block(metric: Metric, base, codes, queries, k: int, limit=None):
             cut[open_ended] = np.partition(few, min(k, few.shape[1]) - 1, axis=1)[:, min(k, few.shape[1]) - 1] \
                 if few.shape[1] >= k else np.inf
         far = np.abs(cut) + np.abs(constant) > FLOAT_MAX / 8  # ranks this large become infinite and tie
-        qrow, row = np.nonzero(rough <= np.where(far, np.inf, cut + 2 * slack)[:, None])
+        qrow, row = _places(rough <= np.where(far, np.inf, cut + 2 * slack)[:, None])
         rank = base.exact(metric, row, sub, qrow)
         keep = first_k(qrow, rank, codes[row], k)
         parts.append((row[keep], qrow[keep] + start, rank[keep]))
@@ -413,7 +418,7 @@ def within_block(metric: Metric, base, queries, low, high):
         inside = rough <= (top - constant + 2 * slack)[:, None]
         if np.isfinite(bottom):
             inside &= rough >= (bottom - constant - 2 * slack)[:, None]
-        qrow, row = np.nonzero(inside)
+        qrow, row = _places(inside)
         dist = to_distance(metric, base.exact(metric, row, sub, qrow))
         keep = (dist < high) & (dist > low)
         parts.append((row[keep], qrow[keep] + start, dist[keep]))
@@ -441,7 +446,7 @@ def nearest_center(train: str, rows: DenseBlock, centers: DenseBlock) -> tuple[n
     for start in range(0, len(rows), step):
         part = rows.take(np.arange(start, min(len(rows), start + step)))
         rough, slack, _ = centers.screen(metric, part)
-        row, center = np.nonzero(rough <= (rough.min(axis=1) + 2 * slack)[:, None])
+        row, center = _places(rough <= (rough.min(axis=1) + 2 * slack)[:, None])
         exact = centers.exact(metric, center, part, row)
         keep = first_k(row, exact, center, 1)
         best[start:start + len(part)], rank[start:start + len(part)] = center[keep], exact[keep]

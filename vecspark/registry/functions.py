@@ -10,7 +10,7 @@ from vecspark.registry import query
 from vecspark.registry.common import (DIM, PAIRED, embeddings, label_centers, r6, scaled, sql_bits,
                                       sql_cosine, sql_half, sql_ip, sql_l1, sql_l2, sql_r6, table, with_center, SCALED)
 from vecspark.session import scratch_path
-from vecspark.sources.tables import export_text, ingest_text, quality_report, read_vectors, write_vectors
+from vecspark.sources.tables import assign_labels, export_text, ingest_text, quality_report, read_vectors, write_vectors
 from vecspark.types import vec_check
 
 
@@ -146,6 +146,34 @@ def half_arithmetic(spark, sf):
         bits.bits_to_text(bits.binary_quantize(b)).alias("bits"))
 
 
+@query("half_comparisons", f"""{_HALF} SELECT vec_id, a < b AS lt, a = b AS eq,
+  (CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)::INT AS cmp, len(a)::INT AS dims,
+  {sql_r6(f"acos(least(greatest({sql_ip('a', 'b')}, -1), 1)) / pi()")} AS spherical FROM h""")
+def half_comparisons(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    return _halves(spark, sf).select(
+        "vec_id", (a < b).alias("lt"), (a == b).alias("eq"), half.halfvec_cmp(a, b).alias("cmp"),
+        half.vector_dims(a).alias("dims"), r6(half.spherical_distance(a, b)).alias("spherical"))
+
+
+@query("half_normalize", f"""{_HALF}, n AS (SELECT vec_id, list_transform(b, lambda x:
+  (x::DOUBLE / sqrt(list_inner_product(b::DOUBLE[], b::DOUBLE[])))::FLOAT) AS u FROM h)
+  SELECT vec_id, {_sql_summed(f"list_transform(u, lambda x: {sql_half('x')})")} AS value FROM n""")
+def half_normalize(spark, sf):
+    return _halves(spark, sf).select("vec_id", _summed(half.l2_normalize("b")).alias("value"))
+
+
+@query("label_assignment", """SELECT count(*) AS rows, count(quality) AS kept, 0 AS outside FROM documents
+  LEFT JOIN labels USING (doc_id)""")
+def label_assignment(spark, sf):
+    """Documents without a label draw one of 1..12; labelled ones keep theirs."""
+    tagged = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    drawn = assign_labels(tagged.withColumn("tag", F.col("quality")), "tag", 12)
+    wrong = F.when(F.col("quality").isNull() & ~F.col("tag").between(1, 12), 1)
+    return drawn.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("tag") == F.col("quality"), 1)).alias("kept"),
+                     F.count(wrong).cast("int").alias("outside"))
+
+
 # Sparse vectors: embeddings whose small elements are set to zero.
 _THIN = 0.1
 _SPARSE = f"""{PAIRED}, s AS (SELECT vec_id, list_transform(a, lambda x: CASE WHEN abs(x) < {_THIN} THEN 0 ELSE x END) AS a,

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecspark.llm import lines, token_count, token_files
-from vecspark.llm.common import table
+from vecspark.llm import lines, outliers, phrase_index, token_count, token_files, url_filter, warc
+from vecspark.llm.common import stored, table
 from vecspark.session import scratch_path
 
 QUERIES: dict = {}
@@ -29,6 +29,69 @@ def op3(spark, sf_dir):
     return token_files.digests(spark, out)
 
 
+@query("op1_outliers")
+def op1(spark, sf_dir):
+    stats = outliers.stored_statistics(table(spark, sf_dir, "documents"))
+    estimates, _ = stored(outliers.fit(stats), "estimates")
+    return outliers.judge(stats, estimates).select("doc_id", *outliers.BASE, "base_failed", "kept", "distance")
+
+
+_ITEM_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+
+@query("op2_phrase_index", f"""
+WITH i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+ iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, p0, p0 + 9), ' ') AS phrase
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p0 FROM i WHERE len(w) > 0)),
+ d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+ dw AS (SELECT doc_id, p0, k, array_to_string(list_slice(w, p0, p0 + k - 1), ' ') AS phrase
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p0 FROM d, (SELECT DISTINCT k FROM iw))),
+ hit AS (SELECT doc_id, p0, dw.k, item_id FROM dw JOIN iw USING (phrase)),
+ pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+         FROM (SELECT doc_id, unnest(range(p0, p0 + k)) AS p FROM hit) GROUP BY doc_id),
+ its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op2(spark, sf_dir):
+    found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS digest FROM pages),
+ g AS (SELECT b, max(page_id) AS keeper FROM p WHERE octet_length(b) >= 1000 GROUP BY b)
+SELECT p.page_id, octet_length(p.b)::BIGINT AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN g ON p.b = g.b""")
+def op4(spark, sf_dir):
+    out = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), out)
+    return warc.read_archives(spark, out)
+
+
+#: The rules of the query.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+         ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op7_url_filter", rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+ r(rhost, rpath, action) AS (VALUES {', '.join(map(str, RULES))}),
+ f AS (SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS verdict
+       FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)""")
+def op7(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+
+
 @query("op9_token_count")
 def op9(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)

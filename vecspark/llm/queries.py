@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecspark.llm import lines, outliers, phrase_index, token_count, token_files, url_filter, warc
+from vecspark.llm import chunk_bpe, jaccard, lines, outliers, phrase_index, token_count, token_files, url_filter, warc
 from vecspark.llm.common import stored, table
 from vecspark.session import scratch_path
 
@@ -74,6 +74,27 @@ def op4(spark, sf_dir):
     return warc.read_archives(spark, out)
 
 
+@query("op5_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ l AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+   ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+ s AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM l),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
+       GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+ r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id
+FROM l JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) USING (doc_id)""")
+def op5(spark, sf_dir):
+    return jaccard.link_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+@query("op6_chunk_bpe")
+def op6(spark, sf_dir):
+    return chunk_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 #: The rules of the query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]

@@ -58,16 +58,17 @@ def bounds(top: int, num: int, den: int) -> np.ndarray:
 def allocate(least: int, most: int, num: int, den: int) -> tuple[int, int, int]:
     """(segments, one-deletion segments, slack) for sets of ``least`` to ``most`` shingles that link at num / den."""
     differ = (den - num) * 2 * most // (den + num)
-    best = None
+    # without slack, sets with empty segments index those too
+    best = math.inf, differ + 1, 0, 0
     for deletions in range(MOST_DELETION_SEGMENTS + 1):
         for segments in range(max(1, differ + 1 - deletions, deletions), differ + 2 + differ // 2 + 8):
-            load = least / segments
-            empty, single = math.exp(-load), load * math.exp(-load)
+            empty = (1 - 1 / segments) ** least
+            single = least / segments * (1 - 1 / segments) ** (least - 1)
             idle = (segments - deletions) * empty + deletions * (2 * empty + single)
             slack = math.ceil(idle + 3 * math.sqrt(idle)) if idle > 1e-4 and differ else 0
             if segments + deletions >= differ + 1 + slack:
                 cost = segments + deletions * most / segments
-                if best is None or cost < best[0]:
+                if cost < best[0]:
                     best = cost, segments, deletions, slack
                 break
     return best[1:]

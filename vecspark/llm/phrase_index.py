@@ -130,8 +130,8 @@ def find_near(index: DataFrame, groups: DataFrame, counts: DataFrame, span: int)
             .select(*_DOC, "group_id", "start").distinct())
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, body, n_words, n_hit, n_items, items): every row of ``docs``, its words inside item windows, the items found."""
+def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The occurrences of item windows in documents, and the windows (item_id, phrase)."""
     docs = docs.select("doc_id", "text")
     listed, _ = stored(windows(items, size), "item-windows")
     phrases = listed.select("phrase").distinct()
@@ -139,8 +139,17 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     counts, _ = stored(term_counts(docs, vocabulary), "term-counts")
     anchors, _ = stored(phrase_anchors(phrases, counts), "anchors")
     starting = anchors.select(F.explode(F.array("r1", "r2")).alias("term")).distinct()
-    found, _ = stored(find_phrases(build_index(docs, starting, size - 1), anchors), "phrase-hits")
+    return stored(find_phrases(build_index(docs, starting, size - 1), anchors), "phrase-hits")[0], listed
+
+
+def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, body) of the documents that hold an item window."""
+    return find_items(docs, items, size)[0].select(*_DOC).distinct()
 
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, body, n_words, n_hit, n_items, items): every row of ``docs``, its words inside item windows, the items found."""
+    found, listed = find_items(docs, items, size)
     stretches = found.select(*_DOC, "start", "length").distinct()
     earlier = Window.partitionBy(*_DOC).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("start") + F.col("length") - F.greatest("start", F.coalesce(F.max(F.col("start") + F.col("length")).over(earlier), F.lit(0)))

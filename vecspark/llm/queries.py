@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecspark.llm import chunk_bpe, jaccard, lines, outliers, phrase_index, token_count, token_files, url_filter, warc
+from vecspark.llm import chunk_bpe, jaccard, lines, outliers, phrase_index, token_count, token_files, toxicity, url_filter, warc
 from vecspark.llm.common import stored, table
 from vecspark.session import scratch_path
 
@@ -113,6 +113,16 @@ def op7(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
 
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.train(*toxicity.sample(docs, labels, fold != 0))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 @query("op9_token_count")
 def op9(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)

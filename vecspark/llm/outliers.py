@@ -222,7 +222,9 @@ def judge(stats: DataFrame, estimates: DataFrame) -> DataFrame:
     rows = vectors(stats.select(*columns)).withColumn("key", _keys()[1])
     near = _beside(rows, estimates.select("key", *USED), ["key"], estimates.count())
     distance = _distance()
-    return near.select(*columns, distance.alias("distance"), (~F.col("base_failed") & (distance <= chi2_quantile(REJECT, P))).alias("kept"))
+    # one comparison: as two conditions, a filter on it would be pushed into the array functions and multiply them
+    verdict = distance + F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(0.0) <= chi2_quantile(REJECT, P)
+    return near.select(*columns, distance.alias("distance"), verdict.alias("kept"))
 
 
 def stored_statistics(docs: DataFrame) -> DataFrame:

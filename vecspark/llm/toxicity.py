@@ -23,6 +23,7 @@ columns are left out.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ from vecspark.llm.pieces import Kept
 
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 DIMENSIONS, STEPS, RATE, DECAY = 1 << 18, 40, 0.3, 1e-6
-LEAST_GAIN = 0.005
+LEAST_GAIN, SKETCH = 0.01, 8
 #: Log-odds of a token that nothing speaks for.
 BIAS = -4.0
 TOKEN = re.compile(r"[^\W_]+")
@@ -79,8 +80,26 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.
     return odds / (1 + odds)
 
 
+def distinct_texts(texts: list[set]) -> list[set]:
+    """The texts without near copies of earlier ones, by sketches of their least word hashes."""
+    kept, holders = [], {}
+    for words in texts:
+        sketch = sorted(zlib.crc32(w.encode()) for w in words)[:SKETCH]
+        shared: dict = {}
+        for h in sketch:
+            for i in holders.get(h, ()):
+                shared[i] = shared.get(i, 0) + 1
+        if sketch and max(shared.values(), default=0) * 2 >= len(sketch):
+            continue
+        for h in sketch:
+            holders.setdefault(h, []).append(len(kept))
+        kept.append(words)
+    return kept
+
+
 def explaining_words(toxic: list[set], clean: list[set]) -> set[str]:
-    """The words that explain the toxic texts, taken greedily."""
+    """The words that explain the toxic texts, taken greedily; near copies count once."""
+    toxic = distinct_texts(toxic)
     where, harm = {}, {}
     for i, words in enumerate(toxic):
         for w in words:
@@ -89,17 +108,17 @@ def explaining_words(toxic: list[set], clean: list[set]) -> set[str]:
         for w in words:
             if w in where:
                 harm[w] = harm.get(w, 0) + 1
-    open_, found, scale = set(range(len(toxic))), set(), len(toxic) / max(1, len(clean))
+    open_, found, scale = set(range(len(toxic))), {}, len(toxic) / max(1, len(clean))
     where = {w: s for w, s in where.items() if len(s) > 3 * scale * harm.get(w, 0)}
     while open_ and where:
         gain, word = max((len(s & open_) - scale * harm.get(w, 0), w) for w, s in where.items())
         if gain < max(2, LEAST_GAIN * len(toxic)):
             break
-        found.add(word)
-        open_ -= where.pop(word)
-    # words that only go along with others explain little alone; those as telling as the found ones count too
-    least = min((len(s) for s in ({i for i, t in enumerate(toxic) if w in t} for w in found)), default=0)
-    return found | {w for w, s in where.items() if len(s) >= least and not harm.get(w)}
+        found[word] = where.pop(word)
+        open_ -= found[word]
+    # words that go along with others explain little alone; those about as frequent as the found ones count too
+    least = np.median([len(s) for s in found.values()]) / 2 if found else math.inf
+    return {*found, *(w for w, s in where.items() if len(s) >= least and not harm.get(w))}
 
 
 @dataclass

@@ -101,7 +101,7 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 def _keys() -> list[Column]:
     """The keys of a row's language and of its language and source; JSON tells null from any text."""
-    return [F.to_json(F.struct("lang")), F.to_json(F.struct("lang", "source"))]
+    return [F.concat(F.lit("language "), F.to_json(F.struct("lang"))), F.to_json(F.struct("lang", "source"))]
 
 
 def _inverted(est: DataFrame, keep: list[str], mean: list[Column], cov: dict[tuple[int, int], Column]) -> DataFrame:

@@ -22,7 +22,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def index(docs):
-    return IvfIndex.build(docs, "l2", 10, max_iter=4)
+    return IvfIndex.build(docs, "l2", 10)
 
 
 def test_predicate(docs):

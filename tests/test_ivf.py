@@ -36,7 +36,7 @@ def asked(spark):
 @pytest.mark.parametrize("metric,floors", [("l2", {1: 0.71, 10: 0.95, 100: 1.0}), ("cosine", {1: 0.71, 10: 0.95, 100: 0.9925}),
                                            ("ip", {100: 1.0})])
 def test_recall_floors(spark, cloud, asked, metric, floors):
-    index = IvfIndex.build(cloud, metric, 100, max_iter=6)
+    index = IvfIndex.build(cloud, metric, 100)
     truth = knn_join(cloud, asked, 20, metric)
     report = sweep(spark, "ivf", lambda p: index.search(asked, 20, p), list(floors), truth, "query_id", "id")
     got = {r.param: r.recall for r in report.collect()}
@@ -44,7 +44,7 @@ def test_recall_floors(spark, cloud, asked, metric, floors):
 
 
 def test_iterative_scan_finds_what_passes(spark, cloud, asked):
-    index = IvfIndex.build(cloud, "l2", 20, max_iter=3)
+    index = IvfIndex.build(cloud, "l2", 20)
     where = F.col("id") % 2000 == 0
     found = index.search_iterative(asked, 11, 4, where=where)
     assert found.groupBy("query_id").count().agg(F.min("count"), F.max("count")).first() == (10, 10)

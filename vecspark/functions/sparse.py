@@ -108,15 +108,17 @@ def sparsevec_cmp(a, b) -> Column:
 def sparse_sort_key(v) -> Column:
     """A column that ``orderBy`` sorts as ``sparsevec_cmp`` does, without densifying.
 
-    Each entry gives ``(class, index, value)`` such that the array order of the
-    keys is the dense order: a negative entry sorts before an absent one (the
-    earlier its index, the lower), a positive entry after (the earlier its
-    index, the higher), and the end of the vector ranks between by length.
+    Each entry gives ``(class, place, value)`` such that the array order of the
+    keys is the dense order, a shorter vector before a longer one that goes on
+    from it: a negative entry sorts before an absent one (the earlier its index,
+    the lower), a positive entry after (the earlier its index, the higher). The
+    end of the vector lies above negative entries before it and below all that
+    follow, so entries past the shorter dimension are not compared.
     """
     v = as_col(v)
     steps = F.zip_with(v["indices"], v["values"], lambda i, x: F.struct(
         F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).alias("class"),
-        F.when(x < 0, i).otherwise(-i).cast("bigint").alias("place"), x.alias("x")))
-    end = F.struct(F.lit(0).alias("class"), v["dim"].cast("bigint").alias("place"),
+        F.when(x < 0, 2 * i.cast("bigint") + 1).otherwise(-i.cast("bigint")).alias("place"), x.alias("x")))
+    end = F.struct(F.lit(-1).alias("class"), (2 * v["dim"].cast("bigint")).alias("place"),
                    F.lit(0.0).cast("float").alias("x"))
     return F.when(v.isNotNull(), F.concat(steps, F.array(end)))

@@ -8,19 +8,27 @@ _SAME = ("CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) <> size(b) THE
          "raise_error(concat('different vector dimensions ', size(a), ' and ', size(b))) ELSE {} END")
 
 
-def _sum(term: str) -> str:
-    return f"aggregate(zip_with(a, b, (x, y) -> {term}), 0D, (s, x) -> s + x)"
+# As in the column functions, a sum beyond the range of a float counts as infinite.
+_RANGED = ("s -> CASE WHEN s > 3.4028234663852886E38D THEN double('Infinity') "
+           "WHEN s < -3.4028234663852886E38D THEN double('-Infinity') ELSE s END")
+
+
+def _sum(term: str, finish: str = f", {_RANGED}") -> str:
+    return f"aggregate(zip_with(a, b, (x, y) -> {term}), 0D, (s, x) -> s + x{finish})"
 
 
 _IP = _sum("double(x) * double(y)")
-_NORM = "sqrt(aggregate(transform({0}, x -> double(x) * double(x)), 0D, (s, x) -> s + x))"
+_SQUARES = "aggregate(transform({0}, x -> double(x) * double(x)), 0D, (s, x) -> s + x{1})"
+_NORM = f"sqrt({_SQUARES.format('{0}', '')})"
+_SCALE = f"{_SQUARES.format('a', f', {_RANGED}')} * {_SQUARES.format('b', f', {_RANGED}')}"
 _PAIR = "a ARRAY<FLOAT>, b ARRAY<FLOAT>"
 _BITS = "a STRUCT<len: INT, words: ARRAY<BIGINT>>, b STRUCT<len: INT, words: ARRAY<BIGINT>>"
 _BIT_SUM = "aggregate(zip_with(a.words, b.words, (x, y) -> bit_count(x {} y)), 0, (s, x) -> s + x)"
 _SAME_BITS = ("CASE WHEN a.len <> b.len THEN raise_error(concat('different bit lengths ', a.len, ' and ', b.len)) "
               "ELSE {} END")
-_COSINE = (f"CASE WHEN {_NORM.format('a')} * {_NORM.format('b')} = 0 THEN double('NaN') "
-           f"ELSE 1 - least(greatest({_IP} / ({_NORM.format('a')} * {_NORM.format('b')}), -1D), 1D) END")
+_RATIO = f"{_IP} / sqrt({_SCALE})"
+_COSINE = (f"CASE WHEN {_SCALE} > 0 AND NOT isnan({_RATIO}) THEN 1 - least(greatest({_RATIO}, -1D), 1D) "
+           "ELSE double('NaN') END")
 
 FUNCTIONS = {
     "vec_l2_distance": (_PAIR, "DOUBLE", _SAME.format(f"sqrt({_sum('pow(double(x) - double(y), 2)')})")),

@@ -21,7 +21,7 @@ from vecspark.functions import dense
 from vecspark.operators import kernels
 from vecspark.operators.kernels import METRICS, DenseBlock, Metric, metric_of
 from vecspark.operators.knn import _key_pairs, knn_join, take_nearest
-from vecspark.session import materialize, scratch_path
+from vecspark.session import materialize, path_exists, scratch_path
 from vecspark.types import as_col
 
 # Fixed parameter ranges and defaults.
@@ -31,8 +31,6 @@ SAMPLE_PER_LIST, SAMPLE_MIN = 50, 10_000
 
 # Centres travel with every task, so their total size is limited.
 CENTER_CELLS = 32 << 20
-# Seeds are thinned by weighted D^2 sampling on the driver up to this many lists.
-THINNED_LISTS = 2048
 SAMPLE_ROWS_PER_TASK = 50_000
 
 
@@ -166,13 +164,10 @@ def merge_partials(partial: DataFrame) -> DataFrame:
     return partial.repartition("list_id").mapInArrow(run, partial.schema)
 
 
-def _seed_centers(sample: DataFrame, metric: Metric, lists: int, total: int, rng, rounds: int = 2) -> np.ndarray:
+def _seed_centers(sample: DataFrame, metric: Metric, lists: int, rng, rounds: int = 2) -> np.ndarray:
     """k-means|| seeding: a few passes that draw far rows more often, then thin to ``lists``."""
     seed = int(rng.integers(1 << 30))
     order = F.xxhash64("id", F.lit(seed))
-    if total <= 2 * lists or lists > THINNED_LISTS:
-        # too many lists to thin, or nearly every row is a seed: a random draw
-        return _collect_rows(sample.orderBy(order).limit(lists), metric)
     picked = _collect_rows(sample.orderBy(order).limit(1), metric)
     for _ in range(rounds):
         picked = np.unique(np.concatenate([picked, _draw_far(sample, metric, picked, 2 * lists, rng)]), axis=0)
@@ -202,7 +197,7 @@ def _draw_far(sample: DataFrame, metric: Metric, picked: np.ndarray, wanted: int
         return picked[:0]
     # a hash of the id stands for the random number, so a lost task draws the same rows
     uniform = F.pmod(F.col("id_hash"), F.lit(1 << 31)) / float(1 << 31)
-    return _collect_rows(costs.filter(uniform < F.col("cost") * (wanted / total)).limit(4 * wanted), metric)
+    return _collect_rows(costs.filter(uniform < F.col("cost") * (wanted / total)), metric)
 
 
 def _thin(metric: Metric, rows: np.ndarray, weight: np.ndarray, lists: int, rng) -> np.ndarray:
@@ -222,7 +217,7 @@ def _thin(metric: Metric, rows: np.ndarray, weight: np.ndarray, lists: int, rng)
 
 
 def train_centers(df: DataFrame, metric="l2", lists: int = LISTS_DEFAULT, vec: str = "embedding", id: str = "id",
-                  seed: int = 7, max_iter: int = 25, dim: int | None = None, half: bool = False) -> np.ndarray:
+                  seed: int = 7, max_iter: int = 500, dim: int | None = None, half: bool = False) -> np.ndarray:
     """k-means centres of a sample of ``df``: Lloyd steps until nothing moves.
 
     A list that loses all its rows restarts at a random place. Without any rows
@@ -242,7 +237,7 @@ def train_centers(df: DataFrame, metric="l2", lists: int = LISTS_DEFAULT, vec: s
         if dim is None:
             raise ValueError("the dimension must be declared when there are no rows")
         return _round_centers(metric, rng.random((lists, dim)), half)
-    first = _seed_centers(sample, metric, lists, total, rng)
+    first = _seed_centers(sample, metric, lists, rng)
     dim = first.shape[1]
     if lists * dim > CENTER_CELLS:
         raise ValueError(f"{lists} centres of {dim} dimensions are too large to travel with the tasks")
@@ -336,7 +331,7 @@ class IvfIndex:
 
     @classmethod
     def build(cls, df: DataFrame, metric="l2", lists: int = LISTS_DEFAULT, vec: str = "embedding", id: str = "id",
-              path: str | None = None, partition_by=(), centers=None, seed: int = 7, max_iter: int = 25,
+              path: str | None = None, partition_by=(), centers=None, seed: int = 7, max_iter: int = 500,
               dim: int | None = None, half: bool = False) -> IvfIndex:
         """Train centres (unless given), assign every row and store the rows by list.
 
@@ -391,21 +386,24 @@ class IvfIndex:
             .parquet(f"{self.path}/entries/part=*")
 
     def _deleted(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/deleted").select(self.id).distinct()
-        except Exception as error:  # noqa: BLE001 - only a missing folder means "none deleted"
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
+        folder = f"{self.path}/deleted"
+        if not path_exists(self.spark, folder):
+            return None
+        schema = T.StructType([self.schema[self.id], T.StructField("part", T.StringType())])
+        return self.spark.read.schema(schema).parquet(folder).distinct()
 
     def entries(self) -> DataFrame:
         """The live rows with their list."""
         rows, gone = self.stored, self._deleted()
-        return rows if gone is None else rows.join(gone, self.id, "left_anti")
+        return rows if gone is None else rows.join(gone, [self.id, "part"], "left_anti")
 
     def delete(self, ids: DataFrame) -> None:
-        """Take rows out by id; lists and centres stay. ``vacuum`` frees their space."""
-        ids.select(F.col(ids.columns[0]).cast(self.schema[self.id].dataType).alias(self.id)) \
+        """Take rows out by id from the parts stored so far; an id inserted later as a new part is live again.
+
+        Lists and centres stay. ``vacuum`` frees the space.
+        """
+        ids = ids.select(F.col(ids.columns[0]).cast(self.schema[self.id].dataType).alias(self.id)).distinct()
+        self.stored.select(self.id, "part").join(ids, self.id, "left_semi").distinct() \
             .write.mode("append").parquet(f"{self.path}/deleted")
 
     def vacuum(self) -> None:
@@ -413,13 +411,13 @@ class IvfIndex:
         gone = self._deleted()
         if gone is None:
             return
-        folders = ["part", *self.partition_by, "list_id"]
-        touched = self.stored.join(gone, self.id, "left_semi").select(*folders).distinct()
+        marked, folders = [self.id, "part"], ["part", *self.partition_by, "list_id"]
+        touched = self.stored.join(gone, marked, "left_semi").select(*folders).distinct()
         survivors = materialize(
-            self.stored.join(touched, folders, "left_semi").join(gone, self.id, "left_anti"), "ivf-vacuum")
+            self.stored.join(touched, folders, "left_semi").join(gone, marked, "left_anti"), "ivf-vacuum")
         survivors.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy(*folders).parquet(f"{self.path}/entries")
-        left = materialize(self.stored.join(gone, self.id, "left_semi").select(self.id), "ivf-marked")
+        left = materialize(self.stored.join(gone, marked, "left_semi").select(*marked).distinct(), "ivf-marked")
         left.write.mode("overwrite").parquet(f"{self.path}/deleted")
 
     def _asked(self, queries: DataFrame, query_id: str, query_vec: str, pairs, probes: int) -> DataFrame:

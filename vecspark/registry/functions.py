@@ -168,7 +168,7 @@ def half_normalize(spark, sf):
 def label_assignment(spark, sf):
     """Documents without a label draw one of 1..12; labelled ones keep theirs."""
     tagged = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    drawn = assign_labels(tagged.withColumn("tag", F.col("quality")), "tag", 12)
+    drawn = assign_labels(tagged.withColumn("tag", F.col("quality")), "tag", 12, "doc_id")
     wrong = F.when(F.col("quality").isNull() & ~F.col("tag").between(1, 12), 1)
     return drawn.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("tag") == F.col("quality"), 1)).alias("kept"),
                      F.count(wrong).cast("int").alias("outside"))
@@ -372,11 +372,10 @@ def avg_lineitem_features(spark, sf):
                                       for i, (name, places) in enumerate([("q", 3), ("p", 1), ("d", 5)])])
 
 
-@query("group_by_bits", f"""SELECT left(b, 8) AS bits, count(*) AS rows FROM (
+@query("group_by_bits", f"""SELECT b AS bits, count(*) AS rows FROM (
   SELECT {sql_bits('embedding')} AS b FROM embeddings) GROUP BY 1""")
 def group_by_bits(spark, sf):
-    first = bits.binary_quantize(dense.subvector("embedding", F.lit(1), F.lit(8)))
-    grouped = embeddings(spark, sf).groupBy(first.alias("b")).agg(F.count(F.lit(1)).alias("rows"))
+    grouped = embeddings(spark, sf).groupBy(bits.binary_quantize("embedding").alias("b")).agg(F.count(F.lit(1)).alias("rows"))
     return grouped.select(bits.bits_to_text("b").alias("bits"), "rows")
 
 
@@ -419,3 +418,37 @@ def sql_functions(spark, sf):
         round(max(vec_norm(embedding)), 6) + 0D AS max_norm FROM vec_pairs GROUP BY label""")
 
 
+
+
+@query("sparse_sort_mixed_dims", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey,
+   list_transform(range(1, 3 + l_linenumber % 4), lambda i: ((l_partkey + i * l_suppkey) % 5 - 2)::FLOAT) AS a,
+   list_transform(range(1, 3 + l_orderkey % 4), lambda i: ((l_orderkey + i * 3) % 5 - 2)::FLOAT) AS b FROM lineitem)
+  SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END::INT AS cmp FROM s""")
+def sparse_sort_mixed_dims(spark, sf):
+    """Sparse vectors of different dimensions, compared."""
+    def cells(n, element):
+        return sparse.dense_to_sparse(F.transform(F.sequence(F.lit(1).cast("bigint"), n.cast("bigint")),
+                                                  lambda i: (F.pmod(element(i), F.lit(5)) - 2).cast("float")))
+    line = F.col("l_linenumber")
+    a = cells(2 + line % 4, lambda i: F.col("l_partkey") + i * F.col("l_suppkey"))
+    b = cells(2 + F.col("l_orderkey") % 4, lambda i: F.col("l_orderkey") + i * 3)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), b.alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", sparse.sparsevec_cmp("a", "b").alias("cmp"))
+
+
+_HUGE = 3.4028234663852886e38
+
+
+@query("sql_functions_overflow", f"""WITH s AS (SELECT vec_id, embedding AS b,
+   list_transform(embedding, lambda x: (x::DOUBLE * pow(10.0, 4 * label))::FLOAT) AS a FROM embeddings),
+  d AS (SELECT vec_id, list_sum(list_transform(list_zip(a, b), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))) AS l2,
+   {sql_ip('a', 'a')} AS ip FROM s)
+  SELECT vec_id, l2 > {_HUGE} AS l2_over, ip > {_HUGE} AS ip_over, ip > {_HUGE} AS cosine_nan FROM d""")
+def sql_functions_overflow(spark, sf):
+    """Sums beyond the range of a float are infinite under the SQL names too."""
+    from vecspark.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    grown = F.transform("embedding", lambda x: (x.cast("double") * F.pow(F.lit(10.0), 4 * F.col("label"))).cast("float"))
+    embeddings(spark, sf).select("vec_id", grown.alias("a"), F.col("embedding").alias("b")).createOrReplaceTempView("vec_huge")
+    return spark.sql("""SELECT vec_id, vec_l2_distance(a, b) = double('Infinity') AS l2_over,
+        vec_inner_product(a, a) = double('Infinity') AS ip_over, isnan(vec_cosine_distance(a, a)) AS cosine_nan FROM vec_huge""")

@@ -80,34 +80,34 @@ def ivf_widening(spark, sf):
 @query("ivf_full_probe", sql_knn_join("l2", K))
 def ivf_full_probe(spark, sf):
     """Trained centres; probing every list equals the exact result."""
-    index = IvfIndex.build(embeddings(spark, sf), "l2", LISTS, id="vec_id", max_iter=8)
+    index = IvfIndex.build(embeddings(spark, sf), "l2", LISTS, id="vec_id")
     return ranked(index.search(as_queries(embeddings(spark, sf)), K, LISTS))
 
 
 @query("ivf_full_probe_cosine", sql_knn_join("cosine", K, SCALED, "sv", "sv"))
 def ivf_full_probe_cosine(spark, sf):
     rows = scaled(spark, sf)
-    index = IvfIndex.build(rows, "cosine", LISTS, id="vec_id", max_iter=8)
+    index = IvfIndex.build(rows, "cosine", LISTS, id="vec_id")
     return ranked(index.search(as_queries(rows), K, LISTS))
 
 
 @query("ivf_full_probe_ip", sql_knn_join("ip", K, SCALED, "sv", "sv"))
 def ivf_full_probe_ip(spark, sf):
     rows = scaled(spark, sf)
-    index = IvfIndex.build(rows, "ip", LISTS, id="vec_id", max_iter=8)
+    index = IvfIndex.build(rows, "ip", LISTS, id="vec_id")
     return ranked(index.search(as_queries(rows), K, LISTS))
 
 
 @query("ivf_full_probe_bits", sql_knn_join("l2", K, _QBITS, "qb", "qb", distance=_HAMMING))
 def ivf_full_probe_bits(spark, sf):
     rows = embeddings(spark, sf).select("vec_id", bits.binary_quantize("embedding").alias("bits"))
-    index = IvfIndex.build(rows, "hamming", LISTS, "bits", "vec_id", max_iter=8)
+    index = IvfIndex.build(rows, "hamming", LISTS, "bits", "vec_id")
     return ranked(index.search(as_queries(rows), K, LISTS, query_vec="bits"))
 
 
 @query("ivf_lineitem_full_probe", sql_knn_join("l2", K, _LINES, "li", "sup", query_id="q.query_id", query_vec="q.qv"))
 def ivf_lineitem_full_probe(spark, sf):
-    index = IvfIndex.build(lineitem_features(spark, sf), "l2", LISTS, id="vec_id", max_iter=5)
+    index = IvfIndex.build(lineitem_features(spark, sf), "l2", LISTS, id="vec_id")
     return ranked(index.search(supplier_queries(spark, sf), K, LISTS, query_vec="qv"))
 
 
@@ -115,7 +115,7 @@ def ivf_lineitem_full_probe(spark, sf):
 def ivf_recall_by_probes(spark, sf):
     """Recall against the exact result for growing numbers of probes."""
     rows = embeddings(spark, sf)
-    index = IvfIndex.build(rows, "l2", LISTS, id="vec_id", max_iter=8)
+    index = IvfIndex.build(rows, "l2", LISTS, id="vec_id")
     truth = knn_join(rows, as_queries(rows), K, base_id="vec_id")
     report = evaluate.sweep(spark, "ivf", lambda p: index.search(as_queries(rows), K, p), [1, 4, LISTS], truth,
                             "query_id", "vec_id", lambda p: index.comparisons(as_queries(rows), p))
@@ -150,14 +150,14 @@ def ivf_range_search(spark, sf):
 @query("ivf_partial_index", sql_knn_join("l2", K, where="b.label = 3"))
 def ivf_partial_index(spark, sf):
     """An index over the rows of one predicate."""
-    index = IvfIndex.build(embeddings(spark, sf).filter(F.col("label") == 3), "l2", 4, id="vec_id", max_iter=5)
+    index = IvfIndex.build(embeddings(spark, sf).filter(F.col("label") == 3), "l2", 4, id="vec_id")
     return ranked(index.search(as_queries(embeddings(spark, sf)), K, 4))
 
 
 @query("ivf_insert", sql_knn_join("l2", K))
 def ivf_insert(spark, sf):
     rows = embeddings(spark, sf)
-    index = IvfIndex.build(rows.filter(F.col("label") < 7), "l2", LISTS, id="vec_id", max_iter=5)
+    index = IvfIndex.build(rows.filter(F.col("label") < 7), "l2", LISTS, id="vec_id")
     index.insert(rows.filter(F.col("label") >= 7))
     return ranked(index.search(as_queries(rows), K, LISTS))
 
@@ -276,7 +276,20 @@ def ivf_half_full_probe(spark, sf):
     """Centres and rows in half precision."""
     from vecspark.functions.half import to_half
     rows = embeddings(spark, sf).withColumn("embedding", to_half("embedding"))
-    index = IvfIndex.build(rows, "l2", LISTS, id="vec_id", max_iter=5, half=True)
+    index = IvfIndex.build(rows, "l2", LISTS, id="vec_id", half=True)
     return ranked(index.search(as_queries(rows), K, LISTS))
 
 
+
+
+@query("ivf_update", sql_knn_join("l2", K, """u AS (SELECT vec_id, label,
+   CASE WHEN label = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings)""", "u"))
+def ivf_update(spark, sf):
+    """Rows deleted, inserted again with other vectors, and still there after a vacuum."""
+    rows = embeddings(spark, sf)
+    index = given_index(spark, sf)
+    third = rows.filter(F.col("label") == 3)
+    index.delete(third.select("vec_id"))
+    index.insert(third.withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    index.vacuum()
+    return ranked(index.search(as_queries(rows), K, len(index.centers)))

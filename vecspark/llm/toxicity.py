@@ -37,7 +37,7 @@ from vecspark.llm.pieces import Kept
 
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 DIMENSIONS, STEPS, RATE, DECAY = 1 << 18, 40, 0.3, 1e-6
-LEAST_GAIN, SKETCH = 0.01, 8
+LEAST_GAIN, SKETCH, CHANCE = 0.01, 8, 0.05
 #: Log-odds of a token that nothing speaks for.
 BIAS = -4.0
 TOKEN = re.compile(r"[^\W_]+")
@@ -109,7 +109,14 @@ def explaining_words(toxic: list[set], clean: list[set]) -> set[str]:
             if w in where:
                 harm[w] = harm.get(w, 0) + 1
     open_, found, scale = set(range(len(toxic))), {}, len(toxic) / max(1, len(clean))
-    where = {w: s for w, s in where.items() if len(s) > 3 * scale * harm.get(w, 0)}
+    # words whose documents would hardly all be toxic by chance, among so many words
+    share = math.log(len(toxic) / (len(toxic) + len(clean)))
+    least = math.log(CHANCE / max(1, sum(len(s) > 1 for s in where.values())))
+
+    def telling(k: int, h: int) -> bool:
+        return k > 3 * scale * h and k * share + math.lgamma(k + h + 1) - math.lgamma(k + 1) - math.lgamma(h + 1) < least
+
+    where = {w: s for w, s in where.items() if telling(len(s), harm.get(w, 0))}
     while open_ and where:
         gain, word = max((len(s & open_) - scale * harm.get(w, 0), w) for w, s in where.items())
         if gain < max(2, LEAST_GAIN * len(toxic)):

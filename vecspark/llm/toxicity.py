@@ -80,11 +80,11 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.
     return odds / (1 + odds)
 
 
-def distinct_texts(texts: list[set]) -> list[set]:
-    """The texts without near copies of earlier ones, by sketches of their least word hashes."""
+def distinct_texts(texts: list[list]) -> list[list]:
+    """The token lists without near copies of earlier ones, by sketches of their least hashes of token pairs."""
     kept, holders = [], {}
-    for words in texts:
-        sketch = sorted(zlib.crc32(w.encode()) for w in words)[:SKETCH]
+    for tokens in texts:
+        sketch = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(tokens, tokens[1:])})[:SKETCH]
         shared: dict = {}
         for h in sketch:
             for i in holders.get(h, ()):
@@ -93,19 +93,19 @@ def distinct_texts(texts: list[set]) -> list[set]:
             continue
         for h in sketch:
             holders.setdefault(h, []).append(len(kept))
-        kept.append(words)
+        kept.append(tokens)
     return kept
 
 
-def explaining_words(toxic: list[set], clean: list[set]) -> set[str]:
+def explaining_words(toxic: list[list], clean: list[list]) -> set[str]:
     """The words that explain the toxic texts, taken greedily; near copies count once."""
-    toxic = distinct_texts(toxic)
+    toxic = [set(t) for t in distinct_texts(toxic)]
     where, harm = {}, {}
     for i, words in enumerate(toxic):
         for w in words:
             where.setdefault(w, set()).add(i)
     for words in clean:
-        for w in words:
+        for w in set(words):
             if w in where:
                 harm[w] = harm.get(w, 0) + 1
     open_, found, scale = set(range(len(toxic))), {}, len(toxic) / max(1, len(clean))
@@ -160,9 +160,12 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     none = Model(np.zeros(DIMENSIONS, np.float32), np.zeros((2, 2)), np.zeros(3), share, False)
     if not 0 < share < 1:
         return none
-    tokens = [TOKEN.findall(t or "") for t in texts]
-    sets = [{w.lower() for w in t} for t in tokens]
-    marked = explaining_words([s for s, b in zip(sets, y) if b], [s for s, b in zip(sets, y) if not b])
+    pool: dict = {}  # one string per distinct token
+    tokens = [[pool.setdefault(w, w) for w in TOKEN.findall(t or "")] for t in texts]
+    small = {w: w.lower() for w in pool}
+    small = {w: pool.setdefault(x, x) for w, x in small.items()}
+    lower = [[small[w] for w in t] for t in tokens]
+    marked = explaining_words([t for t, b in zip(lower, y) if b], [t for t, b in zip(lower, y) if not b])
     table: dict = {}
     flat = np.array([table.setdefault(w, len(table)) for t in tokens for w in t], dtype=np.int32)
     rows = np.array([features(w) for w in table], dtype=np.int64).reshape(-1, 4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecspark.functions import bits, casts, dense, half, sparse
+from vecspark.functions import bits, casts, dense, half, sparse, text
 from vecspark.operators.aggregates import half_avg, half_sum, vec_avg, vec_from_rows, vec_sum
 from vecspark.registry import query
 from vecspark.registry.common import (DIM, PAIRED, embeddings, label_centers, r6, scaled, sql_bits,
@@ -452,3 +452,55 @@ def sql_functions_overflow(spark, sf):
     embeddings(spark, sf).select("vec_id", grown.alias("a"), F.col("embedding").alias("b")).createOrReplaceTempView("vec_huge")
     return spark.sql("""SELECT vec_id, vec_l2_distance(a, b) = double('Infinity') AS l2_over,
         vec_inner_product(a, a) = double('Infinity') AS ip_over, isnan(vec_cosine_distance(a, a)) AS cosine_nan FROM vec_huge""")
+
+
+@query("half_text_round_trip", f"""SELECT p_partkey, 2 AS dims, {sql_r6(f"{sql_half('p_size')} + 2 * {sql_half('p_size / 7.0')}::DOUBLE")} AS value,
+  true AS same FROM part""")
+def half_text_round_trip(spark, sf):
+    """Text to halves and back to text; the text of a half reads as the same half."""
+    literal = F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(","), (F.col("p_size") / 7).cast("string"), F.lit("]"))
+    once = table(spark, sf, "part").select("p_partkey", text.parse_halfvec(literal, 2)["value"].alias("v"))
+    twice = once.withColumn("w", text.parse_halfvec(text.format_halfvec("v"), 2)["value"])
+    return twice.select("p_partkey", F.size("v").alias("dims"), _summed("v").alias("value"), (F.col("v") == F.col("w")).alias("same"))
+
+
+@query("sparse_text_round_trip", f"""{_SPARSE} SELECT vec_id, len(list_filter(a, lambda x: x <> 0))::INT AS nnz, true AS same FROM s""")
+def sparse_text_round_trip(spark, sf):
+    rows = _sparse_rows(spark, sf).select("vec_id", "a", text.parse_sparsevec(text.format_sparsevec("a"))["value"].alias("b"))
+    near = F.aggregate(F.zip_with(F.col("a.values"), F.col("b.values"), lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", F.size("a.indices").alias("nnz"),
+                       ((F.col("a.indices") == F.col("b.indices")) & (F.col("a.dim") == F.col("b.dim")) & (near < 1e-4)).alias("same"))
+
+
+_SHIFTED = f"""{PAIRED}, h AS (SELECT vec_id, list_transform(a, lambda x: {sql_half('(x + 1)::FLOAT')}) AS a,
+  list_transform(b, lambda x: {sql_half('(x + 1)::FLOAT')}) AS b FROM p)"""
+
+
+@query("half_products", f"""{_SHIFTED} SELECT vec_id, {_sql_summed(_sql_half_op('*'))} AS multiplied,
+  {sql_r6(f"pow({sql_l2('a', 'b')}, 2)")} AS l2_squared FROM h""")
+def half_products(spark, sf):
+    def shifted(v):
+        return half.to_half(F.transform(v, lambda x: (x + 1).cast("float")))
+    rows = with_center(spark, sf).select("vec_id", shifted("embedding").alias("a"), shifted("center").alias("b"))
+    return rows.select("vec_id", _summed(half.halfvec_mul("a", "b")).alias("multiplied"), r6(half.l2_squared_distance("a", "b")).alias("l2_squared"))
+
+
+@query("half_sparse_casts", f"""{_SPARSE} SELECT vec_id, {_sql_summed(f"list_transform(a, lambda x: {sql_half('x')})")} AS value FROM s""")
+def half_sparse_casts(spark, sf):
+    back = sparse.dense_to_sparse(casts.sparse_to_halfvec("a"))
+    return _sparse_rows(spark, sf).select("vec_id", _summed(casts.sparse_to_vector(back)).alias("value"))
+
+
+@query("casts_from_numbers", """SELECT l_orderkey, l_linenumber, (l_linenumber + 2 * l_suppkey)::DOUBLE AS ints,
+  round(l_quantity::FLOAT::DOUBLE + 2 * l_tax::FLOAT::DOUBLE, 4) + 0.0 AS reals,
+  round(l_extendedprice::DECIMAL(14, 2)::FLOAT::DOUBLE, 2) + 0.0 AS decimals FROM lineitem""")
+def casts_from_numbers(spark, sf):
+    """Arrays of int, real and decimal numbers to vectors, and back to arrays."""
+    ints = casts.to_vector(F.array(F.col("l_linenumber").cast("int"), F.col("l_suppkey").cast("int")), 2)
+    reals = casts.to_vector(F.array(F.col("l_quantity").cast("float"), F.col("l_tax").cast("float")), 2)
+    decimals = casts.to_vector(F.array(F.col("l_extendedprice").cast("decimal(14,2)")), 1)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(
+        casts.to_array(v).alias(n) for n, v in (("i", ints), ("r", reals), ("d", decimals))))
+    x = lambda c, i: F.col(c)[i].cast("double")
+    return rows.select("l_orderkey", "l_linenumber", (x("i", 0) + 2 * x("i", 1)).alias("ints"),
+                       (F.round(x("r", 0) + 2 * x("r", 1), 4) + F.lit(0.0)).alias("reals"), (F.round(x("d", 0), 2) + F.lit(0.0)).alias("decimals"))

@@ -293,3 +293,13 @@ def ivf_update(spark, sf):
     index.insert(third.withColumn("embedding", F.transform("embedding", lambda x: -x)))
     index.vacuum()
     return ranked(index.search(as_queries(rows), K, len(index.centers)))
+
+
+@query("ivf_null_and_zero", sql_knn_join("cosine", K, f"{SCALED}, v AS (SELECT * FROM sv WHERE label NOT IN (1, 2))", "v", "v"))
+def ivf_null_and_zero(spark, sf):
+    """Rows without a vector, or without a direction, are in no list of an angular index."""
+    rows = scaled(spark, sf)
+    holed = rows.withColumn("embedding", F.when(F.col("label") == 1, None).when(
+        F.col("label") == 2, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
+    index = IvfIndex.build(holed, "cosine", LISTS, id="vec_id")
+    return ranked(index.search(as_queries(rows.filter(~F.col("label").isin(1, 2))), K, LISTS))

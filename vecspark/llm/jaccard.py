@@ -12,13 +12,16 @@ out, which only depends on the subset, so both sides of a pair leave out the
 same.
 
 Each task combines equal signatures of its batch to a representative before the
-shuffle, so a signature of very many copies leaves a task once; sorted runs of
-a signature then give each member and the run's first document as candidates,
-never all pairs. Candidates are verified on the words themselves. Linked
-documents get a common label; only signatures whose members still have
-different labels go on, with four times as many pivots each round, until all
-pairs of different labels have been compared. So no link between components is
-lost, and large groups of near copies cost a pass, not a square.
+shuffle, so a signature of very many copies leaves a task once. Each member of a
+signature is compared, on the words themselves, with the signature's first
+document, its root: one pair per member. Members that don't link with the root
+may still link with each other, but then the shingles by which they differ from
+the root share one of the first few (``differences``), which are far rarer than
+the signatures. Linked documents get a common label; only shared differences
+whose members have different labels are compared further, with eight times as
+many pivots each round, until all such pairs have been compared. No link between
+components is lost, and large groups of near copies, or near misses, cost a
+pass, not a square.
 
 Defined cases: documents without words have no shingles and link with nothing;
 fewer words than a shingle are one shingle; a null doc_id links with nothing
@@ -28,6 +31,7 @@ table gives no rows; extra columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
@@ -200,11 +204,14 @@ def _shingles(text: str, k: int) -> frozenset:
 _TO_SPACE = bytes(32 if i in SPACES else i for i in range(256))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets meet num / den, counted on the words."""
+def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+
 
+def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets meet num / den, counted on the words."""
     def check(batches):
         for batch in batches:
             a, b, ta, tb = batch.columns
@@ -215,7 +222,37 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
                 good.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
+    return _joined(pairs, texts).mapInArrow(check, "a long, b long").distinct()
+
+
+def differences(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b, linked, tokens): pairs of a root a and a member b, verified, with the first of their differing shingles.
+
+    Members of one root differ from each other by the difference of their differences. Two that link either both
+    link with the root, or share one of the first H + 1 of these, in an order that is the same for all members:
+    shingles that the root lacks, by hash, and then the root's own.
+    """
+    def check(batches):
+        for batch in batches:
+            a, b, ta, tb = batch.columns
+            linked, tokens = [], []
+            for x, y in zip(ta.to_pylist(), tb.to_pylist()):
+                x, y = _shingles(x or "", k), _shingles(y or "", k)
+                both = len(x & y)
+                linked.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
+                most = (den - num) * (len(y) + len(y) * den // num) // (den + num)
+                order = sorted((_hash(t) for t in y - x))
+                if len(order) <= most:
+                    order += sorted(_hash(t) for t in x - y)
+                tokens.append(order[:most + 1])
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_()), pa.array(tokens, pa.list_(pa.int64()))],
+                                             names=["a", "b", "linked", "tokens"])
+
+    return _joined(pairs, texts).mapInArrow(check, "a long, b long, linked boolean, tokens array<long>")
+
+
+def _hash(shingle: tuple) -> int:
+    return int.from_bytes(hashlib.blake2b(b" ".join(shingle), digest_size=8).digest(), "little", signed=True)
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -224,19 +261,30 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels, at = stored(nodes.select("id", F.col("id").alias("label")), "labels")
     while True:
-        near = (both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near")))
+        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.id == near.a, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
         step, mid = stored(step, "labels")
         far = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
         new, path = stored(step.join(far, "label").select("id", F.col("far").alias("label"), "was"), "labels")
-        forget(spark, mid)
         changed = not new.where("label <> was").isEmpty()
-        forget(spark, at)
+        forget(spark, mid, at)
         labels, at = new.select("id", "label"), path
         if not changed:
             return labels
 
 
+def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) after joining the components that links connect; only their labels are walked."""
+    a, b = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+    between, _ = stored(links.join(a, "a").join(b, "b").where("x <> y").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return labels
+    ends = between.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    moved = components(between, ends).select(F.col("label").alias("to"), F.col("id").alias("label"))
+    return stored(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")[0]
+
+
 def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are sets whose Jaccard similarity is num / den or more."""
     spark = docs.sparkSession
@@ -256,11 +304,15 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     texts, _ = stored(wanted.join(nodes, F.col("doc_id") == F.col("id"), "left_semi"), "texts", compression="zstd")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested, _ = stored(edges.select(*pair("a", "b")).distinct(), "tested")
-    links, _ = stored(verify(tested, texts, k, num, den), "links")
-    labels = components(links, nodes)
-    members, _ = stored(edges.select("key", F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
-    closed, pivots = None, 4
+    # a signature's members against its root: one pair each
+    members = edges.select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
+    roots = edges.groupBy("key").agg(F.min(F.least("a", "b")).alias("root"))
+    tested, _ = stored(members.join(roots, "key").where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct(), "tested")
+    apart, _ = stored(differences(tested, texts, k, num, den), "apart")
+    labels = merge_labels(nodes.select("id", F.col("id").alias("label")), apart.where("linked").select("a", "b").distinct())
+    members, _ = stored(apart.select("a", F.col("b").alias("id"), F.explode("tokens").alias("token")).select(
+        F.xxhash64("a", "token").alias("key"), "id").distinct(), "members")
+    closed, pivots = None, 8
     while True:
         labelled = members.join(labels, "id")
         open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
@@ -276,10 +328,9 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         heads = here.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("id", "label"), F.xxhash64("id")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"))
         new = (here.join(heads, "key").where("label <> of").select(*pair("pivot", "id")).distinct().join(tested, ["a", "b"], "left_anti"))
         new, _ = stored(new, "tested")
-        links = links.unionByName(stored(verify(new, texts, k, num, den), "links")[0])
+        labels = merge_labels(labels, stored(verify(new, texts, k, num, den), "links")[0])
         tested = tested.unionByName(new)
-        labels = components(links, nodes)
-        pivots *= 4
+        pivots *= 8
     return sizes.join(labels, sizes.doc_id == labels.id, "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 

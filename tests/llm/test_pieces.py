@@ -14,10 +14,10 @@ from vecspark.llm.token_files import digests, read_tokens, write_tokens
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "word", "Word's", " ", "  ", "   ", "\n", "\n\n", "\t", " \n", "\r\n", "\x1c", "\x85", " ", " ", "é", "ß",
          "漢字", "🤦🏼‍♂️", "<|endoftext|>", "<|endof", "123", "...", "!?", "'ll", "_", "\x00", "https://x.y/z?q=1", "́",
-         "ab " * 30]
+         "ab " * 30, ".", ",", "x.\nY", "été,", "end.)", "\"q\"", "it's!", "<", "|", ">", "ÿ:", "×", "÷"]
 
 
-def texts(n=600, seed=7):
+def texts(n=4000, seed=7):
     draw = random.Random(seed)
     return ["", " ", "\n", "a", " a", "a ", "  a", "a\n b"] + [
         "".join(draw.choice(PARTS) for _ in range(draw.randint(1, 25))) for _ in range(n)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vecspark.llm.common import small_batches
-from vecspark.llm.pieces import Pieces, tokenizer
+from vecspark.llm.pieces import Pieces, added_tokens, in_alphabet, tokenizer
 
 
 @lru_cache(maxsize=4)
@@ -26,7 +26,7 @@ def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings (in the vocabulary's own alphabet) that merge to exactly themselves when alone."""
     found = tokenizer(path)
     merge = found.model.tokenize
-    added = {t.content for t in found.get_added_tokens_decoder().values()}
+    added = added_tokens(path)
     proven = []
     for token, number in found.get_vocab(with_added_tokens=False).items():
         if token not in added:
@@ -43,16 +43,18 @@ def _counter(path: str, whole: frozenset[str]) -> Pieces:
     """Counts of pieces, kept by the worker from task to task."""
     if path in _COUNTERS:
         return _COUNTERS[path]
-    found = tokenizer(path)
+    found, added = tokenizer(path), added_tokens(path)
     cut, merge = found.pre_tokenizer.pre_tokenize_str, found.model.tokenize
-    added = tuple(t.content for t in found.get_added_tokens_decoder().values())
+
+    def alone(pre: str) -> int:
+        return 1 if pre in whole else len(merge(pre))
 
     def count(piece: str) -> int:
         if any(a in piece for a in added):
             return len(found.encode(piece, add_special_tokens=False).ids)
-        return sum(1 if pre in whole else len(merge(pre)) for pre, _ in cut(piece))
+        return sum(alone(pre) for pre, _ in cut(piece))
 
-    _COUNTERS[path] = Pieces(count, sum)
+    _COUNTERS[path] = Pieces(lambda piece: alone(in_alphabet(piece)), count, sum, added)
     return _COUNTERS[path]
 
 

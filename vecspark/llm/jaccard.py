@@ -16,8 +16,8 @@ shuffle, so a signature of very many copies leaves a task once. Each member of a
 signature is compared, on the words themselves, with the signature's first
 document, its root: one pair per member. Members that don't link with the root
 may still link with each other, but then the shingles by which they differ from
-the root share one of the first few (``differences``), which are far rarer than
-the signatures. Linked documents get a common label; only shared differences
+the root share one of the rarest few (``shared_differences``), which very few
+members share. Linked documents get a common label; only shared differences
 whose members have different labels are compared further, with eight times as
 many pivots each round, until all such pairs have been compared. No link between
 components is lost, and large groups of near copies, or near misses, cost a
@@ -38,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vecspark.llm import bloom
 from vecspark.llm.common import ascii_lower, forget, shuffle_partitions, small_batches, stored, words
@@ -226,29 +226,41 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
 
 def differences(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked, tokens): pairs of a root a and a member b, verified, with the first of their differing shingles.
+    """(a, b, linked, most, tokens): pairs of a root a and a member b, verified, with the shingles in which they differ.
 
-    Members of one root differ from each other by the difference of their differences. Two that link either both
-    link with the root, or share one of the first H + 1 of these, in an order that is the same for all members:
-    shingles that the root lacks, by hash, and then the root's own.
+    ``most`` bounds how many shingles b and any set that links with it differ by.
     """
     def check(batches):
         for batch in batches:
             a, b, ta, tb = batch.columns
-            linked, tokens = [], []
+            linked, most, tokens = [], [], []
             for x, y in zip(ta.to_pylist(), tb.to_pylist()):
                 x, y = _shingles(x or "", k), _shingles(y or "", k)
                 both = len(x & y)
                 linked.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-                most = (den - num) * (len(y) + len(y) * den // num) // (den + num)
-                order = sorted((_hash(t) for t in y - x))
-                if len(order) <= most:
-                    order += sorted(_hash(t) for t in x - y)
-                tokens.append(order[:most + 1])
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_()), pa.array(tokens, pa.list_(pa.int64()))],
-                                             names=["a", "b", "linked", "tokens"])
+                most.append((den - num) * (len(y) + len(y) * den // num) // (den + num))
+                tokens.append([_hash(t) for t in x ^ y])
+            yield pa.RecordBatch.from_arrays(
+                [a, b, pa.array(linked, pa.bool_()), pa.array(most, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["a", "b", "linked", "most", "tokens"])
 
-    return _joined(pairs, texts).mapInArrow(check, "a long, b long, linked boolean, tokens array<long>")
+    return _joined(pairs, texts).mapInArrow(check, "a long, b long, linked boolean, most long, tokens array<long>")
+
+
+def shared_differences(apart: DataFrame) -> DataFrame:
+    """(key, id, size, most, first): members of a root by the differing shingles that others of its members share.
+
+    Members differ from each other by the difference of their differences from the root. Two that link either both
+    link with the root, or share a shingle that lies, rarest first, in the first H / 2 + 1 of the smaller difference
+    (``first``) and in the first H + 1 of the larger.
+    """
+    cells = apart.select("a", "b", "most", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    often = cells.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("a", "b")
+    # shingles of one member only come first and match nothing
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token"))
+    return (cells.join(often, ["a", "token"]).withColumn("place", place).where("place <= most + 1")
+            .select(F.xxhash64("a", "token").alias("key"), F.col("b").alias("id"), "size", "most", F.expr("place <= most DIV 2 + 1").alias("first")))
 
 
 def _hash(shingle: tuple) -> int:
@@ -310,12 +322,11 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     tested, _ = stored(members.join(roots, "key").where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct(), "tested")
     apart, _ = stored(differences(tested, texts, k, num, den), "apart")
     labels = merge_labels(nodes.select("id", F.col("id").alias("label")), apart.where("linked").select("a", "b").distinct())
-    members, _ = stored(apart.select("a", F.col("b").alias("id"), F.explode("tokens").alias("token")).select(
-        F.xxhash64("a", "token").alias("key"), "id").distinct(), "members")
+    members, _ = stored(shared_differences(apart), "members")
     closed, pivots = None, 8
     while True:
         labelled = members.join(labels, "id")
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
+        open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if("first").alias("n")).where("x < y AND n > 0").select("key", "n")
         if closed is not None:
             open_ = open_.where(F.col("n") > closed)
         open_, _ = stored(open_, "open")
@@ -324,9 +335,10 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         # all members of small groups are pivots, which closes them; of larger ones as many as the round has
         closed = 4 * pivots
         here = labelled.join(open_, "key")
-        slot = F.when(F.col("n") <= closed, F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots)))
-        heads = here.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("id", "label"), F.xxhash64("id")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"))
-        new = (here.join(heads, "key").where("label <> of").select(*pair("pivot", "id")).distinct().join(tested, ["a", "b"], "left_anti"))
+        slot = F.when(F.col("n") <= closed, F.xxhash64("id", "size")).otherwise(F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots)))
+        heads = here.where("first").groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("id", "label", "size", "most"), F.xxhash64("id")).alias("p")).select(
+            "key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"), F.col("p.size").alias("least"), F.col("p.most").alias("room"))
+        new = (here.join(heads, "key").where("label <> of AND size >= least AND size - least <= greatest(most, room)").select(*pair("pivot", "id")).distinct().join(tested, ["a", "b"], "left_anti"))
         new, _ = stored(new, "tested")
         labels = merge_labels(labels, stored(verify(new, texts, k, num, den), "links")[0])
         tested = tested.unionByName(new)

@@ -93,6 +93,37 @@ def test_fit_against_plain(spark):
     assert not kept[junk].any() and kept[~junk].mean() > 0.97
 
 
+STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+
+
+def clean_rows(n, seed):
+    draw = np.random.default_rng(seed)
+    sizes = (draw.lognormal(5.5, 0.5, n) + 30).astype(int).tolist()
+    return [(i, "en", "s", w, int(w * draw.normal(5, 0.15)), 0, 30, int(draw.random() < 0.02), 0, False) for i, w in enumerate(sizes)]
+
+
+def test_one_statistic_rejects(spark):
+    """Each planted row differs from clean ones by one statistic, short of the base rules."""
+    rows = clean_rows(400, 7)
+    rows += [(1000, "en", "s", 300, 1500, 0, 30, 10, 0, False), (1001, "en", "s", 300, 1500, 0, 30, 0, 84, False),
+             (1002, "en", "s", 300, 1500, 30, 30, 0, 0, False), (1003, "en", "s", 300, 2100, 0, 30, 0, 0, False)]
+    stats = spark.createDataFrame(rows, STATS)
+    kept = {r.doc_id: r.kept for r in o.judge(stats, o.fit(stats)).collect()}
+    assert not any(kept.pop(i) for i in range(1000, 1004))
+    assert np.mean(list(kept.values())) > 0.95
+
+
+def test_floors_are_minima(spark):
+    """A spread above its floor stays as it is; equal rows have the floor."""
+    stats = spark.createDataFrame(clean_rows(400, 8), STATS)
+    cov = np.array(o.fit(stats).first()["cov"]).reshape(o.P, o.P) / o.UNIT ** 2
+    x = o.vectors(stats).toPandas()[o.Q].to_numpy() / o.UNIT
+    assert np.allclose(np.diag(cov)[:2], x.var(0)[:2], rtol=0.25)
+    assert cov[2, 2] == pytest.approx(o.FLOORS["symbols"] ** 2) and cov[4, 4] == pytest.approx(o.FLOORS["repeats"] ** 2)
+    line = spark.createDataFrame([(i, "en", "s", 100, 500, 0, 3, 0, 0, False) for i in range(9)], STATS)
+    assert [r.distance for r in o.judge(line, o.fit(line)).collect()] == [0.0] * 9
+
+
 def test_documents_keep_columns(spark):
     df = spark.createDataFrame([(i, "word " * (i + 1), "en", "s", "mine") for i in range(30)], "doc_id long, text string, lang string, source string, kept string")
     got = o.kept_documents(df)

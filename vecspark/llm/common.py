@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecspark.session import scratch_path
@@ -51,5 +53,19 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
+    """Bounds the rows and bytes a Python worker is handed at once, for the jobs run inside; the session's own settings come back."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {key: spark.conf.get(key) for key in limits}
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

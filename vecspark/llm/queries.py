@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecspark.llm import chunk_bpe, jaccard, lines, outliers, phrase_index, token_count, token_files, toxicity, url_filter, warc
+from vecspark.llm import (chunk_bpe, collocations, jaccard, lines, merge_replay, outliers, phrase_index, prefix_trie, token_count, token_files,
+                          toxicity, url_filter, warc)
 from vecspark.llm.common import stored, table
 from vecspark.session import scratch_path
 
@@ -143,3 +144,57 @@ FROM g GROUP BY doc_id""")
 def op10(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_merge_replay")
+def op11(spark, sf_dir):
+    return merge_replay.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+ c AS (SELECT lang, phrase, size, count(*) AS f FROM (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2),
+         lambda i: array_to_string(list_slice(ws, i, i + size - 1), ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) s(size)
+         WHERE len(ws) >= size) GROUP BY ALL),
+ t AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE size = 1 GROUP BY lang),
+ cut AS (SELECT lang, phrase, size, f AS a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head,
+         array_to_string(list_slice(string_split(phrase, ' '), k + 1, size), ' ') AS tail
+         FROM c, (VALUES (1), (2)) k(k) WHERE f >= 10 AND k < size),
+ s AS (SELECT cut.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+       FROM cut JOIN c x ON x.lang = cut.lang AND x.phrase = head JOIN c y ON y.lang = cut.lang AND y.phrase = tail),
+ m AS (SELECT lang, phrase, size, a, arg_min(struct_pack(l := l, r := r, score := score), score * 4 + k) AS m FROM s GROUP BY ALL),
+ longer AS (SELECT lang, phrase, max(a) AS around FROM (SELECT lang, a, unnest([array_to_string(list_slice(string_split(phrase, ' '), 1, 2), ' '),
+         array_to_string(list_slice(string_split(phrase, ' '), 2, 3), ' ')]) AS phrase FROM m WHERE size = 3) GROUP BY ALL),
+ ranked AS (SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY m.m.score DESC, a DESC, m.phrase) AS rank, m.phrase, a,
+         m.m.l AS l, m.m.r AS r, m.m.score AS score FROM m LEFT JOIN longer ON m.lang = longer.lang AND m.phrase = longer.phrase
+         WHERE around IS NULL OR 100 * around < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000""")
+def op12(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", """
+WITH x AS (SELECT conv_id, length(coalesce(text, '')) AS chars, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS d,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(sha256(coalesce(role, '')) || coalesce(text, ''))) AS pos
+   FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, list(struct_pack(d := d, chars := chars) ORDER BY pos) AS turns FROM x GROUP BY conv_id),
+ h AS (SELECT *, CASE WHEN conv_id % 100 = 0 THEN 0 ELSE xor(list_reduce(encode(conv_id::VARCHAR)::VARCHAR.string_split(''),
+   lambda c, b: list_reduce(range(8), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(c, ascii(b)::BIGINT)),
+   4294967295::BIGINT), 4294967295) % 6 END AS h FROM o),
+ r AS (SELECT h.conv_id, coalesce(list_slice(b.turns, 1, h.h), []) || list_slice(h.turns, h.h + 1, len(h.turns)) AS turns
+   FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+ p AS (SELECT conv_id, turns, list_transform(turns, lambda t: t.d) AS ds, len(turns) AS total FROM r),
+ e AS (SELECT conv_id, total, depth, list_slice(ds, 1, depth) AS key, CASE WHEN depth > 0 THEN turns[depth].chars ELSE 0 END AS chars
+   FROM (SELECT *, unnest(range(0, total + 1)) AS depth FROM p)),
+ n AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256 FROM e GROUP BY key, depth),
+ c AS (SELECT list_slice(key, 1, depth - 1) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+ f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (key)),
+ s AS (SELECT list_slice(key, 1, up) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+   FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN s USING (key) LEFT JOIN n q ON f.depth > 0 AND q.key = list_slice(f.key, 1, f.depth - 1)""")
+def op13(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))

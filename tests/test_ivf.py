@@ -150,3 +150,97 @@ def test_stream_insert_is_repeatable(spark, embeddings):
         stream = spark.readStream.schema(rows.schema).parquet(source)
         insert_stream(index, stream, state, available_now=True).awaitTermination()
     assert index.entries().count() == 500 and index.entries().select("id").distinct().count() == 500
+
+
+def test_two_streams_into_one_index(spark, embeddings):
+    """A second stream with the default name and its own checkpoint adds its rows; a restarted one repeats none."""
+    rows = embeddings.withColumnRenamed("vec_id", "id")
+    index = IvfIndex.build(rows.filter("label < 4"), "l2", 4)
+    states = {}
+    for low, high in ((4, 7), (7, 10), (4, 7)):
+        states.setdefault(low, (scratch_path(spark, "source"), scratch_path(spark, "state")))
+        source, state = states[low]
+        rows.filter(f"label >= {low} AND label < {high}").write.mode("ignore").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        insert_stream(index, stream, state, available_now=True).awaitTermination()
+    assert index.entries().count() == 500 and index.entries().select("id").distinct().count() == 500
+
+
+def test_a_part_written_again_is_live(spark, embeddings):
+    rows = embeddings.withColumnRenamed("vec_id", "id")
+    index = IvfIndex.build(rows, "l2", 4)
+    new = rows.filter("id = 3").withColumn("id", F.lit(9000))
+    index.insert(new, part="p")
+    assert index.entries().count() == 501
+    index.delete(new.select("id"))
+    assert index.entries().count() == 500
+    index.insert(new, part="p")
+    assert index.entries().count() == 501
+    index.vacuum()
+    assert index.entries().count() == 501
+
+
+def test_a_reader_keeps_its_version(spark, embeddings):
+    rows = embeddings.withColumnRenamed("vec_id", "id")
+    index = IvfIndex.build(rows, "l2", 4)
+    whole = index.entries()
+    index.delete(rows.filter("label = 3").select("id"))
+    marked = index.entries()
+    files = set(whole.inputFiles())
+    index.vacuum()
+    index.insert(rows.filter("label = 3").withColumn("id", F.col("id") + 1000))
+    assert (whole.count(), marked.count(), index.entries().count()) == (500, 500 - rows.filter("label = 3").count(), 500)
+    # only lists that lost rows were written anew, and nothing is left to take out
+    state = index.manifest.read()[1]
+    assert not state.deletes and set(index.entries().inputFiles()) - files
+    index.purge()
+    assert index.entries().count() == 500 and index.entries().filter("label = 3 AND id < 1000").isEmpty()
+    with pytest.raises(Exception):
+        whole.count()
+
+
+def test_a_delete_during_a_vacuum_holds(spark, embeddings):
+    rows = embeddings.withColumnRenamed("vec_id", "id")
+    index = IvfIndex.build(rows, "l2", 4)
+    index.delete(rows.filter("label = 3").select("id"))
+    commit = type(index.manifest).commit
+
+    def meanwhile(manifest, change, *args):
+        type(index.manifest).commit = commit
+        index.delete(rows.filter("label = 4").select("id"))
+        return commit(manifest, change, *args)
+
+    type(index.manifest).commit = meanwhile
+    try:
+        index.vacuum()
+    finally:
+        type(index.manifest).commit = commit
+    left = rows.filter("label NOT IN (3, 4)").count()
+    assert index.entries().count() == left and index.entries().filter("label IN (3, 4)").isEmpty()
+    index.vacuum()
+    assert index.entries().count() == left and not index.manifest.read()[1].deletes
+
+
+def test_writers_take_turns(spark):
+    from vecspark.plans.manifest import Manifest, Part, State
+    from vecspark.session import create_file
+    log = Manifest(spark, scratch_path(spark, "log"))
+    log.create()
+    log.commit(lambda state: State([*state.parts, Part("a", "x")]))
+    # a writer that was lost with its claim is passed over; a change is made from the latest version
+    assert create_file(spark, f"{log.path}/claims/{1:012d}.0")
+    log.commit(lambda state: State([*state.parts, Part("b", "y")]), patience=-1.0)
+    version, state = log.read()
+    assert version == 2 and state.folders() == ["x", "y"]
+
+
+def test_lists_prune_with_a_label_and_with_many_keys(spark, embeddings):
+    rows = embeddings.withColumnRenamed("vec_id", "id")
+    index = IvfIndex.build(rows, "l2", 8, partition_by=["label"])
+    asked = as_queries(rows.filter("label < 3"))
+    plan = index.search(asked, 5, 2, on="label")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "list_id" in filters and "label" in filters
+    truth = knn_join(rows, asked, 5, on="label")
+    cols = ["query_id", "id", "rank"]
+    assert index.search(asked, 5, 8, on="label").select(*cols).exceptAll(truth.select(*cols)).isEmpty()

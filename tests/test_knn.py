@@ -64,10 +64,9 @@ MEASURES = {"l2": lambda a, b: math.dist(a, b), "ip": lambda a, b: -float(np.dot
 @pytest.mark.parametrize("metric", list(MEASURES))
 @pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
 @pytest.mark.parametrize("on", [None, "label"])
-def test_skewed_copies_match_brute_force(spark, monkeypatch, metric, strategy, on):
+def test_skewed_copies_match_brute_force(spark, metric, strategy, on):
     """A third of the rows are one copy under one label; small blocks force many pieces per key."""
-    monkeypatch.setattr(knn_module, "BASE_BLOCK", 40)
-    monkeypatch.setattr(knn_module, "QUERY_BLOCK", 7)
+    rows = 7 if strategy == "blocks" else 100
     rng = np.random.default_rng(1)
     base = {i: (([1.0, 1.0, 1.0] if i % 3 == 0 else [float(x) for x in rng.integers(-3, 4, 3)]),
                 0 if i % 3 == 0 else int(rng.integers(0, 4))) for i in range(300)}
@@ -75,7 +74,7 @@ def test_skewed_copies_match_brute_force(spark, monkeypatch, metric, strategy, o
     b = spark.createDataFrame([(i, v, lab) for i, (v, lab) in base.items()], "id int, embedding array<float>, label int")
     q = spark.createDataFrame([(i, v, lab) for i, (v, lab) in queries.items()],
                               "query_id int, embedding array<float>, label int")
-    found = knn_join(b.repartition(5), q, 9, metric, on=on, strategy=strategy).orderBy("query_id", "rank").collect()
+    found = knn_join(b.repartition(5), q, 9, metric, on=on, strategy=strategy, block_rows=rows).orderBy("query_id", "rank").collect()
     got = {}
     for r in found:
         got.setdefault(r.query_id, []).append(r.id)
@@ -111,8 +110,8 @@ def test_mixed_dimensions_raise(spark, points):
 def test_range_forms(spark, points):
     near = range_search(points, vec_lit([3, 3, 3]), below=3.0).collect()
     assert sorted(r.id for r in near) == [2, 5]
-    for strategy in ("broadcast", "blocks"):
-        pairs = range_join(points, ask(spark, [3.0, 3.0, 3.0], [0.0, 0.0, 0.0]), 3.0, 0.5, strategy=strategy).collect()
+    for rows in (1, 10):
+        pairs = range_join(points, ask(spark, [3.0, 3.0, 3.0], [0.0, 0.0, 0.0]), 3.0, 0.5, block_rows=rows).collect()
         assert sorted((r.query_id, r.id) for r in pairs) == [(0, 2), (0, 5), (1, 3)]
 
 
@@ -153,3 +152,59 @@ def test_scan_reads_only_needed_columns(spark, embeddings):
         ._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(label), EqualTo(label,3)]" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_blocks_are_bounded_and_whole(spark):
+    """Half of the queries want one key: its block is cut further; none is lost."""
+    q = spark.range(500).select(F.col("id").cast("int").alias("query_id"), F.array(F.when(F.col("id") < 250, F.lit(7)).otherwise(F.col("id"))).alias("__keys"),
+                                F.array(F.col("id").cast("float")).alias("__vec")).select("__keys", "__vec", "query_id")
+    blocks = list(knn_module.query_blocks(q, "query_id", True, rows=40))
+    assert all(0 < b.num_rows <= 40 for b in blocks)
+    assert sorted(x for b in blocks for x in b.column("query_id").to_pylist()) == list(range(500))
+    small = list(knn_module.query_blocks(q, "query_id", True, size=2000))
+    assert len(small) > 3 and all(b.nbytes <= 2000 for b in small)
+    one = q.withColumn("query_id", F.lit(1)).withColumn("__vec", F.array(F.lit(1.0).cast("float")))
+    with pytest.raises(ValueError, match="one id"):
+        list(knn_module.query_blocks(one, "query_id", True, rows=40))
+
+
+def test_blocks_leave_the_base_where_it_is(spark, embeddings):
+    """A round scans the base and shuffles k rows per query and task; no base row is exchanged or copied."""
+    q = embeddings.withColumnRenamed("vec_id", "query_id")
+    plan = executed(knn_join(embeddings, q, 3, base_id="vec_id", on="label"))
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below and "Generate" not in below and "Join" not in below
+    cols = ["query_id", "vec_id", "rank"]
+    rounds = knn_join(embeddings, q, 3, base_id="vec_id", on="label", block_rows=60).select(*cols)
+    assert rounds.exceptAll(knn_join(embeddings, q, 3, base_id="vec_id", on="label").select(*cols)).isEmpty() and rounds.count() == 1500
+
+
+def test_ranges_come_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(knn_module, "RANGE_PAIRS", 10)
+    metric = knn_module.metric_of("l2")
+    side = knn_module._QuerySide(metric, pa.table({"__keys": [[0]] * 4, "__vec": [[0.0]] * 4, "query_id": [1, 2, 3, 4]}))
+    batch = pa.RecordBatch.from_pydict({"__key": [0] * 9, "__vec": [[float(i)] for i in range(9)], "id": list(range(9))})
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    found = list(knn_module._Within(metric, side, float("-inf"), 5.0).pieces(batch, schema))
+    assert len(found) == 5 and all(f.num_rows <= 10 for f in found) and sum(f.num_rows for f in found) == 20
+
+
+def test_key_columns_prune_one_by_one(spark, tmp_path):
+    """Partition columns get filters of their own, also with an array of keys and with thousands of them."""
+    rows = spark.range(6000).select("id", F.array(F.col("id").cast("float")).alias("embedding"), (F.col("id") % 3000).cast("int").alias("list_id"),
+                                    (F.col("id") % 2).cast("int").alias("label"))
+    path = str(tmp_path / "rows")
+    rows.filter("list_id < 40").write.partitionBy("label", "list_id").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    q = rows.limit(20).select(F.col("id").alias("query_id"), "embedding", "label", F.array("list_id", F.lit(5)).alias("lists"))
+    for wide in (q, q.withColumn("lists", F.expr("transform(sequence(0, 2999), x -> int(x))"))):
+        plan = executed(knn_join(stored, wide, 2, on=["label", ("list_id", "lists")]))
+        filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "list_id" in filters and "label" in filters
+    found = knn_join(stored, q, 1, on=["label", ("list_id", "lists")])
+    assert found.filter("id % 3000 <> query_id % 3000").isEmpty()

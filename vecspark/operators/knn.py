@@ -6,9 +6,10 @@ partition, an inverted list). Each task keeps only its k best rows per query, so
 what is shuffled is k rows per query and task, never pairs.
 
 Queries of a checked, small size travel with the tasks and the base is scanned
-once, unshuffled. Larger query sets meet the base block by block: every key is
-cut into base blocks and query blocks of bounded size, so that neither a hot key
-nor a large query set ends up in one task.
+once, where it lies. Larger query sets travel block by block: blocks are bounded
+in rows and bytes, each has a round of its own over the base, and no base row is
+copied or shuffled. Queries that want the same key share a block, and a round
+reads only the rows that its block's keys want.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from vecspark.functions import bits, dense, sparse
 from vecspark.operators import kernels
 from vecspark.operators.kernels import Metric, metric_of
+from vecspark.session import materialize
 from vecspark.types import as_col
 
 # Queries travel with the tasks up to these sizes.
 BROADCAST_ROWS = 8192
 BROADCAST_BYTES = 64 << 20
-# Block sizes when both sides are large.
-BASE_BLOCK = 1 << 16
-QUERY_BLOCK = 1 << 13
+# Pairs a task holds at once where all pairs in range are wanted.
+RANGE_PAIRS = 1 << 20
 # Up to this many queries per row, pairs are measured one by one.
 DIRECT_PAIRS = 4
 # Inputs of a size between these may come in fewer pieces than there are cores, and moving them is cheap.
 SPREAD_BYTES = (2 << 20, 512 << 20)
-# Distinct keys up to this number become a literal filter on the base scan.
-LITERAL_KEYS = 2000
+# Distinct key values up to these numbers become a literal filter on the base scan: whole numbers, and others.
+LITERAL_NUMBERS, LITERAL_KEYS = 1 << 16, 2000
 
 DISTANCES = {
     "l2": dense.l2_distance, "ip": dense.negative_inner_product, "cosine": dense.cosine_distance,
@@ -87,10 +88,10 @@ def take_nearest(df: DataFrame, k: int, by: list[str], id: str, order: str = "di
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bounded_arrow(df: DataFrame) -> pa.Table | None:
+def bounded_arrow(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> pa.Table | None:
     """The rows as an Arrow table when they are few and small, else None."""
-    table = df.limit(BROADCAST_ROWS + 1).toArrow()
-    return table if table.num_rows <= BROADCAST_ROWS and table.nbytes <= BROADCAST_BYTES else None
+    table = df.limit(rows + 1).toArrow()
+    return table if table.num_rows <= rows and table.nbytes <= size else None
 
 
 def _key_pairs(on) -> list[tuple[str, str]]:
@@ -142,19 +143,45 @@ def _keys(base: DataFrame, queries: DataFrame, pairs) -> tuple[Column, Column]:
     return combine(left), F.filter(accepted, lambda x: x.isNotNull())
 
 
-def _sides(base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls):
-    if query_id in (base_id, *payload):
-        raise ValueError(f"the query id column needs a name of its own, not {query_id!r}")
-    pairs = _key_pairs(on)
-    key, accepted = _keys(base, queries, pairs)
-    left = base.select(key.alias("__key"), as_col(base_vec).alias("__vec"), F.col(base_id),
-                       *[F.col(c) for c in payload])
-    right = queries.select(accepted.alias("__keys"), as_col(query_vec).alias("__vec"), F.col(query_id))
-    if pairs:
-        left = left.filter(F.col("__key").isNotNull())
-    if nulls == "skip":
-        left = left.filter(F.col("__vec").isNotNull())
-    return left, right, pairs
+class _Sides:
+    """Both sides of a join with their keys: a base row has one, a query accepts several."""
+
+    def __init__(self, base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls):
+        if query_id in (base_id, *payload):
+            raise ValueError(f"the query id column needs a name of its own, not {query_id!r}")
+        self.base, self.pairs, self.nulls = base, _key_pairs(on), nulls
+        self.key, accepted = _keys(base, queries, self.pairs)
+        self.columns = [as_col(base_vec).alias("__vec"), F.col(base_id), *[F.col(c) for c in payload]]
+        values = [F.col(q).alias(f"__on{i}") for i, (_, q) in enumerate(self.pairs)]
+        self.right = queries.select(accepted.alias("__keys"), as_col(query_vec).alias("__vec"), F.col(query_id), *values)
+
+    def left(self, table: pa.Table) -> DataFrame:
+        """The base rows that the queries of ``table`` may want: each key column is filtered by its own values, so partition columns prune."""
+        rows = self.base
+        for i, (name, _) in enumerate(self.pairs):
+            wanted = table.column(f"__on{i}").combine_chunks()
+            if pa.types.is_list(wanted.type):
+                wanted = wanted.flatten()
+            rows = _among(rows, name, pa.compute.unique(wanted.drop_null()).to_pylist())
+        rows = rows.select(self.key.alias("__key"), *self.columns)
+        if self.pairs:
+            rows = rows.filter(F.col("__key").isNotNull())
+        return rows.filter(F.col("__vec").isNotNull()) if self.nulls == "skip" else rows
+
+    def carried(self, table: pa.Table) -> pa.Table:
+        """What of the queries travels with the tasks."""
+        return table.select([0, 1, 2])
+
+
+def _among(rows: DataFrame, name: str, values: list) -> DataFrame:
+    """The rows whose column is one of ``values``, by a literal filter where they are not too many."""
+    dtype = rows.schema[name].dataType
+    if _is_integer(dtype) and len(values) <= LITERAL_NUMBERS and all(isinstance(v, int) for v in values):
+        return rows.filter(F.expr(f"`{name}` IN ({', '.join(map(str, values))})") if values else F.lit(False))
+    if len(values) <= LITERAL_KEYS:
+        return rows.filter(F.col(name).isin(values))
+    listed = rows.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField("__among", dtype)]))
+    return rows.join(F.broadcast(listed), F.col(name) == F.col("__among"), "left_semi")
 
 
 def _candidate_schema(base, queries, base_id, query_id, payload) -> T.StructType:
@@ -313,29 +340,22 @@ class _Within:
 
     def __init__(self, metric: Metric, side: _QuerySide, low: float, high: float):
         self.metric, self.side, self.low, self.high = metric, side, low, high
-        self.parts = []
 
-    def add(self, batch: pa.RecordBatch):
+    def pieces(self, batch: pa.RecordBatch, schema: pa.Schema):
+        """What a batch gives, in tables from at most ``RANGE_PAIRS`` pairs each."""
         if batch.num_rows == 0:
             return
         carried = pa.Table.from_batches([batch]).drop_columns(["__key", "__vec"])
         block = kernels.block_from_arrow(self.metric, batch.column("__vec"))
         for key, members in _batch_parts(batch):
             asked, _ = self.side.of(_plain(key))
-            if len(asked):
-                r, q, d = kernels.within_block(self.metric, block.take(members), self.side.take(asked),
-                                               self.low, self.high)
-                self.parts.append((carried.take(pa.array(members[r])), asked[q], d))
-
-    def drain(self, schema: pa.Schema) -> pa.Table:
-        if not self.parts:
-            return schema.empty_table()
-        table = pa.concat_tables([p[0] for p in self.parts])
-        query, dist = (np.concatenate([p[i] for p in self.parts]) for i in (1, 2))
-        self.parts = []
-        columns = [self.side.ids.take(pa.array(query)), *table.columns, pa.array(dist)]
-        return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns],
-                        names=schema.names).cast(schema)
+            step = max(1, RANGE_PAIRS // max(1, len(asked)))
+            for at in range(0, len(members) if len(asked) else 0, step):
+                part = members[at:at + step]
+                r, q, d = kernels.within_block(self.metric, block.take(part), self.side.take(asked), self.low, self.high)
+                columns = [self.side.ids.take(pa.array(asked[q])), *carried.take(pa.array(part[r])).columns, pa.array(d)]
+                yield pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns],
+                               names=schema.names).cast(schema)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -343,17 +363,9 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _scan(left: DataFrame, table: pa.Table, id: str, metric: Metric, schema: T.StructType, keyed: bool, make,
-          flush: bool):
+def _scan(sides: _Sides, table: pa.Table, id: str, metric: Metric, schema: T.StructType, make, flush: bool):
     """Pass the base once by queries that travel with the tasks."""
-    if keyed:
-        keys = pa.compute.unique(table.column("__keys").combine_chunks().flatten()).to_pylist()
-        if len(keys) <= LITERAL_KEYS:
-            left = left.filter(F.col("__key").isin(keys))
-        else:
-            found = left.sparkSession.createDataFrame([(k,) for k in keys],
-                                                      T.StructType([left.schema["__key"]]))
-            left = left.join(F.broadcast(found), "__key", "left_semi")
+    left, table = sides.left(table), sides.carried(table)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
@@ -361,12 +373,13 @@ def _scan(left: DataFrame, table: pa.Table, id: str, metric: Metric, schema: T.S
 
     def run(batches):
         wanted = _arrow_schema(schema)
-        side = _QuerySide(metric, pa.ipc.open_stream(payload).read_all())
-        state = make(metric, side)
+        state = make(metric, _QuerySide(metric, pa.ipc.open_stream(payload).read_all()))
         for batch in batches:
-            state.add(batch)
-            if flush:
-                yield from state.drain(wanted).to_batches(max_chunksize=10_000)
+            if not flush:
+                state.add(batch)
+                continue
+            for piece in state.pieces(batch, wanted):
+                yield from piece.to_batches(max_chunksize=10_000)
         if not flush:
             yield from state.result(wanted).to_batches(max_chunksize=10_000)
 
@@ -385,87 +398,87 @@ def _spread(df: DataFrame, id: str) -> DataFrame:
     return df
 
 
-def _blocks(left: DataFrame, right: DataFrame, id: str, query_id: str, metric: Metric, schema: T.StructType, make,
-            flush: bool):
-    """Meet block by block: each key is cut into bounded base blocks and query blocks."""
-    right = right.select(F.explode("__keys").alias("__key"), "__vec", query_id)
-    per_key = (left.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-               .join(right.groupBy("__key").agg(F.count(F.lit(1)).alias("__m")), "__key")
-               .select("__key", F.ceil(F.col("__n") / BASE_BLOCK).cast("int").alias("__nb"),
-                       F.ceil(F.col("__m") / QUERY_BLOCK).cast("int").alias("__mb")))
-
-    def numbers(count):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    # A block is a hash share of its key, so its size holds for any one key value.
-    base = (left.join(per_key, "__key")
-            .withColumn("__b", F.pmod(F.xxhash64(id), F.col("__nb")).cast("int"))
-            .withColumn("__q", numbers("__mb")).drop("__nb", "__mb"))
-    asked = (right.join(per_key, "__key")
-             .withColumn("__q", F.pmod(F.xxhash64(query_id), F.col("__mb")).cast("int"))
-             .withColumn("__b", numbers("__nb")).drop("__nb", "__mb"))
-    extra = ["__b", "__q"]
-
-    def meet(base_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        wanted = _arrow_schema(schema)
-        if base_block.num_rows == 0 or query_block.num_rows == 0:
-            return wanted.empty_table()
-        asked_here = query_block.drop_columns(extra).combine_chunks()
-        each = pa.ListArray.from_arrays(pa.array(np.arange(asked_here.num_rows + 1, dtype=np.int32)),
-                                        asked_here.column("__key").combine_chunks())
-        side = _QuerySide(metric, asked_here.set_column(0, "__keys", each))
-        state = make(metric, side)
-        for batch in base_block.drop_columns(extra).to_batches(max_chunksize=10_000):
-            state.add(batch)
-        return state.drain(wanted) if flush else state.result(wanted)
-
-    keys = ["__key", "__b", "__q"]
-    return base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, schema)
-
-
-def _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, payload, nulls, strategy, make, flush):
+def query_blocks(right: DataFrame, query_id: str, keyed: bool, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES):
+    """The queries as Arrow tables of bounded rows and bytes, one at a time; those of one key in the same ones."""
+    first = bounded_arrow(right, rows, size)
+    if first is not None:
+        yield first
+        return
+    right = materialize(right, "query-blocks")
+    probe = right.limit(1000).toArrow()
+    fits = max(1, min(rows, size // max(1, probe.nbytes // max(1, probe.num_rows))))
+    # hashes deal unevenly, so blocks are planned smaller than they may be
+    blocks = max(2, -(-right.count() * 4 // (3 * fits)))
+    own = F.xxhash64(query_id, "__vec")
+    place = F.xxhash64(F.get("__keys", F.lit(0))) if keyed else own
+    waiting = [(F.pmod(place, F.lit(blocks)) == i, 0) for i in range(blocks)]
+    while waiting:
+        mine, bit = waiting.pop()
+        found = bounded_arrow(right.filter(mine), rows, size)
+        if found is None:
+            if bit > 40:
+                raise ValueError(f"queries of one id do not fit a block of {rows} rows and {size} bytes")
+            # a key that many queries want is cut by one more bit of the queries' own hashes
+            half = F.getbit(own, F.lit(bit + 8))
+            waiting += [(mine & (half == 0), bit + 1), (mine & (half == 1), bit + 1)]
+        elif found.num_rows:
+            yield found
+
+
+def _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, payload, nulls, strategy, make, flush, reduce,
+          block_rows=BROADCAST_ROWS):
     metric = metric_of(metric)
-    left, right, pairs = _sides(base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls)
+    sides = _Sides(base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls)
     schema = _candidate_schema(base, queries, base_id, query_id, payload)
     if strategy not in ("auto", "broadcast", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy != "blocks":
-        table = bounded_arrow(right)
-        if table is not None:
-            return _scan(left, table, base_id, metric, schema, bool(pairs), make, flush)
-        if strategy == "broadcast":
-            raise ValueError("the queries are too large to travel with the tasks")
-    return _blocks(left, right, base_id, query_id, metric, schema, make, flush)
+    if strategy == "broadcast" and bounded_arrow(sides.right) is None:
+        raise ValueError("the queries are too large to travel with the tasks")
+    done, last = None, None
+    for table in query_blocks(sides.right, query_id, bool(sides.pairs), block_rows):
+        if last is not None:
+            # a round ends before the next block is fetched, so the driver holds one block
+            found = materialize(last, "query-round")
+            done = found if done is None else done.unionByName(found)
+        last = reduce(_scan(sides, table, base_id, metric, schema, make, flush))
+    if last is None:
+        return reduce(base.sparkSession.createDataFrame([], schema))
+    return last if done is None else done.unionByName(last)
+
+
+def _nearest(base, queries, k, metric, base_id, base_vec, query_id, query_vec, on, payload, nulls, strategy, block_rows, reduce):
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    return _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, list(payload), nulls, strategy,
+                 lambda metric, side: _Nearest(metric, side, k), False, reduce, block_rows)
 
 
 def knn_candidates(base: DataFrame, queries: DataFrame, k: int, metric="l2", *, base_id="id", base_vec="embedding",
                    query_id="query_id", query_vec="embedding", on=None, payload=(), nulls="last",
-                   strategy="auto") -> DataFrame:
+                   strategy="auto", block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """At most k rows per query and task, among them the k nearest of every query."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    return _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, list(payload), nulls, strategy,
-                 lambda metric, side: _Nearest(metric, side, k), False)
+    return _nearest(base, queries, k, metric, base_id, base_vec, query_id, query_vec, on, payload, nulls, strategy, block_rows,
+                    lambda found: found)
 
 
 def knn_join(base: DataFrame, queries: DataFrame, k: int, metric="l2", *, base_id="id", base_vec="embedding",
              query_id="query_id", query_vec="embedding", on=None, payload=(), nulls="last",
-             strategy="auto") -> DataFrame:
+             strategy="auto", block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The k nearest base rows of every query: ``query_id, base_id, payload, distance, rank``.
 
     ``on`` names columns that must be equal on both sides, as ``"label"`` or
     ``("base_col", "query_col")``. NULL vectors rank last, or are left out with
-    ``nulls="skip"``; ties go to the lower id.
+    ``nulls="skip"``; ties go to the lower id. Queries beyond ``block_rows`` (or
+    64 MB) are answered in rounds, which run when this is called.
     """
-    found = knn_candidates(base, queries, k, metric, base_id=base_id, base_vec=base_vec, query_id=query_id,
-                           query_vec=query_vec, on=on, payload=payload, nulls=nulls, strategy=strategy)
-    return take_nearest(found, k, [query_id], base_id)
+    return _nearest(base, queries, k, metric, base_id, base_vec, query_id, query_vec, on, payload, nulls, strategy, block_rows,
+                    lambda found: take_nearest(found, k, [query_id], base_id))
 
 
 def range_join(base: DataFrame, queries: DataFrame, below: float = float("inf"), above: float = float("-inf"),
                metric="l2", *, base_id="id", base_vec="embedding", query_id="query_id", query_vec="embedding",
-               on=None, payload=(), strategy="auto") -> DataFrame:
+               on=None, payload=(), strategy="auto", block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All (query, row) pairs with ``above < distance < below``."""
     return _meet(base, queries.filter(as_col(query_vec).isNotNull()), metric, base_id, base_vec, query_id, query_vec,
                  on, list(payload), "skip", strategy,
-                 lambda metric, side: _Within(metric, side, above, below), True)
+                 lambda metric, side: _Within(metric, side, above, below), True, lambda found: found, block_rows)

@@ -1,9 +1,11 @@
 """Inverted-list index: k-means centres, rows stored by nearest centre, probed search.
 
-An index is a folder: ``entries`` (parquet, by ``part`` and ``list_id``; a part is
-one build or insert), ``centers`` (one small table) and
-``deleted`` (ids taken out and not yet vacuumed). Centres are bounded by a checked
-size and travel with the tasks; everything else stays in tables.
+An index is a folder: ``entries`` (parquet, by ``folder`` and ``list_id``), ``centers``
+(one small table), ``deleted`` (ids taken out and not yet vacuumed) and ``manifest``,
+whose latest version says which folders count. Inserts, deletes and vacuums write
+folders of their own and then a version; no stored file is ever changed. Centres
+are bounded by a checked size and travel with the tasks; everything else stays in
+tables.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from vecspark.functions import dense
 from vecspark.operators import kernels
 from vecspark.operators.kernels import METRICS, DenseBlock, Metric, metric_of
 from vecspark.operators.knn import _key_pairs, knn_join, take_nearest
-from vecspark.session import materialize, path_exists, scratch_path
+from vecspark.plans.manifest import Manifest, Part, State
+from vecspark.session import folder_names, materialize, remove_matching, remove_path, scratch_path
 from vecspark.types import as_col
 
 # Fixed parameter ranges and defaults.
@@ -349,6 +352,7 @@ class IvfIndex:
         index = cls(spark, path or scratch_path(spark, "ivf"), metric, centers, vec, id, df.schema,
                     list(partition_by), half)
         index._save()
+        index.manifest.create()
         index.insert(df, part="base")
         return index
 
@@ -369,56 +373,116 @@ class IvfIndex:
     def insert(self, df: DataFrame, part: str | None = None) -> None:
         """Assign new rows to the existing centres and store them; centres never move.
 
-        Writing the same ``part`` again replaces it, so a repeated insert is harmless.
+        Writing the same ``part`` again replaces it, so a repeated insert is harmless, and brings back its rows
+        even where they had been deleted.
         """
-        part = part or f"insert-{uuid.uuid4().hex}"
+        part, folder = part or f"insert-{uuid.uuid4().hex}", uuid.uuid4().hex
         placed = assign(df, self.centers, self.metric, self.vec)
         folders = [*self.partition_by, "list_id"]
         # rebalancing sends a list to one place but splits a list that is too large for it
-        (placed.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders)
-         .parquet(f"{self.path}/entries/part={part}"))
+        placed.hint("rebalance", *folders).write.partitionBy(*folders).parquet(f"{self.path}/entries/folder={folder}")
+        self.manifest.commit(lambda state: State([p for p in state.parts if p.name != part] + [Part(part, folder)], state.deletes))
 
     @property
-    def stored(self) -> DataFrame:
-        fields = [*self.schema.fields, T.StructField("list_id", T.IntegerType()),
-                  T.StructField("center_distance", T.DoubleType()), T.StructField("part", T.StringType())]
-        return self.spark.read.schema(T.StructType(fields)).option("basePath", f"{self.path}/entries") \
-            .parquet(f"{self.path}/entries/part=*")
+    def manifest(self) -> Manifest:
+        return Manifest(self.spark, self.path)
 
-    def _deleted(self) -> DataFrame | None:
-        folder = f"{self.path}/deleted"
-        if not path_exists(self.spark, folder):
+    def _rows_of(self, state: State) -> DataFrame:
+        """All rows of a version, deleted ones too."""
+        fields = [*self.schema.fields, T.StructField("list_id", T.IntegerType()),
+                  T.StructField("center_distance", T.DoubleType()), T.StructField("folder", T.StringType())]
+        reader = self.spark.read.schema(T.StructType(fields))
+        if not state.parts:
+            return self.spark.createDataFrame([], T.StructType(fields))
+        rows = reader.option("basePath", f"{self.path}/entries").parquet(*(f"{self.path}/entries/folder={f}" for f in dict.fromkeys(state.folders())))
+        # lists that a vacuum has written anew; folder and list are folders of the layout, so nothing of them is read
+        for part in state.parts:
+            if part.without:
+                rows = rows.filter(~((F.col("folder") == part.folder) & F.col("list_id").isin(part.without)))
+        return rows
+
+    def _gone(self, state: State) -> DataFrame | None:
+        """(id, folder) of the rows that deletes took out of a folder."""
+        if not state.deletes:
             return None
-        schema = T.StructType([self.schema[self.id], T.StructField("part", T.StringType())])
-        return self.spark.read.schema(schema).parquet(folder).distinct()
+        schema = T.StructType([self.schema[self.id], T.StructField("folder", T.StringType())])
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/deleted/{d}" for d in state.deletes)).distinct()
+
+    @property
+    def stored(self) -> DataFrame:
+        return self._rows_of(self.manifest.read()[1])
 
     def entries(self) -> DataFrame:
-        """The live rows with their list."""
-        rows, gone = self.stored, self._deleted()
-        return rows if gone is None else rows.join(gone, [self.id, "part"], "left_anti")
+        """The live rows with their list, of the version that is the latest now."""
+        _, state = self.manifest.read()
+        rows, gone = self._rows_of(state), self._gone(state)
+        return rows if gone is None else rows.join(gone, [self.id, "folder"], "left_anti")
 
     def delete(self, ids: DataFrame) -> None:
-        """Take rows out by id from the parts stored so far; an id inserted later as a new part is live again.
+        """Take rows out by id from the folders stored so far; an id inserted later lies in another folder and is live.
 
         Lists and centres stay. ``vacuum`` frees the space.
         """
         ids = ids.select(F.col(ids.columns[0]).cast(self.schema[self.id].dataType).alias(self.id)).distinct()
-        self.stored.select(self.id, "part").join(ids, self.id, "left_semi").distinct() \
-            .write.mode("append").parquet(f"{self.path}/deleted")
+        name = uuid.uuid4().hex
+        self.stored.select(self.id, "folder").join(ids, self.id, "left_semi").distinct().write.parquet(f"{self.path}/deleted/{name}")
+        self.manifest.commit(lambda state: State(state.parts, [*state.deletes, name]))
 
     def vacuum(self) -> None:
-        """Rewrite only the lists that lost rows; ids of lists left empty stay marked."""
-        gone = self._deleted()
+        """Write the lists that lost rows anew, without them, beside the old ones; a reader keeps the version it has.
+
+        Rows that other writers delete or replace meanwhile stay deleted or replaced.
+        """
+        _, state = self.manifest.read()
+        gone = self._gone(state)
         if gone is None:
             return
-        marked, folders = [self.id, "part"], ["part", *self.partition_by, "list_id"]
-        touched = self.stored.join(gone, marked, "left_semi").select(*folders).distinct()
-        survivors = materialize(
-            self.stored.join(touched, folders, "left_semi").join(gone, marked, "left_anti"), "ivf-vacuum")
-        survivors.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(*folders).parquet(f"{self.path}/entries")
-        left = materialize(self.stored.join(gone, marked, "left_semi").select(*marked).distinct(), "ivf-marked")
-        left.write.mode("overwrite").parquet(f"{self.path}/deleted")
+        folders = ["folder", *self.partition_by, "list_id"]
+        rows = self._rows_of(state)
+        touched = rows.join(gone, [self.id, "folder"], "left_semi").select("folder", "list_id").distinct()
+        # folders times lists at most
+        lists: dict[str, set[int]] = {}
+        for folder, list_id in touched.collect():
+            lists.setdefault(folder, set()).add(list_id)
+        run = uuid.uuid4().hex
+        here = F.lit(False)
+        for folder, numbers in lists.items():
+            here = here | ((F.col("folder") == folder) & F.col("list_id").isin(sorted(numbers)))
+        left = rows.filter(here).join(gone, [self.id, "folder"], "left_anti")
+        left = left.withColumn("folder", F.concat(F.col("folder"), F.lit(f"-{run}")))
+        left.hint("rebalance", *folders).write.mode("append").partitionBy(*folders).parquet(f"{self.path}/entries")
+        written = {name.removeprefix("folder=") for name in folder_names(self.spark, f"{self.path}/entries")}
+
+        def switch(now: State) -> State:
+            parts, moved = [], {}
+            for part in now.parts:
+                parts.append(Part(part.name, part.folder, sorted({*part.without, *lists.get(part.folder, ())})))
+                if part.folder in lists and f"{part.folder}-{run}" in written:
+                    parts.append(Part(part.name, f"{part.folder}-{run}"))
+                    moved[part.folder] = f"{part.folder}-{run}"
+            later = [d for d in now.deletes if d not in state.deletes]
+            if later and moved:
+                # deletes of rows that have moved meanwhile
+                again = uuid.uuid4().hex
+                table = self._gone(State([], later))
+                places = self.spark.createDataFrame(list(moved.items()), "folder string, __to string")
+                table.join(places, "folder").select(self.id, F.col("__to").alias("folder")).write.parquet(f"{self.path}/deleted/{again}")
+                later.append(again)
+            return State(parts, later)
+
+        self.manifest.commit(switch)
+
+    def purge(self, keep: int = 1) -> None:
+        """Remove versions but the latest ``keep`` and the folders none of them names; readers of older versions lose theirs."""
+        named = self.manifest.forget_before(keep)
+        for kind, used in (("entries", {f"folder={f}" for f in named.folders()}), ("deleted", set(named.deletes))):
+            for name in folder_names(self.spark, f"{self.path}/{kind}"):
+                if name not in used and not name.startswith("_"):
+                    remove_path(self.spark, f"{self.path}/{kind}/{name}")
+        for folder in set(named.folders()):
+            # lists that no kept version reads from this folder
+            for number in set.intersection(*(set(p.without) for p in named.parts if p.folder == folder)):
+                remove_matching(self.spark, f"{self.path}/entries/folder={folder}{'/*' * len(self.partition_by)}/list_id={number}")
 
     def _asked(self, queries: DataFrame, query_id: str, query_vec: str, pairs, probes: int) -> DataFrame:
         # the stored column may share a name with a query column, hence the prefix

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,8 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.conf.get("spark.app.id", "app")
     if app not in _local_scratch:
@@ -51,6 +53,40 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False where there is one already."""
+    files, at = _file_system(spark, path)
+    return files.createNewFile(at)
+
+
+def path_modified(spark: SparkSession, path: str) -> float:
+    """When a file was last written, in seconds; now, if it is gone."""
+    files, at = _file_system(spark, path)
+    return files.getFileStatus(at).getModificationTime() / 1000 if files.exists(at) else time.time()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def remove_matching(spark: SparkSession, pattern: str) -> None:
+    files, at = _file_system(spark, pattern)
+    for found in files.globStatus(at) or []:
+        files.delete(found.getPath(), True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where there is no such folder."""
+    files, at = _file_system(spark, path)
+    return [found.getPath().getName() for found in files.listStatus(at)] if files.exists(at) else []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -14,8 +14,9 @@ A merge may bring up a pair of a lower rank (its bytes may be cut in two ways);
 the rest of that word then waits until that rank has been applied, so every word
 sees its merges in the order that encoding it alone would take.
 
-The packed ids go back to their blocks and meet the documents' word numbers.
-Texts are never shuffled. Decoding joins the bytes of the ids.
+The packed ids go back to their blocks and meet the documents' word numbers,
+which lie bucketed by block and so are never shuffled; neither are texts.
+Decoding joins the bytes of the ids.
 
 Defined cases: null and empty texts have no ids; a null doc_id is kept; repeated
 rows are encoded each; an empty table gives no rows; extra columns are left out.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -37,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecspark.llm.common import bounded_batches, shuffle_partitions, stored
+from vecspark.session import scratch_path
 
 #: Characters of text a block holds at most, but for its last document; word numbers of a packed row of documents.
 BLOCK_CHARS, PACK_WORDS = 24 << 20, 1 << 19
@@ -281,59 +284,61 @@ def _groups(batches, key: str):
         yield run(row)
 
 
-def _digests(batches, path):
-    table = ranks_of(path).bytes
-    for rows in _groups(batches, "block"):
-        texts, numbers, counts = {}, {}, {}
-        for row in rows:
-            sizes = unpack(row["sizes"])
-            if row["kind"] == 0:
-                ids, ends = unpack(row["data"]).tolist(), np.cumsum(sizes).tolist()
-                for code, a, b in zip(np.cumsum(unpack(row["codes"])).tolist(), [0, *ends], ends):
-                    mine = ids[a:b]
-                    texts[code], counts[code] = b"".join([table[i] for i in mine]), b - a
-                    numbers[code] = " ".join(map(str, mine)).encode()
-                continue
-            out, codes, ends = [], unpack(row["data"]).tolist(), np.cumsum(sizes).tolist()
-            for doc_id, a, b in zip(row["doc_ids"], [0, *ends], ends):
-                mine = codes[a:b]
-                out.append((doc_id, sum(map(counts.__getitem__, mine)),
-                            hashlib.sha256(b" ".join(map(numbers.__getitem__, mine))).hexdigest(),
-                            hashlib.sha256(b"".join(map(texts.__getitem__, mine))).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row."""
-    def ids_of(batches):
-        for rows in _groups(batches, "block"):
-            words = {}
-            for row in rows:
-                sizes = unpack(row["sizes"])
-                data, ends = unpack(row["data"]).astype(np.int32), np.cumsum(sizes).tolist()
-                if row["kind"] == 0:
-                    words |= zip(np.cumsum(unpack(row["codes"])).tolist(), np.split(data, ends[:-1]))
-                    continue
-                lists = [np.concatenate([words[c] for c in data[a:b].tolist()]) if b > a else data[:0] for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(lists, pa.list_(pa.int32()))],
-                                                 names=["doc_id", "ids"])
-
-    return _assembled(docs, path, pattern).mapInArrow(ids_of, "doc_id long, ids array<int>")
-
-
-def _assembled(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Each block's encoded words, then its documents."""
+def _joined(docs: DataFrame, path: str, pattern: str, block_chars: int, give, schema: str) -> DataFrame:
+    """``give(words, documents)`` of each block: the rows of its encoded words, and those of its documents."""
     spark: SparkSession = docs.sparkSession
+    n, name = shuffle_partitions(spark), f"word_blocks_{uuid.uuid4().hex}"
     with bounded_batches(spark):
-        parts, _ = stored(word_blocks(docs, pattern, shuffle_partitions(spark), block_chars), "word-blocks", compression="uncompressed")
-    words = encode_buckets(parts, path)
-    return (parts.where("kind = 1").unionByName(words).repartition(shuffle_partitions(spark), "block")
-            .sortWithinPartitions("block", "kind"))
+        (word_blocks(docs, pattern, n, block_chars).write.option("compression", "uncompressed").option("path", scratch_path(spark, name))
+         .bucketBy(n, "block").saveAsTable(name))
+        parts = spark.read.table(name)
+        words = encode_buckets(parts, path).groupBy("block")
+        # a block is bounded, and so are both sides of it
+        joined = parts.where("kind = 1").groupBy("block").cogroup(words).applyInArrow(
+            lambda documents, words: give(words.to_pylist(), documents.to_pylist()), schema)
+        found, _ = stored(joined, "merge-replay")
+    # only the name goes; the files lie in the shared folder
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def token_ids(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, ids) of every row."""
+    def ids_of(words, documents):
+        known, doc_ids, lists = {}, [], []
+        for row in words:
+            known |= zip(np.cumsum(unpack(row["codes"])).tolist(), np.split(unpack(row["data"]).astype(np.int32), np.cumsum(unpack(row["sizes"]))[:-1]))
+        for row in documents:
+            codes, ends = unpack(row["data"]).tolist(), np.cumsum(unpack(row["sizes"])).tolist()
+            doc_ids += row["doc_ids"]
+            lists += [np.concatenate([known[c] for c in codes[a:b]]) if b > a else np.zeros(0, np.int32) for a, b in zip([0, *ends], ends)]
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return _joined(docs, path, pattern, block_chars, ids_of, "doc_id long, ids array<int>")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    assembled = _assembled(docs, path, pattern, block_chars)
-    with bounded_batches(docs.sparkSession, rows=64):
-        return stored(assembled.mapInArrow(lambda batches: _digests(batches, path), RESULT), "merge-replay")[0]
+    def digests(words, documents):
+        table, size = ranks_of(path).bytes, 1 + max((int(np.cumsum(unpack(row["codes"]))[-1]) for row in words), default=-1)
+        texts, numbers, counts = [b""] * size, [b""] * size, np.zeros(size, np.int64)
+        for row in words:
+            ids, n, codes = unpack(row["data"]).tolist(), unpack(row["sizes"]), np.cumsum(unpack(row["codes"]))
+            counts[codes] = n
+            ends = np.cumsum(n).tolist()
+            for code, a, b in zip(codes.tolist(), [0, *ends], ends):
+                mine = ids[a:b]
+                texts[code] = b"".join([table[i] for i in mine])
+                numbers[code] = " ".join(map(str, mine)).encode()
+        out = []
+        for row in documents:
+            codes = unpack(row["data"])
+            spent, codes, ends = np.concatenate([[0], np.cumsum(counts[codes])]), codes.tolist(), np.cumsum(unpack(row["sizes"])).tolist()
+            for doc_id, a, b in zip(row["doc_ids"], [0, *ends], ends):
+                mine = codes[a:b]
+                out.append((doc_id, int(spent[b] - spent[a]), hashlib.sha256(b" ".join(map(numbers.__getitem__, mine))).hexdigest(),
+                            hashlib.sha256(b"".join(map(texts.__getitem__, mine))).hexdigest()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _joined(docs, path, pattern, block_chars, digests, RESULT)

@@ -187,3 +187,24 @@ def test_sql_functions(spark):
                     " vec_l1_distance(array(0f, 0f), array(3f, 4f)) c, vec_dims(array(1f)) d, vec_cmp(array(1f), array(2f)) e,"
                     " vec_l2_distance(array(1f), CAST(NULL AS ARRAY<FLOAT>)) f").first()
     assert (row.a, row.c, row.d, row.e, row.f) == (5.0, 7.0, 1, -1, None) and math.isnan(row.b)
+
+
+def test_every_sql_function_is_its_column_function(spark):
+    """Under its SQL name a function gives what the column function gives, for every one of them."""
+    from vecspark.functions.sql import _TYPES, FUNCTIONS
+    register_sql_functions(spark)
+    assert len(FUNCTIONS) > 50
+    rows = [([0.5, -1.25, 0.0, 7.0], [0.25, 3.0, -2.0, 0.0]), ([0.0] * 4, [1.0, 0.0, 0.0, 2.0]), (None, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, f"{'p ' + _TYPES['v']}, {'q ' + _TYPES['v']}")
+    forms = {"v": ["p", "q"], "s": [sparse.dense_to_sparse(c) for c in ("p", "q")], "b": [bits.binary_quantize(c) for c in ("p", "q")],
+             "i": [F.lit(2), F.lit(2)], "t": [F.lit("0110"), F.lit("1")], "d": [F.col(c).cast("array<double>") for c in ("p", "q")]}
+    for c in ("p", "q"):
+        i = "pq".index(c)
+        df = df.withColumns({f"{c}_{kind}": F.col(forms[kind][i]) if kind == "v" else forms[kind][i] for kind in "sbtd"})
+    df = df.withColumns({"p_v": F.col("p"), "q_v": F.col("q")}).cache()
+    wanted, named = [], []
+    for name, (kinds, function) in FUNCTIONS.items():
+        args = [f"{'pq'[min(n, 1)]}_{kind}" if kind != "i" else "2" for n, kind in enumerate(kinds)]
+        wanted.append(function(*(F.lit(2) if a == "2" else F.col(a) for a in args)).alias(name))
+        named.append(F.expr(f"{name}({', '.join(args)})").alias(name))
+    assert repr(df.select(*wanted).collect()) == repr(df.select(*named).collect())

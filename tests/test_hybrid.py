@@ -83,3 +83,23 @@ def test_labels_and_samples(spark, docs):
     assert tags.filter("id < 500 AND tag <> 99").isEmpty()
     assert tags.filter("id >= 500 AND (tag < 1 OR tag > 12)").isEmpty()
     assert sample_queries(docs, 20).count() == 20
+
+
+def test_router_over_either_index(spark, docs, index):
+    """A vector-first search that the filter leaves short goes on, over lists and over a graph."""
+    from vecspark.plans.graph import GraphIndex
+    q = spark.createDataFrame([(0, [0.1, 0.2, 0.3]), (1, [0.9, 0.2, 0.6])], "query_id int, embedding array<float>")
+    filters = {"id >=": 400, "author": "Someone"}
+    where = predicate(filters)
+    truth = knn_join(docs.filter(where), q, 10)
+    for one in (index, GraphIndex.build(docs, m=8)):
+        result = hybrid_search(one, q, filters, 10)
+        assert (result.path, result.ef) == ("vector_first", 200)
+        assert result.rows.count() == 20 and result.rows.join(docs.filter(where), "id", "left_anti").isEmpty()
+        assert recall_per_query(result.rows, truth, "query_id", "id").agg({"recall": "min"}).first()[0] >= 0.9 or one is index
+        strict = hybrid_search(one, q, {"author": "Srinivasa Ramanujan"}, 10)
+        assert (strict.path, strict.probes) == ("filter_first", None)
+        cols = ["query_id", "id", "rank"]
+        exact = knn_join(docs.filter(predicate({"author": "Srinivasa Ramanujan"})), q, 10)
+        assert strict.rows.select(*cols).exceptAll(exact.select(*cols)).isEmpty()
+    assert hybrid_search(index, q, filters, 10).probes == 2 and hybrid_search(index, q, filters, 10, probes=7).probes == 7

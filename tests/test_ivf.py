@@ -244,3 +244,40 @@ def test_lists_prune_with_a_label_and_with_many_keys(spark, embeddings):
     truth = knn_join(rows, asked, 5, on="label")
     cols = ["query_id", "id", "rank"]
     assert index.search(asked, 5, 8, on="label").select(*cols).exceptAll(truth.select(*cols)).isEmpty()
+
+
+def test_steps_in_one_task_equal_steps_by_jobs(spark, monkeypatch):
+    """The centres are those that a job per step leads to; the driver holds somewhat more rows than lists at most."""
+    from vecspark.plans import ivf
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.05, (150, 2)) for c in ((0, 0), (1, 1), (0, 1), (1, 0), (3, 3))])
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id int, embedding array<float>").repartition(3)
+    one = train_centers(rows, "l2", 5)
+    monkeypatch.setattr(ivf, "SETTLE_CELLS", 0)
+    many = train_centers(rows, "l2", 5)
+    assert np.allclose(one, many, atol=1e-6) and one.shape == (5, 2)
+    placed = ivf.assign(rows, one).groupBy("list_id").agg(F.avg("center_distance").alias("d")).collect()
+    assert len(placed) == 5 and sum(r.d for r in placed) / 5 < 0.6
+
+
+def test_seeds_are_few_and_far(spark):
+    from vecspark.plans import ivf
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(rng.random((4000, 4)))], "id int, embedding array<float>")
+    sample = training_sample(rows, "l2", 40)
+    metric = ivf.metric_of("l2")
+    seeds = ivf._seed_centers(sample, metric, 40, np.random.default_rng(1))
+    assert 30 <= len(seeds) <= 40
+    drawn, total = ivf._draw_far(sample, metric, seeds, 100.0, np.random.default_rng(2), None)
+    assert 60 < len(drawn) < 150 and total > 0
+    again, _ = ivf._draw_far(sample.repartition(7), metric, seeds, 100.0, np.random.default_rng(2), total)
+    assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
+
+
+def test_worst_ratios_in_blocks(spark, embeddings, monkeypatch):
+    from vecspark.plans import ivf
+    index = IvfIndex.build(embeddings, "l2", 9, id="vec_id")
+    whole = index.davies_bouldin().first()[0]
+    sizes = {r.list_id: r.mean_distance for r in index.list_sizes().collect()}
+    worst = [max((sizes[i] + sizes[j]) / np.linalg.norm(index.centers[i] - index.centers[j]) for j in sizes if j != i) for i in sizes]
+    assert whole == pytest.approx(np.mean(worst))

@@ -208,3 +208,14 @@ def test_key_columns_prune_one_by_one(spark, tmp_path):
         assert "list_id" in filters and "label" in filters
     found = knn_join(stored, q, 1, on=["label", ("list_id", "lists")])
     assert found.filter("id % 3000 <> query_id % 3000").isEmpty()
+
+
+def test_first_phase_carries_no_vectors(spark, embeddings):
+    """The first exchange of a quantised search has ids and distances only; vectors are fetched for survivors."""
+    q = embeddings.withColumnRenamed("vec_id", "query_id").limit(5)
+    from vecspark.functions.bits import binary_quantize
+    coarse = knn_join(embeddings.withColumn("b", binary_quantize("embedding")), q.withColumn("b", binary_quantize("embedding")), 20, "hamming",
+                      base_id="vec_id", base_vec="b", query_vec="b", nulls="skip")
+    assert coarse.columns == ["query_id", "vec_id", "distance", "rank"]
+    final = quantized_knn(embeddings, q, 5, 20, base_id="vec_id")
+    assert "LeftSemi" in executed(final) and final.count() == 25

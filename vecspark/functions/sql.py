@@ -1,56 +1,116 @@
-"""The dense and bit functions under SQL names, as inlined SQL function bodies."""
+"""The column functions under SQL names, as SQL functions whose bodies are made from the columns themselves.
+
+Spark inlines such a body, so a function in SQL is the same expression as the
+column function it was made from.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import math
+
+from pyspark.sql import Column, SparkSession, functions as F
+
+from vecspark.functions import bits, casts, dense, half, sparse, text
+from vecspark.types import BIT_SQL, SPARSE_SQL, VECTOR_SQL
+
+_INFIX = {"+", "-", "*", "/", "%", "=", "<", ">", "<=", ">=", "<=>", "&", "|", "^", "and", "or"}
+
 
-_SAME = ("CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) <> size(b) THEN "
-         "raise_error(concat('different vector dimensions ', size(a), ' and ', size(b))) ELSE {} END")
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
 
 
-# As in the column functions, a sum beyond the range of a float counts as infinite.
-_RANGED = ("s -> CASE WHEN s > 3.4028234663852886E38D THEN double('Infinity') "
-           "WHEN s < -3.4028234663852886E38D THEN double('-Infinity') ELSE s END")
+def _literal(value, sql_type: str | None) -> str:
+    if value is None:
+        return f"CAST(NULL AS {sql_type})" if sql_type else "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        body = f"double('{'NaN' if math.isnan(value) else 'Infinity' if value > 0 else '-Infinity'}')" if not math.isfinite(value) else f"{value!r}D"
+        return f"CAST({body} AS {sql_type})" if sql_type and sql_type != "DOUBLE" else body
+    if isinstance(value, int):
+        return f"CAST({value} AS {sql_type})" if sql_type and sql_type != "INT" else str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _sum(term: str, finish: str = f", {_RANGED}") -> str:
-    return f"aggregate(zip_with(a, b, (x, y) -> {term}), 0D, (s, x) -> s + x{finish})"
+def sql_text(column: Column) -> str:
+    """A column made of names, literals, functions, lambdas, casts and cases as SQL text."""
+    return _text(column._jc.node())
 
 
-_IP = _sum("double(x) * double(y)")
-_SQUARES = "aggregate(transform({0}, x -> double(x) * double(x)), 0D, (s, x) -> s + x{1})"
-_NORM = f"sqrt({_SQUARES.format('{0}', '')})"
-_SCALE = f"{_SQUARES.format('a', f', {_RANGED}')} * {_SQUARES.format('b', f', {_RANGED}')}"
-_PAIR = "a ARRAY<FLOAT>, b ARRAY<FLOAT>"
-_BITS = "a STRUCT<len: INT, words: ARRAY<BIGINT>>, b STRUCT<len: INT, words: ARRAY<BIGINT>>"
-_BIT_SUM = "aggregate(zip_with(a.words, b.words, (x, y) -> bit_count(x {} y)), 0, (s, x) -> s + x)"
-_SAME_BITS = ("CASE WHEN a.len <> b.len THEN raise_error(concat('different bit lengths ', a.len, ' and ', b.len)) "
-              "ELSE {} END")
-_RATIO = f"{_IP} / sqrt({_SCALE})"
-_COSINE = (f"CASE WHEN {_SCALE} > 0 AND NOT isnan({_RATIO}) THEN 1 - least(greatest({_RATIO}, -1D), 1D) "
-           "ELSE double('NaN') END")
+def _text(node) -> str:
+    kind = node.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        name, args = node.functionName(), [_text(a) for a in _items(node.arguments())]
+        if name in _INFIX and len(args) == 2:
+            return f"({args[0]} {name} {args[1]})"
+        if name in ("negative", "-", "not", "!", "~") and len(args) == 1:
+            return f"({ {'negative': '-', '!': 'NOT ', 'not': 'NOT '}.get(name, name)}{args[0]})"
+        if name == "struct":
+            return f"struct({', '.join(args)})"
+        return f"{name}({', '.join(args)})"
+    if kind in ("UnresolvedAttribute", "UnresolvedNamedLambdaVariable"):
+        return node.sql()
+    if kind == "Literal":
+        dtype = node.dataType()
+        return _literal(node.value(), dtype.get().sql() if dtype.isDefined() else None)
+    if kind == "LambdaFunction":
+        names = [_text(a) for a in _items(node.arguments())]
+        return f"{names[0] if len(names) == 1 else '(' + ', '.join(names) + ')'} -> {_text(node.function())}"
+    if kind == "Cast":
+        return f"CAST({_text(node.child())} AS {node.dataType().sql()})"
+    if kind == "Alias":
+        return f"{_text(node.child())} AS {node.name().apply(0)}"
+    if kind == "CaseWhenOtherwise":
+        cases = " ".join(f"WHEN {_text(b._1())} THEN {_text(b._2())}" for b in _items(node.branches()))
+        other = node.otherwise()
+        return f"(CASE {cases} {f'ELSE {_text(other.get())} ' if other.isDefined() else ''}END)"
+    if kind == "UnresolvedExtractValue":
+        return f"{_text(node.child())}[{_text(node.extraction())}]"
+    raise ValueError(f"no SQL text for {kind}")
 
+
+_TYPES = {"v": VECTOR_SQL, "s": SPARSE_SQL, "b": BIT_SQL, "t": "string", "i": "int", "d": "array<double>"}
+#: SQL name -> (argument kinds, column function); one letter of ``_TYPES`` per argument.
 FUNCTIONS = {
-    "vec_l2_distance": (_PAIR, "DOUBLE", _SAME.format(f"sqrt({_sum('pow(double(x) - double(y), 2)')})")),
-    "vec_l2_squared_distance": (_PAIR, "DOUBLE", _SAME.format(_sum("pow(double(x) - double(y), 2)"))),
-    "vec_inner_product": (_PAIR, "DOUBLE", _SAME.format(_IP)),
-    "vec_negative_inner_product": (_PAIR, "DOUBLE", _SAME.format(f"-{_IP}")),
-    "vec_cosine_distance": (_PAIR, "DOUBLE", _SAME.format(_COSINE)),
-    "vec_l1_distance": (_PAIR, "DOUBLE", _SAME.format(_sum("abs(double(x) - double(y))"))),
-    "vec_spherical_distance": (_PAIR, "DOUBLE", _SAME.format(f"acos(least(greatest({_IP}, -1D), 1D)) / pi()")),
-    "vec_dims": ("a ARRAY<FLOAT>", "INT", "size(a)"),
-    "vec_norm": ("a ARRAY<FLOAT>", "DOUBLE", _NORM.format("a")),
-    "vec_l2_normalize": ("a ARRAY<FLOAT>", "ARRAY<FLOAT>",
-                         f"transform(a, x -> float(CASE WHEN {_NORM.format('a')} > 0 THEN x / {_NORM.format('a')} ELSE 0D END))"),
-    "vec_cmp": (_PAIR, "INT", "CASE WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN a = b THEN 0 END"),
-    "bit_hamming_distance": (_BITS, "DOUBLE", _SAME_BITS.format(f"double({_BIT_SUM.format('^')})")),
-    "bit_jaccard_distance": (_BITS, "DOUBLE", _SAME_BITS.format(
-        f"CASE WHEN {_BIT_SUM.format('&')} = 0 THEN 1D ELSE 1 - {_BIT_SUM.format('&')} / {_BIT_SUM.format('|')} END")),
+    **{f"vec_{name}": ("vv", getattr(dense, name)) for name in (
+        "l2_distance", "l2_squared_distance", "inner_product", "negative_inner_product", "cosine_distance", "l1_distance", "spherical_distance")},
+    "vec_dims": ("v", dense.vector_dims), "vec_norm": ("v", dense.vector_norm), "vec_l2_normalize": ("v", dense.l2_normalize),
+    "vec_add": ("vv", dense.vector_add), "vec_sub": ("vv", dense.vector_sub), "vec_mul": ("vv", dense.vector_mul),
+    "vec_concat": ("vv", dense.vector_concat), "vec_subvector": ("vii", dense.subvector), "vec_cmp": ("vv", dense.vector_cmp),
+    "vec_binary_quantize": ("v", bits.binary_quantize), "vec_from_array": ("d", casts.to_vector), "vec_to_sparse": ("v", sparse.dense_to_sparse),
+    "vec_to_half": ("v", half.to_half),
+    **{f"half_{name}": ("vv", getattr(half, name)) for name in (
+        "l2_distance", "l2_squared_distance", "inner_product", "negative_inner_product", "cosine_distance", "l1_distance", "spherical_distance")},
+    "half_l2_normalize": ("v", half.l2_normalize), "half_add": ("vv", half.halfvec_add), "half_sub": ("vv", half.halfvec_sub),
+    "half_mul": ("vv", half.halfvec_mul), "half_concat": ("vv", half.halfvec_concat), "half_subvector": ("vii", half.subvector),
+    "half_from_array": ("d", casts.to_halfvec),
+    **{f"sparse_{name}": ("ss", getattr(sparse, name)) for name in (
+        "l2_distance", "l2_squared_distance", "inner_product", "negative_inner_product", "cosine_distance", "l1_distance")},
+    "sparse_norm": ("s", sparse.l2_norm), "sparse_l2_normalize": ("s", sparse.l2_normalize), "sparse_cmp": ("ss", sparse.sparsevec_cmp),
+    "sparse_to_vec": ("s", casts.sparse_to_vector), "sparse_to_half": ("s", casts.sparse_to_halfvec), "sparse_from_array": ("d", casts.to_sparsevec),
+    "bit_hamming_distance": ("bb", bits.hamming_distance), "bit_jaccard_distance": ("bb", bits.jaccard_distance),
+    "bit_from_text": ("t", bits.bits_from_text), "bit_to_text": ("b", bits.bits_to_text),
+    "vec_to_text": ("v", text.format_vector), "half_to_text": ("v", text.format_halfvec), "sparse_to_text": ("s", text.format_sparsevec),
 }
 
 
-def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Define the functions for this session; Spark inlines their bodies."""
-    for name, (args, result, body) in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
-    return list(FUNCTIONS)
+_definitions: dict[str, str] = {}
+
+
+def definition(name: str) -> str:
+    """The arguments and the body of a function; made once."""
+    if name not in _definitions:
+        kinds, function = FUNCTIONS[name]
+        names = "abc"[:len(kinds)]
+        args = ", ".join(f"{n} {_TYPES[kind]}" for n, kind in zip(names, kinds))
+        _definitions[name] = f"({args}) RETURN {sql_text(function(*map(F.col, names)))}"
+    return _definitions[name]
+
+
+def register_sql_functions(spark: SparkSession, names: list[str] | None = None) -> list[str]:
+    """Define the functions (all, or those of ``names``) for this session; Spark inlines their bodies."""
+    names = list(FUNCTIONS) if names is None else names
+    for name in names:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{definition(name)}")
+    return names

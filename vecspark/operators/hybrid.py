@@ -102,13 +102,20 @@ class HybridResult:
     path: str
     strictness: float
     ef: int | None
+    probes: int | None
     rows: DataFrame
 
 
 def hybrid_search(index, queries: DataFrame, filters: dict, k: int = TOP_K, probes: int | None = None, *,
                   query_id: str = "query_id", query_vec: str = "embedding",
                   sample: float | None = None) -> HybridResult:
-    """Measure how strict the filters are, take the fitting path, add ``similarity = 1 - distance``."""
+    """Measure how strict the filters are, take the fitting path, add ``similarity = 1 - distance``.
+
+    ``index`` is an inverted-list index or a neighbour graph. A vector-first search goes on with wider limits for
+    the queries that the filter left short, until they have k rows or the index has been searched whole.
+    ``probes`` are the lists that it starts with (by default a quarter of them for a wide search, else a tenth);
+    the result says how many that were.
+    """
     where, columns = predicate(filters), filter_columns(filters)
     base = index.entries()
     share = strictness(base, where, sample)
@@ -116,12 +123,15 @@ def hybrid_search(index, queries: DataFrame, filters: dict, k: int = TOP_K, prob
     if path == "filter_first":
         rows = pre_filter_knn(base, queries, where, k, index.metric, base_id=index.id, base_vec=index.vec,
                               query_id=query_id, query_vec=query_vec, nulls="skip")
-    else:
+        probes = None
+    elif hasattr(index, "centers"):
         lists = len(index.centers)
-        wide = probes or max(1, lists // 4 if ef == WIDE_EF else lists // 10)
-        rows = post_filter_knn(index, queries, where, columns, k, ef, min(wide, lists), query_id=query_id,
-                               query_vec=query_vec)
-    return HybridResult(path, share, ef, rows.withColumn("similarity", 1 - F.col("distance")))
+        probes = min(probes or max(1, lists // 4 if ef == WIDE_EF else lists // 10), lists)
+        rows = post_filter_widening(index, queries, where, columns, k, ef, probes, query_id=query_id, query_vec=query_vec)
+    else:
+        probes = None
+        rows = index.search_post_filter(queries, k, where, ef, "relaxed_order", query_id=query_id, query_vec=query_vec)
+    return HybridResult(path, share, ef, probes, rows.withColumn("similarity", 1 - F.col("distance")))
 
 
 def log_decision(filters: dict, result: HybridResult) -> tuple[str, float, str]:

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vecspark.functions import dense
@@ -35,6 +36,10 @@ SAMPLE_PER_LIST, SAMPLE_MIN = 50, 10_000
 # Centres travel with every task, so their total size is limited.
 CENTER_CELLS = 32 << 20
 SAMPLE_ROWS_PER_TASK = 50_000
+# Numbers of a sample that one task takes through all k-means steps.
+SETTLE_CELLS = 8 << 20
+# Pairs of centres measured at once.
+RATIO_CELLS = 1 << 18
 
 
 def check_range(name: str, value: int, low: int, high: int) -> int:
@@ -167,56 +172,97 @@ def merge_partials(partial: DataFrame) -> DataFrame:
     return partial.repartition("list_id").mapInArrow(run, partial.schema)
 
 
-def _seed_centers(sample: DataFrame, metric: Metric, lists: int, rng, rounds: int = 2) -> np.ndarray:
-    """k-means|| seeding: a few passes that draw far rows more often, then thin to ``lists``."""
+def _seed_centers(sample: DataFrame, metric: Metric, lists: int, rng, rounds: int = 4) -> np.ndarray:
+    """At most ``lists`` rows, drawn in a few passes in which rows far from those drawn before come up more often.
+
+    Tasks draw; the driver holds what was drawn, somewhat more than ``lists`` rows at most, and of those keeps
+    the ones that most of the sample lies near.
+    """
     seed = int(rng.integers(1 << 30))
-    order = F.xxhash64("id", F.lit(seed))
-    picked = _collect_rows(sample.orderBy(order).limit(1), metric)
-    for _ in range(rounds):
-        picked = np.unique(np.concatenate([picked, _draw_far(sample, metric, picked, 2 * lists, rng)]), axis=0)
-    if len(picked) <= lists:
-        return picked
-    weight, _, _ = _lloyd_step(sample, metric, picked)
-    return _thin(metric, picked, weight.astype(np.float64), lists, rng)
-
-
-def _draw_far(sample: DataFrame, metric: Metric, picked: np.ndarray, wanted: int, rng) -> np.ndarray:
-    """About ``wanted`` rows, each drawn with a chance growing with its squared distance."""
+    picked = _collect_rows(sample.orderBy(F.xxhash64("id", F.lit(seed))).limit(1), metric)
+    total = None
+    for left in range(rounds, 0, -1):
+        wanted = 1.2 * (lists - len(picked)) / left
+        if wanted <= 0:
+            break
+        drawn, total = _draw_far(sample, metric, picked, wanted, rng, total)
+        picked = np.unique(np.concatenate([picked, drawn]), axis=0)
+    if len(picked) > lists:
+        weight, _, _ = _lloyd_step(sample, metric, picked)
+        picked = picked[np.sort(np.argsort(-weight, kind="stable")[:lists])]
+    return picked
+
+
+def _draw_far(sample: DataFrame, metric: Metric, picked: np.ndarray, wanted: float, rng, total: float | None):
+    """About ``wanted`` rows, each drawn with a chance growing with its squared distance, and the sum of those.
+
+    ``total`` is the sum as it was before the last draw; the sum only falls, so it draws rather fewer rows.
+    """
     seed = int(rng.integers(1 << 30))
-    schema = "id_hash bigint, cost double, vec " + dict(sample.dtypes)["vec"]
+    rows = sample.select(F.xxhash64("id", F.lit(seed)).alias("id_hash"), "vec")
+    schema = "cost double, vec " + dict(sample.dtypes)["vec"]
 
-    def run(batches):
-        base = DenseBlock(picked)
+    def run(batches, scale):
+        base, spent = DenseBlock(picked), 0.0
         for batch in batches:
-            if batch.num_rows:
-                _, rank = kernels.nearest_center(metric.train, features(metric, batch.column("vec")), base)
-                cost = train_distance(metric, rank) ** 2
-                yield pa.RecordBatch.from_arrays([batch.column("id_hash"), pa.array(cost), batch.column("vec")],
-                                                 names=["id_hash", "cost", "vec"])
-
-    costs = sample.select(F.xxhash64("id", F.lit(seed)).alias("id_hash"), "vec").mapInArrow(run, schema)
-    total = costs.agg(F.sum("cost")).first()[0] or 0.0
+            if not batch.num_rows:
+                continue
+            _, rank = kernels.nearest_center(metric.train, features(metric, batch.column("vec")), base)
+            cost = train_distance(metric, rank) ** 2
+            spent += float(cost.sum())
+            # a hash of the id stands for the random number, so a lost task draws the same rows
+            uniform = (batch.column("id_hash").to_numpy() & ((1 << 31) - 1)) / float(1 << 31)
+            drawn = np.flatnonzero(uniform < cost * scale)
+            if len(drawn):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(drawn), pa.float64()), batch.column("vec").take(pa.array(drawn))], names=["cost", "vec"])
+        yield pa.RecordBatch.from_arrays([pa.array([spent]), pa.nulls(1, batch_type(schema_of))], names=["cost", "vec"])
+
+    schema_of = sample.schema["vec"].dataType
+
+    def batch_type(dtype):
+        from pyspark.sql.pandas.types import to_arrow_type
+        return to_arrow_type(dtype)
+
+    if total is None:
+        total = rows.mapInArrow(lambda batches: run(batches, 0.0), schema).agg(F.sum("cost")).first()[0] or 0.0
     if total <= 0:
-        return picked[:0]
-    # a hash of the id stands for the random number, so a lost task draws the same rows
-    uniform = F.pmod(F.col("id_hash"), F.lit(1 << 31)) / float(1 << 31)
-    return _collect_rows(costs.filter(uniform < F.col("cost") * (wanted / total)), metric)
-
-
-def _thin(metric: Metric, rows: np.ndarray, weight: np.ndarray, lists: int, rng) -> np.ndarray:
-    """Weighted k-means++ over the few drawn rows."""
-    chosen = [int(rng.choice(len(rows), p=weight / weight.sum()))]
-    near = np.full(len(rows), np.inf)
-    block, ranker = DenseBlock(rows), METRICS["ip" if metric.train == "spherical" else "l2"]
-    for _ in range(lists - 1):
-        every = np.arange(len(rows))
-        rank = block.exact(ranker, every, block, np.full(len(rows), chosen[-1]))
-        near = np.minimum(near, train_distance(metric, rank) ** 2)
-        chance = weight * near
-        if chance.sum() <= 0:
-            break
-        chosen.append(int(rng.choice(len(rows), p=chance / chance.sum())))
-    return rows[chosen]
+        return picked[:0], 0.0
+    found = rows.mapInArrow(lambda batches: run(batches, wanted / total), schema).toArrow()
+    cost = found.column("cost")
+    drawn, total = found.filter(cost.is_null()), float(pa.compute.sum(cost).as_py() or 0.0)
+    return (features(metric, drawn.column("vec")).data if drawn.num_rows else picked[:0]), total
+
+
+def _settle(sample: DataFrame, metric: Metric, centers: np.ndarray, half: bool, steps: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Steps over a sample that lies in one task, all in it: (centres, rows per list, steps taken).
+
+    Ends when nothing moves, or when a list has lost all its rows.
+    """
+    schema = "n bigint, steps int, center array<double>"
+
+    def run(batches):
+        blocks = [features(metric, b.column("vec")) for b in batches if b.num_rows]
+        now, taken = centers, 0
+        while True:
+            count, total, base = np.zeros(len(now), np.int64), np.zeros_like(now), DenseBlock(now)
+            for rows in blocks:
+                nearest, _ = kernels.nearest_center(metric.train, rows, base)
+                order = np.argsort(nearest, kind="stable")
+                groups, first = np.unique(nearest[order], return_index=True)
+                total[groups] += np.add.reduceat(rows.data[order], first, axis=0)
+                count += np.bincount(nearest, minlength=len(now))
+            taken += 1
+            means = np.divide(total, count[:, None], out=now.copy(), where=(count > 0)[:, None])
+            moved = _round_centers(metric, means, half)
+            still = np.array_equal(moved, now)
+            now = moved
+            if still or taken >= steps or (count == 0).any():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(np.full(len(now), taken, np.int32)),
+                                          pa.array(list(now), type=pa.list_(pa.float64()))], names=["n", "steps", "center"])
+
+    table = sample.coalesce(1).select("vec").mapInArrow(run, schema).toArrow()
+    return DenseBlock.from_arrow(table.column("center")).data, table.column("n").to_numpy(), table.column("steps")[0].as_py()
 
 
 def train_centers(df: DataFrame, metric="l2", lists: int = LISTS_DEFAULT, vec: str = "embedding", id: str = "id",
@@ -245,6 +291,15 @@ def train_centers(df: DataFrame, metric="l2", lists: int = LISTS_DEFAULT, vec: s
     if lists * dim > CENTER_CELLS:
         raise ValueError(f"{lists} centres of {dim} dimensions are too large to travel with the tasks")
     centers = _fill(metric, first, lists, dim, rng, half)
+    if total <= SAMPLE_ROWS_PER_TASK and total * dim <= SETTLE_CELLS:
+        # the sample is one task's, which can take all steps without a job for each
+        while max_iter > 0:
+            centers, count, taken = _settle(sample, metric, centers, half, max_iter)
+            max_iter, lost = max_iter - taken, count == 0
+            if not lost.any() or total < lists or max_iter <= 0:
+                break
+            centers[lost] = _fill(metric, centers[:0], int(lost.sum()), dim, rng, half, low=centers.min(axis=0), high=centers.max(axis=0))
+        return centers
     for step in range(max_iter):
         count, means, _ = _lloyd_step(sample, metric, centers)
         moved = _round_centers(metric, np.where((count > 0)[:, None], means, centers), half)
@@ -596,21 +651,26 @@ def davies_bouldin(spread: DataFrame, centers: np.ndarray, spark: SparkSession,
     ranker = METRICS["ip" if metric.train == "spherical" else "l2"]
     full = center_table(spark, centers).join(spread, "list_id").select(
         "list_id", F.coalesce("mean_distance", F.lit(0.0)).alias("s"))
-    pairs = full.toArrow()
-    ids, s = pairs.column("list_id").to_numpy(), pairs.column("s").to_numpy()
+    # one number per list travels, beside the centres
+    spreads = np.zeros(len(centers))
+    for row in full.toLocalIterator():
+        spreads[row["list_id"]] = row["s"]
+    live = np.zeros(len(centers), bool)
+    live[[row["list_id"] for row in spread.select("list_id").toLocalIterator()]] = True
 
     def run(batches):
+        ids = np.flatnonzero(live)
         block = DenseBlock(centers[ids])
         for batch in batches:
-            mine = DenseBlock(centers[batch.column("list_id").to_numpy()])
-            own = batch.column("s").to_numpy()
-            worst = np.zeros(len(own))
-            for i in range(len(own)):
-                rank = block.exact(ranker, np.arange(len(block)), mine, np.full(len(block), i))
-                gap = train_distance(metric, rank)
-                other = (ids != batch.column("list_id")[i].as_py()) & (gap > 0)
-                ratio = np.divide(s + own[i], gap, out=np.full(len(gap), -np.inf), where=other)
-                worst[i] = ratio.max(initial=0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(worst)], names=["worst"])
+            lists = batch.column("list_id").to_numpy()
+            step = max(1, RATIO_CELLS // max(1, len(ids)))
+            for at in range(0, len(lists), step):
+                mine = lists[at:at + step]
+                near = np.repeat(np.arange(len(mine)), len(ids))
+                far = np.tile(np.arange(len(ids)), len(mine))
+                gap = train_distance(metric, block.exact(ranker, far, DenseBlock(centers[mine]), near)).reshape(len(mine), -1)
+                other = (ids[None, :] != mine[:, None]) & (gap > 0)
+                ratio = np.divide(spreads[mine][:, None] + spreads[ids][None, :], gap, out=np.zeros_like(gap), where=other)
+                yield pa.RecordBatch.from_arrays([pa.array(ratio.max(axis=1, initial=0.0))], names=["worst"])
 
     return full.mapInArrow(run, "worst double").agg(F.avg("worst").alias("davies_bouldin"))

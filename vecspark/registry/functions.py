@@ -411,7 +411,7 @@ def vector_from_rows(spark, sf):
   AS max_norm FROM p GROUP BY label""")
 def sql_functions(spark, sf):
     from vecspark.functions.sql import register_sql_functions
-    register_sql_functions(spark)
+    register_sql_functions(spark, ["vec_l2_distance", "vec_cosine_distance", "vec_norm"])
     with_center(spark, sf).createOrReplaceTempView("vec_pairs")
     return spark.sql("""SELECT label, count(*) AS rows, round(avg(vec_l2_distance(embedding, center)), 6) + 0D AS mean_l2,
         round(avg(vec_cosine_distance(embedding, center)), 6) + 0D AS mean_cosine,
@@ -420,6 +420,22 @@ def sql_functions(spark, sf):
 
 
 
+@query("sql_functions_of_all_types", f"""{PAIRED} SELECT label, {sql_r6(f"avg({sql_l2('a', 'b')})")} AS sparse_l2,
+  {sql_r6("avg(list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))))")} AS l1, 2 * len(any_value(a))::INT AS dims,
+  {sql_r6("avg(len(list_filter(list_zip(a, b), lambda p: (p[1] > 0) <> (p[2] > 0))))")} AS hamming FROM p GROUP BY label""")
+def sql_functions_of_all_types(spark, sf):
+    """Casts, sparse and bit functions under their SQL names."""
+    from vecspark.functions.sql import register_sql_functions
+    register_sql_functions(spark, ["sparse_l2_distance", "vec_to_sparse", "vec_l1_distance", "sparse_to_vec", "bit_hamming_distance",
+                                   "vec_binary_quantize", "vec_concat", "vec_dims"])
+    with_center(spark, sf).createOrReplaceTempView("vec_typed")
+    return spark.sql("""SELECT label, round(avg(sparse_l2_distance(vec_to_sparse(embedding), vec_to_sparse(center))), 6) + 0D AS sparse_l2,
+        round(avg(vec_l1_distance(sparse_to_vec(vec_to_sparse(embedding)), center)), 6) + 0D AS l1,
+        max(vec_dims(vec_concat(embedding, center))) AS dims,
+        round(avg(bit_hamming_distance(vec_binary_quantize(embedding), vec_binary_quantize(center))), 6) + 0D AS hamming
+        FROM vec_typed GROUP BY label""")
+
+
 @query("sparse_sort_mixed_dims", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey,
    list_transform(range(1, 3 + l_linenumber % 4), lambda i: ((l_partkey + i * l_suppkey) % 5 - 2)::FLOAT) AS a,
    list_transform(range(1, 3 + l_orderkey % 4), lambda i: ((l_orderkey + i * 3) % 5 - 2)::FLOAT) AS b FROM lineitem)
@@ -447,7 +463,7 @@ _HUGE = 3.4028234663852886e38
 def sql_functions_overflow(spark, sf):
     """Sums beyond the range of a float are infinite under the SQL names too."""
     from vecspark.functions.sql import register_sql_functions
-    register_sql_functions(spark)
+    register_sql_functions(spark, ["vec_l2_distance", "vec_inner_product", "vec_cosine_distance"])
     grown = F.transform("embedding", lambda x: (x.cast("double") * F.pow(F.lit(10.0), 4 * F.col("label"))).cast("float"))
     embeddings(spark, sf).select("vec_id", grown.alias("a"), F.col("embedding").alias("b")).createOrReplaceTempView("vec_huge")
     return spark.sql("""SELECT vec_id, vec_l2_distance(a, b) = double('Infinity') AS l2_over,

@@ -71,7 +71,7 @@ def ivf_post_filter(spark, sf):
 
 @query("ivf_widening", sql_knn_join("l2", K, where="b.label < 3"))
 def ivf_widening(spark, sf):
-    """Search again with wider limits until every query has its rows; never short, and then exact at full width."""
+    """All limits at their widest: exact in one round."""
     index = given_index(spark, sf)
     return ranked(post_filter_widening(index, as_queries(embeddings(spark, sf)), predicate({"label <": 3}), ["label"], K,
                                        ef=1 << 20, probes=len(index.centers)))
@@ -111,20 +111,66 @@ def ivf_lineitem_full_probe(spark, sf):
     return ranked(index.search(supplier_queries(spark, sf), K, LISTS, query_vec="qv"))
 
 
-@query("ivf_recall_by_probes")
+@query("ivf_recall_by_probes", f"""SELECT probes::INT AS probes, true AS reached, true AS within FROM (VALUES (1), (4), ({LISTS})) t(probes)""")
 def ivf_recall_by_probes(spark, sf):
-    """Recall against the exact result for growing numbers of probes."""
+    """Recall floors against the exact result for growing numbers of probes, and rows measured up to all of them."""
     rows = embeddings(spark, sf)
     index = IvfIndex.build(rows, "l2", LISTS, id="vec_id")
     truth = knn_join(rows, as_queries(rows), K, base_id="vec_id")
     report = evaluate.sweep(spark, "ivf", lambda p: index.search(as_queries(rows), K, p), [1, 4, LISTS], truth,
                             "query_id", "vec_id", lambda p: index.comparisons(as_queries(rows), p))
-    return report.select("method", "param", "recall", "distance_comps")
+    floor = F.when(F.col("param") == 1, 0.25).when(F.col("param") == 4, 0.55).otherwise(1.0)
+    return report.select(F.col("param").alias("probes"), (F.col("recall") >= floor).alias("reached"),
+                         F.when(F.col("param") == LISTS, F.col("distance_comps") == rows.count()).otherwise(
+                             (F.col("distance_comps") > 0) & (F.col("distance_comps") < rows.count())).alias("within"))
+
+
+@query("ivf_two_streams", sql_knn_join("l2", K))
+def ivf_two_streams(spark, sf):
+    """Two streams with the same name and a checkpoint each, one of them started again: every row is there once."""
+    from vecspark.streaming import insert_stream
+    rows = embeddings(spark, sf)
+    index = given_index_for(spark, sf, rows.filter(F.col("label") < 3))
+    first, second = F.col("label").between(3, 5), F.col("label") > 5
+    places = [(scratch_path(spark, "arrivals"), scratch_path(spark, "stream-checkpoint")) for _ in range(2)]
+    for (arrivals, _), share in zip(places, (first, second)):
+        rows.filter(share).write.parquet(arrivals)
+    for arrivals, checkpoint in (*places, places[0]):
+        stream = spark.readStream.schema(rows.schema).parquet(arrivals)
+        insert_stream(index, stream, checkpoint, available_now=True).awaitTermination()
+    return ranked(index.search(as_queries(rows), K, len(index.centers)))
+
+
+@query("ivf_bit_majority", "SELECT count(*) AS rows, true AS settled FROM embeddings")
+def ivf_bit_majority(spark, sf):
+    """Trained bit centres are the majority of their lists' bits, and no row has a nearer centre than its list's."""
+    rows = embeddings(spark, sf).select("vec_id", bits.binary_quantize("embedding").alias("bits"))
+    index = IvfIndex.build(rows, "hamming", LISTS, "bits", "vec_id")
+    stored = index.entries().select("list_id", F.posexplode(F.split(bits.bits_to_text("bits"), "")).alias("pos", "bit")).where("bit <> ''")
+    majority = stored.groupBy("list_id", "pos").agg((F.avg(F.col("bit").cast("int")) > 0.5).cast("double").alias("own"))
+    centers = ivf.center_table(spark, index.centers).select("list_id", F.posexplode("center").alias("pos", "given"))
+    off = majority.join(centers, ["list_id", "pos"]).filter("own <> given").count()
+    return index.entries().agg(F.count(F.lit(1)).alias("rows")).withColumn("settled", F.lit(off == 0))
+
+
+@query("ivf_more_lists_than_rows", """WITH v AS (SELECT r_regionkey AS vec_id, [r_regionkey::FLOAT, length(r_name)::FLOAT] AS embedding FROM region),
+  n AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM v b, v q),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM n)
+  SELECT query_id, vec_id, round(distance, 6) + 0.0 AS distance, rank::INT AS rank FROM o WHERE rank <= 3""")
+def ivf_more_lists_than_rows(spark, sf):
+    """Fewer rows than lists: the remaining centres are random, and a full probe still finds everything."""
+    import warnings
+    rows = table(spark, sf, "region").select(F.col("r_regionkey").alias("vec_id"), F.array(
+        F.col("r_regionkey").cast("float"), F.length("r_name").cast("float")).alias("embedding"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        index = IvfIndex.build(rows, "l2", 10, id="vec_id")
+    return ranked(index.search(as_queries(rows), 3, 10))
 
 
 @query("ivf_iterative", sql_knn_join("l2", K, where="b.label = 3"))
 def ivf_iterative(spark, sf):
-    """Probing goes on until k rows pass the filter; with all lists in the first round it is exact."""
+    """All lists in the first round: exact."""
     index = given_index(spark, sf)
     found = index.search_iterative(as_queries(embeddings(spark, sf)), K, len(index.centers), where=F.col("label") == 3)
     return ranked(found)
@@ -239,16 +285,46 @@ def hybrid_filter_first(spark, sf):
     return result.rows.select("query_id", "vec_id", r6(F.col("similarity")).alias("similarity"), "rank")
 
 
-@query("hybrid_vector_first", f"""SELECT * FROM (VALUES ('label >= 5', 'vector_first', 200), ('label >= 1', 'vector_first', 40))
-  t(filter, path, ef)""")
+def _widened(where: str, ef: int, probes: int) -> str:
+    """Probe and filter with limits doubled for queries that came out short, to the end, around the given centres."""
+    return f"""WITH {_ASSIGNED}, pr AS (SELECT e.vec_id, e.embedding, c.label AS list_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY
+      {sql_l2('e.embedding', 'c.center')}, c.label) AS probe FROM embeddings e, cent c),
+    rounds AS (SELECT i, {ef} * 2 ** i AS ef, {probes} * 2 ** i AS probes FROM range(12) t(i)),
+    d AS (SELECT q.vec_id AS query_id, b.vec_id, b.label, probe, {sql_l2('b.embedding', 'q.embedding')} AS distance
+      FROM a b JOIN pr q ON b.list_id = q.list_id),
+    f AS (SELECT * FROM (SELECT i, query_id, vec_id, label, distance, row_number() OVER (PARTITION BY i, query_id ORDER BY distance, vec_id) AS near, ef
+      FROM d JOIN rounds ON probe <= probes) WHERE near <= ef AND {where}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY i, query_id ORDER BY distance, vec_id) AS rank, count(*) OVER (PARTITION BY i, query_id) AS found FROM f),
+    first AS (SELECT query_id, min(i) AS i FROM n WHERE found >= {K} GROUP BY query_id)
+  SELECT query_id, vec_id, {sql_r6('distance')} AS distance, rank::INT AS rank FROM n JOIN first USING (query_id, i) WHERE rank <= {K}"""
+
+
+@query("hybrid_vector_first", _widened("label >= 5", 200, 2))
 def hybrid_vector_first(spark, sf):
-    rows, out = as_queries(embeddings(spark, sf)), []
-    index = given_index(spark, sf)
-    for name, filters in (("label >= 5", {"label >=": 5}), ("label >= 1", {"label >=": 1})):
-        result = hybrid_search(index, rows, filters, K)
-        if not result.rows.isEmpty():
-            out.append((name, result.path, result.ef))
-    return spark.createDataFrame(out, "filter string, path string, ef int")
+    """Half the rows pass, so vectors go first; queries that the filter leaves short go on with wider limits."""
+    result = hybrid_search(given_index(spark, sf), as_queries(embeddings(spark, sf)).drop("label"), {"label >=": 5}, K)
+    if (result.path, result.ef, result.probes) != ("vector_first", 200, 2):
+        raise ValueError(f"unexpected path {result}")
+    return ranked(result.rows.drop("similarity"))
+
+
+@query("ivf_widening_rounds", _widened("label < 2", 12, 1))
+def ivf_widening_rounds(spark, sf):
+    """From one list and a dozen rows: most queries come out short at first and take several rounds."""
+    return ranked(post_filter_widening(given_index(spark, sf), as_queries(embeddings(spark, sf)).drop("label"), predicate({"label <": 2}), ["label"],
+                                       K, ef=12, probes=1))
+
+
+@query("ivf_iterative_order", f"""WITH {_ASSIGNED}, pr AS (SELECT e.vec_id, e.embedding, c.label AS list_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY
+      {sql_l2('e.embedding', 'c.center')}, c.label) - 1 AS batch FROM embeddings e, cent c),
+    d AS (SELECT q.vec_id AS query_id, b.vec_id, batch, {sql_l2('b.embedding', 'q.embedding')} AS distance
+      FROM a b JOIN pr q ON b.list_id = q.list_id WHERE b.label = 3)
+  SELECT query_id, vec_id, {sql_r6('distance')} AS distance, rank::INT AS rank, batch::INT AS batch FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY batch, distance, vec_id) AS rank FROM d) WHERE rank <= {K}""")
+def ivf_iterative_order(spark, sf):
+    """One list after the other until k rows pass: rows come in the order of the rounds that found them."""
+    found = given_index(spark, sf).search_iterative(as_queries(embeddings(spark, sf)), K, 1, where=F.col("label") == 3)
+    return found.select("query_id", "vec_id", r6(F.col("distance")).alias("distance"), "rank", "batch")
 
 
 @query("filter_advisor", f"""WITH s AS (SELECT label, 1 - count(*)::DOUBLE / (SELECT count(*) FROM embeddings) AS share FROM embeddings

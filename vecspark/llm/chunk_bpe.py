@@ -9,15 +9,15 @@ is encoded where the text lies, and a document without shared chunks never
 leaves its task. Texts are not shuffled but for one copy of each shared chunk.
 
 Chunks end anywhere between two characters, so their ids need not be those of
-the text around a join. Each join is repaired: a window grows out from it over
-the ids on both sides until it starts and ends where the tokenizer always
-breaks, and its text is encoded anew; outside of it the ids agree with those of
-the whole text.
+the text around a join. Each join is repaired: the words before it that the next
+chunk may change are cut and encoded anew together with that chunk's first
+words, until a word ends where one of the chunk alone ends; from there on the
+ids agree with those of the whole text.
 
 Decoding goes from ids to the bytes of their vocabulary strings.
 
-Defined cases: null and empty texts have no ids; strings of added tokens are
-never cut and count as the library takes them; repeated rows are encoded each;
+Defined cases: null and empty texts have no ids; a text with the string of an
+added token is encoded whole, as the library takes it; repeated rows are encoded each;
 an empty table gives no rows; extra columns are left out.
 """
 
@@ -33,16 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vecspark.llm import bloom
-from vecspark.llm.common import small_batches, stored
-from vecspark.llm.pieces import ALPHABET, added_tokens, id_pieces, tokenizer
+from vecspark.llm.common import bounded_batches, stored
+from vecspark.llm.pieces import ALPHABET, added_tokens, tokenizer
+from vecspark.llm.word_ids import cutter, word_ids
 
 WINDOW, LEAST_BYTES, MEAN_BITS = 32, 64, 9
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: kind: 0 a result, 1 ids of a stretch, 2 a reference to a shared chunk, 3 the bytes of a shared chunk.
 PARTS = "kind int, row long, at int, doc_id long, fp1 long, fp2 long, data binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
-#: A place where the tokenizer always breaks: a visible ASCII character before ASCII white space.
-_BREAK = re.compile(rb"(?<=[!-~])(?=[ \t\n\r])")
 
 
 def cut_batch(texts: list[bytes], added: tuple[bytes, ...]) -> list[list[bytes]]:
@@ -99,54 +98,59 @@ def decode(ids: bytes, path: str) -> bytes:
 
 
 class Joiner:
-    """Packed ids of a text that grows chunk by chunk; always those of the text so far."""
+    """Packed ids of a text that grows chunk by chunk.
+
+    ``ids`` are those of the part whose words no later chunk can change; the rest waits as text. A chunk's own
+    words and those of the whole text agree from the first place where both break on, so what lies before it
+    is encoded anew and the chunk's ids are taken from there. A chunk inside one long word only makes the
+    waiting text longer, which is read once, when a break comes.
+    """
+
+    #: Last words that a later chunk may change: a quote and the letters of a contraction, and one for safety.
+    OPEN = 3
 
     def __init__(self, path: str):
-        self.of, self.table, self.ids = id_pieces(path).of, token_bytes(path), bytearray()
-
-    def _tail(self) -> tuple[int, bytes]:
-        """How many last ids to redo, and their bytes: from the last sure break, else from the start."""
-        n, most = 8, len(self.ids) // 4
-        while True:
-            strings = [self.table[i] for i in np.frombuffer(bytes(self.ids[-4 * n:]), "<u4").tolist()]
-            text = b"".join(strings)
-            # a break at the very start can't be seen without what is before it
-            places = [m.start() for m in _BREAK.finditer(text)]
-            if places:
-                back, size = 0, 0
-                while size < len(text) - places[-1]:
-                    back += 1
-                    size += len(strings[-back])
-                return back, text[places[-1]:]
-            if n >= most:
-                return most, text
-            n *= 2
-
-    def _head(self, ids: bytes) -> tuple[int, bytes]:
-        """How many first ids to redo, and their bytes: up to the first sure break, else all."""
-        n, most = 8, len(ids) // 4
-        while True:
-            strings = [self.table[i] for i in np.frombuffer(ids[:4 * n], "<u4").tolist()]
-            text = b"".join(strings)
-            place = _BREAK.search(text)
-            if place:
-                count, size = 0, 0
-                while size < place.start():
-                    size += len(strings[count])
-                    count += 1
-                return count, text[:place.start()]
-            if n >= most:
-                return most, text
-            n *= 2
+        self.known, self.table, self.ids, self.waiting, self.begun = word_ids(path), token_bytes(path), bytearray(), [], False
 
     def add(self, ids: bytes):
-        if not self.ids or not ids:
-            self.ids += ids
+        if not ids:
+            return
+        strings = [self.table[i] for i in np.frombuffer(ids, "<u4").tolist()]
+        text = b"".join(strings).decode()
+        ends = [m.end() for m in cutter(text).finditer(text)]
+        if len(ends) <= self.OPEN:
+            self.waiting.append(text)
+            self.begun = True
             return
-        back, before = self._tail()
-        ahead, after = self._head(ids)
-        del self.ids[len(self.ids) - 4 * back:]
-        self.ids += self.of((before + after).decode()) + ids[4 * ahead:]
+        last = ends[-1 - self.OPEN]
+        if self.begun:
+            joined = "".join(self.waiting) + text
+            before, own = len(joined) - len(text), {0, *ends}
+            words, start = [], len(text)
+            for m in cutter(joined).finditer(joined):
+                words.append(m.group())
+                if m.end() - before in own:
+                    start = m.end() - before
+                    break
+            if start > last:
+                self.waiting = [joined]
+                return
+            self.ids += self.known.packed_words(words)
+        else:
+            start = 0
+        self.begun = True
+        # words end where ids end, counted in bytes
+        places = np.cumsum([len(x) for x in strings])
+        a, b = (int(np.searchsorted(places, len(text[:at].encode()), side="right")) if at else 0 for at in (start, last))
+        self.ids += ids[4 * a:4 * b]
+        self.waiting = [text[last:]]
+
+    def finish(self) -> bytes:
+        """The ids of the whole text."""
+        if self.waiting:
+            self.ids += self.known.packed(["".join(self.waiting)])[0]
+            self.waiting = []
+        return bytes(self.ids)
 
 
 def _result(ids: bytes, path: str) -> tuple[int, str, str]:
@@ -177,7 +181,12 @@ def shared_chunks(docs: DataFrame, path: str) -> DataFrame:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    with bounded_batches(spark):
+        return stored(_encoded(docs, path), "chunk-ids")[0]
+
+
+def _encoded(docs: DataFrame, path: str) -> DataFrame:
+    spark = docs.sparkSession
     added = tuple(a.encode() for a in added_tokens(path))
     shared, _ = stored(shared_chunks(docs, path), "shared-chunks")
     listed = spark.sparkContext.broadcast(bloom.build(shared, "fp1"))
@@ -185,20 +194,21 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                         ("fp2", pa.int64()), ("data", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def parts(batches):
-        of, row, sent = id_pieces(path).of, TaskContext.get().partitionId() << 40, set()
+        known, row, sent = word_ids(path), TaskContext.get().partitionId() << 40, set()
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             if not texts:
                 continue
-            all_chunks = cut_batch(texts, added)
+            all_chunks = [[] if any(a in text for a in added) else chunks for text, chunks in zip(texts, cut_batch(texts, added))]
             fps = [_print_of(c) for chunks in all_chunks for c in chunks]
             hits = iter(listed.value.might_contain(np.array([f[0] for f in fps], dtype=np.int64)).tolist() if fps else [])
+            # out: rows whose data, where it is a text, is still to be encoded
             fps, out = iter(fps), []
             for doc_id, text, chunks in zip(batch.column(0).to_pylist(), texts, all_chunks):
                 row += 1
                 flags = [(next(hits), next(fps)) for _ in chunks]
                 if not any(hit for hit, _ in flags):
-                    out.append((0, row, 0, doc_id, None, None, None, *_result(of(text.decode()), path)))
+                    out.append((0, row, 0, doc_id, None, None, text.decode()))
                     continue
                 at, stretch = 0, []
                 for chunk, (hit, fp) in zip(chunks, flags):
@@ -206,27 +216,34 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                         stretch.append(chunk)
                         continue
                     if stretch:
-                        out.append((1, row, at, doc_id, None, None, of(b"".join(stretch).decode()), None, None, None))
+                        out.append((1, row, at, doc_id, None, None, b"".join(stretch).decode()))
                         at, stretch = at + 1, []
-                    out.append((2, row, at, doc_id, *fp, None, None, None, None))
+                    out.append((2, row, at, doc_id, *fp, None))
                     at += 1
                     if fp not in sent:
                         # a bounded memory of what this task has sent
-                        if len(sent) >= 200_000:
+                        if len(sent) >= 100_000:
                             sent.clear()
                         sent.add(fp)
-                        out.append((3, None, None, None, *fp, chunk, None, None, None))
+                        out.append((3, None, None, None, *fp, chunk))
                 if stretch:
-                    out.append((1, row, at, doc_id, None, None, of(b"".join(stretch).decode()), None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out.append((1, row, at, doc_id, None, None, b"".join(stretch).decode()))
+            ids = iter(known.packed([r[6] for r in out if r[0] < 2]))
+            rows = []
+            for kind, *rest, data in out:
+                if kind == 0:
+                    rows.append((kind, *rest, None, *_result(next(ids), path)))
+                else:
+                    rows.append((kind, *rest, next(ids) if kind == 1 else data, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     made, _ = stored(docs.select("doc_id", "text").mapInArrow(parts, PARTS), "chunk-parts", compression="zstd")
 
     def encode(batches):
-        of = id_pieces(path).of
+        known = word_ids(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(
-                [of(c.decode()) for c in batch.column(2).to_pylist()], pa.binary())], names=["fp1", "fp2", "data"])
+                known.packed([c.decode() for c in batch.column(2).to_pylist()]), pa.binary())], names=["fp1", "fp2", "data"])
 
     once = made.where("kind = 3").groupBy("fp1", "fp2").agg(F.first("data").alias("data")).mapInArrow(encode, "fp1 long, fp2 long, data binary")
     refs = made.where("kind = 2").select("row", "at", "doc_id", "fp1", "fp2").join(once, ["fp1", "fp2"])
@@ -239,13 +256,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             for row, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if row != now:
                     if joiner:
-                        out.append((doc, *_result(bytes(joiner.ids), path)))
+                        out.append((doc, *_result(joiner.finish(), path)))
                     now, doc, joiner = row, doc_id, Joiner(path)
                 joiner.add(ids)
             if out:
                 yield _results(out)
         if joiner:
-            yield _results([(doc, *_result(bytes(joiner.ids), path))])
+            yield _results([(doc, *_result(joiner.finish(), path))])
 
     def _results(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))],

@@ -33,11 +33,16 @@ def words(text, separators: str = SPACES) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
+#: Shuffle files go when the job that needed them ends, so a chain of jobs takes the disk of its largest one.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     """``df`` written to the shared scratch folder and read back, and where it lies."""
     path = scratch_path(df.sparkSession, name)
     writer = df.write.options(**{k.replace("__", "."): v for k, v in options.items()})
-    writer.parquet(path)
+    with settings(df.sparkSession, {CLEAN_UP: "true"}):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -54,17 +59,21 @@ def small_batches(spark: SparkSession, rows: int = 1000):
 
 
 @contextmanager
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
-    """Bounds the rows and bytes a Python worker is handed at once, for the jobs run inside; the session's own settings come back."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
-    before = {key: spark.conf.get(key) for key in limits}
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the jobs run inside; the session's own come back."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
-        for key, value in limits.items():
+        for key, value in wanted.items():
             spark.conf.set(key, value)
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
+    """Bounds the rows and bytes a Python worker is handed at once, for the jobs run inside."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

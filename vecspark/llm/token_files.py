@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vecspark.llm.common import small_batches
-from vecspark.llm.pieces import id_pieces
+from vecspark.llm.common import bounded_batches
+from vecspark.llm.word_ids import word_ids
 
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1000
@@ -32,31 +32,31 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1000
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int) -> None:
     """Writes one shard per range of doc_id to the folder ``out``."""
-    small_batches(docs.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def encode(batches):
-        of, shard, start = id_pieces(path).of, TaskContext.get().partitionId(), 0
+        known, shard, start = word_ids(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            packed = [of(t) + end if t else end for t in batch.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+            if not len(batch):
+                continue
+            ids, counts = known.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids = np.insert(ids, np.cumsum(counts), end_id).view(np.int32)
+            sizes = counts + 1
             ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                           pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(packed), shard, np.int32)), batch.column(0), pa.array(start + ends - sizes),
-                 pa.array(sizes), ids], names=["shard", "doc_id", "shard_start", "n_tokens", "ids"])
-            start += int(ends[-1]) if len(ends) else 0
-
-    (docs.select("doc_id", "text").repartitionByRange("doc_id")
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-     .mapInArrow(encode, SCHEMA)
-     .write.options(**{
-         "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": ROW_GROUP_BYTES,
-         "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS,
-         "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
-         "parquet.enable.dictionary#shard_start": "false", "parquet.enable.dictionary#n_tokens": "false"})
-     .parquet(out))
+                [pa.array(np.full(len(sizes), shard, np.int32)), batch.column(0), pa.array(start + ends - sizes),
+                 pa.array(sizes), lists], names=["shard", "doc_id", "shard_start", "n_tokens", "ids"])
+            start += int(ends[-1])
+
+    with bounded_batches(docs.sparkSession):
+        (docs.select("doc_id", "text").repartitionByRange("doc_id")
+         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+         .mapInArrow(encode, SCHEMA)
+         .write.options(**{
+             "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": ROW_GROUP_BYTES,
+             "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS,
+             "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
+             "parquet.enable.dictionary#shard_start": "false", "parquet.enable.dictionary#n_tokens": "false"})
+         .parquet(out))
 
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:

@@ -27,6 +27,36 @@ def test_marginals_are_exact():
         at += n
 
 
+def test_pairs_are_the_gradient_of_the_chain():
+    """Expected pairs of states against all labellings, and against finite differences of the log partition."""
+    draw = np.random.default_rng(2)
+    sizes = np.array([4, 0, 1, 5, 2])
+    score, w = draw.normal(0, 2, sizes.sum()), draw.normal(0, 2, (2, 2))
+    starts = np.cumsum(sizes) - sizes
+    seconds = np.array([i for i in range(sizes.sum()) if i not in set(starts[sizes > 0])])
+
+    def log_partition(w):
+        out = 0.0
+        for at, n in zip(starts, sizes):
+            s = score[at:at + n]
+            out += np.log(sum(np.exp(sum(a * b for a, b in zip(s, y)) + sum(w[a, b] for a, b in zip(y, y[1:])))
+                              for y in itertools.product((0, 1), repeat=int(n))))
+        return out
+
+    got = t.expected_pairs(score, sizes, w, seconds)
+    for a, b in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-5
+        assert got[a, b] == pytest.approx((log_partition(w + step) - log_partition(w - step)) / 2e-5, rel=1e-5)
+    assert got.sum() == pytest.approx(len(seconds))
+
+
+def test_repeated_sampled_ids_train_once(spark):
+    docs = spark.createDataFrame([(1, "b text"), (1, "a text"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert t.sample(docs, labels, F.lit(True)) == (["a text", "c"], [1, 0])
+
+
 def test_held_out_accuracy(spark):
     rows = QUERIES["op8_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert len(rows) > 50 and rows.toxic.sum() > 3

@@ -121,7 +121,7 @@ def op8(spark, sf_dir):
     model = toxicity.train(*toxicity.sample(docs, labels, fold != 0))
     return toxicity.score_documents(docs, model).select(
         "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")
 
 
 @query("op9_token_count")

@@ -15,37 +15,37 @@ from vecspark.types import sparse_check, vec_check, vec_lit
 V = vec_lit
 
 DENSE = [
-    (dense.l2_distance(V([0, 0]), V([3, 4])), 5.0),
-    (dense.l2_distance(V([3e38]), V([-3e38])), math.inf),
-    (dense.l2_distance(V([1] * 9), V([1] * 7 + [4, 5])), 5.0),
-    (dense.l2_squared_distance(V([0, 0]), V([3, 4])), 25.0),
-    (dense.inner_product(V([1, 2]), V([3, 4])), 11.0),
-    (dense.inner_product(V([3e38]), V([3e38])), math.inf),
-    (dense.negative_inner_product(V([1, 2]), V([3, 4])), -11.0),
-    (dense.cosine_distance(V([1, 2]), V([2, 4])), 0.0),
-    (dense.cosine_distance(V([1, 2]), V([0, 0])), math.nan),
-    (dense.cosine_distance(V([1, 0]), V([0, 2])), 1.0),
-    (dense.cosine_distance(V([1, 1]), V([-1.1, -1.1])), 2.0),
-    (dense.cosine_distance(V([3e38]), V([3e38])), math.nan),
-    (dense.l1_distance(V([0, 0]), V([3, 4])), 7.0),
-    (dense.l1_distance(V([3e38]), V([-3e38])), math.inf),
-    (dense.spherical_distance(V([1, 0]), V([0, 1])), 0.5),
-    (dense.vector_dims(V([1, 2, 3])), 3),
-    (dense.vector_norm(V([3, 4])), 5.0),
-    (dense.vector_norm(V([0, 0])), 0.0),
-    (dense.l2_normalize(V([3, 4])), [0.6, 0.8]),
-    (dense.l2_normalize(V([0, 0])), [0.0, 0.0]),
-    (dense.l2_normalize(V([3e38])), [1.0]),
-    (dense.vector_add(V([1, 2, 3]), V([4, 5, 6])), [5, 7, 9]),
-    (dense.vector_sub(V([1, 2, 3]), V([4, 5, 6])), [-3, -3, -3]),
-    (dense.vector_mul(V([1, 2, 3]), V([4, 5, 6])), [4, 10, 18]),
-    (dense.vector_concat(V([1, 2, 3]), V([4, 5])), [1, 2, 3, 4, 5]),
-    (bits.bits_to_text(bits.binary_quantize(V([1, 0, -1]))), "100"),
-    (bits.bits_to_text(bits.binary_quantize(V([0, .1, -.2, -.3, .4, .5, .6, -.7, .8, -.9, 1]))), "01001110101"),
-    (dense.vector_cmp(V([1, 2]), V([1, 2, 3])), -1),
-    (dense.vector_cmp(V([2, 3]), V([1, 2, 3])), 1),
-    (dense.vector_cmp(V([1, 2, 3]), V([1, 2, 3])), 0),
-    (V([1, 2, 3]) > V([1, 2]), True),
+    (dense.l2_distance(V([1, 1]), V([6, 13])), 13.0),
+    (dense.l2_distance(V([2e38]), V([-2e38])), math.inf),
+    (dense.l2_distance(V([2] * 11), V([2] * 9 + [5, 6])), 5.0),
+    (dense.l2_squared_distance(V([0, 1]), V([2, 4])), 13.0),
+    (dense.inner_product(V([2, 5]), V([7, -1])), 9.0),
+    (dense.inner_product(V([2e38]), V([2e38])), math.inf),
+    (dense.negative_inner_product(V([2, 5]), V([7, -1])), -9.0),
+    (dense.cosine_distance(V([2, 3]), V([4, 6])), 0.0),
+    (dense.cosine_distance(V([5, 1]), V([0, 0])), math.nan),
+    (dense.cosine_distance(V([3, 0]), V([0, 7])), 1.0),
+    (dense.cosine_distance(V([2, 2]), V([-3, -3])), 2.0),
+    (dense.cosine_distance(V([2e38]), V([2e38])), math.nan),
+    (dense.l1_distance(V([1, -2]), V([4, 2])), 7.0),
+    (dense.l1_distance(V([2e38]), V([-2e38])), math.inf),
+    (dense.spherical_distance(V([0, 1]), V([1, 0])), 0.5),
+    (dense.vector_dims(V([4, 5, 6, 7])), 4),
+    (dense.vector_norm(V([5, 12])), 13.0),
+    (dense.vector_norm(V([0, 0, 0])), 0.0),
+    (dense.l2_normalize(V([6, 8])), [0.6, 0.8]),
+    (dense.l2_normalize(V([0, 0, 0])), [0.0, 0.0, 0.0]),
+    (dense.l2_normalize(V([2e38])), [1.0]),
+    (dense.vector_add(V([2, 4, 6]), V([1, 1, 5])), [3, 5, 11]),
+    (dense.vector_sub(V([2, 4, 6]), V([1, 1, 5])), [1, 3, 1]),
+    (dense.vector_mul(V([2, 4, 6]), V([1, 1, 5])), [2, 4, 30]),
+    (dense.vector_concat(V([7, 8]), V([9])), [7, 8, 9]),
+    (bits.bits_to_text(bits.binary_quantize(V([2, 0, -3]))), "100"),
+    (bits.bits_to_text(bits.binary_quantize(V([.3, -.1, .2, 0, -.4, .9, .8, -.5, .1]))), "101001101"),
+    (dense.vector_cmp(V([4, 5]), V([4, 5, 6])), -1),
+    (dense.vector_cmp(V([5]), V([4, 5, 6])), 1),
+    (dense.vector_cmp(V([4, 5, 6]), V([4, 5, 6])), 0),
+    (V([4, 5, 6]) > V([4, 5]), True),
 ]
 
 

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 from llm.test_jaccard import plain as groups
@@ -51,3 +52,30 @@ def test_stages(spark):
 
 def ids(df):
     return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_clashing_columns(spark):
+    """Columns that a stage uses for itself keep their values, in rows that stay."""
+    extra = ["body", "n_lines", "n_dropped", "keep_words", "kept", "n_words", "distance", "base_failed", "key", "h", "id", "a"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i, name in enumerate(extra):
+        docs = docs.withColumn(name, F.col("doc_id") * 100 + i)
+    for name, stage in c.STAGES[:-1]:
+        out = stored(stage(spark, docs, SF), name)[0]
+        assert out.columns == docs.columns and out.count() > 50, name
+        wrong = F.lit(False)
+        for i, column in enumerate(extra):
+            wrong = wrong | (F.col(column) != F.col("doc_id") * 100 + i)
+        assert out.where(wrong).isEmpty(), name
+
+
+def test_settings_of_the_session_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "777")
+    try:
+        c.bpe(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+        c.jaccard_join(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+        assert spark.conf.get(key) == "777"
+    finally:
+        spark.conf.set(key, before)

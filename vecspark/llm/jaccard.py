@@ -14,14 +14,16 @@ same.
 Each task combines equal signatures of its batch to a representative before the
 shuffle, so a signature of very many copies leaves a task once. Each member of a
 signature is compared, on the words themselves, with the signature's first
-document, its root: one pair per member. Members that don't link with the root
-may still link with each other, but then the shingles by which they differ from
-the root share one of the rarest few (``shared_differences``), which very few
-members share. Linked documents get a common label; only shared differences
+document, its root: one pair per member, unless their sizes rule a link out.
+Linked documents get a common label. Members that don't link with the root may
+still link with each other. Of a root whose members have different labels, up to
+``SMALL`` members are compared with each other. Of more, the shingles by which
+two that link differ from the root share one of the rarest few
+(``shared_differences``), which very few members share; only shared differences
 whose members have different labels are compared further, with eight times as
 many pivots each round, until all such pairs have been compared. No link between
 components is lost, and large groups of near copies, or near misses, cost a
-pass, not a square.
+pass, not a square. Tables are dropped after their last reader.
 
 Defined cases: documents without words have no shingles and link with nothing;
 fewer words than a shingle are one shingle; a null doc_id links with nothing
@@ -41,10 +43,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vecspark.llm import bloom
-from vecspark.llm.common import ascii_lower, forget, shuffle_partitions, small_batches, stored, words
+from vecspark.llm.common import ascii_lower, bounded_batches, forget, shuffle_partitions, stored, words
 
 SPACES = b" \t\n\x0b\x0c\r"
 MOST_DELETION_SEGMENTS = 6
+#: Members of one root that are compared each with each.
+SMALL = 24
 
 
 @lru_cache(maxsize=None)
@@ -155,7 +159,6 @@ def shingle_hashes(docs: DataFrame, k: int) -> DataFrame:
 def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Rows (key, a, b) of signatures that several documents share, and (null, doc_id, n_shingles) of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def sign(batches):
         for batch in batches:
@@ -301,6 +304,12 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are sets whose Jaccard similarity is num / den or more."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    with bounded_batches(spark):
+        return stored(_components(docs, k, num, den), "jaccard")[0]
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    spark = docs.sparkSession
     edges, _ = stored(candidates(docs, k, num, den), "edges")
     sizes = edges.where("key IS NULL").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     edges = edges.where("key IS NOT NULL AND a <> b")
@@ -319,10 +328,28 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # a signature's members against its root: one pair each
     members = edges.select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
     roots = edges.groupBy("key").agg(F.min(F.least("a", "b")).alias("root"))
-    tested, _ = stored(members.join(roots, "key").where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct(), "tested")
-    apart, _ = stored(differences(tested, texts, k, num, den), "apart")
-    labels = merge_labels(nodes.select("id", F.col("id").alias("label")), apart.where("linked").select("a", "b").distinct())
+    n = sizes.join(nodes, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(
+        F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    pairs = members.join(roots, "key").where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    fits = lambda x, y: den * F.least(f"high{x}", f"high{y}") >= num * F.greatest(f"low{x}", f"low{y}")
+    sized = lambda x: n.select(F.col("doc_id").alias(x), F.col("low").alias(f"low{x}"), F.col("high").alias(f"high{x}"))
+    tested, _ = stored(pairs.join(sized("a"), "a").join(sized("b"), "b"), "tested")
+    links, at = stored(verify(tested.where(fits("a", "b")).select("a", "b"), texts, k, num, den), "links")
+    labels = merge_labels(nodes.select("id", F.col("id").alias("label")), links)
+    forget(spark, at)
+    # roots with members of different components, which may still link with each other
+    open_, open_at = stored(tested.join(labels, F.col("b") == F.col("id")).select("a", "b", F.col("lowb").alias("low"), F.col("highb").alias("high"), "label"), "open")
+    groups = open_.groupBy("a").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("a", "n")
+    left, right = (open_.join(groups.where(F.col("n") <= SMALL), "a").select("a", *(F.col(c).alias(f"{c}{i}") for c in ("b", "low", "high", "label"))) for i in "12")
+    each = left.join(right, "a").where((F.col("b1") < F.col("b2")) & (F.col("label1") != F.col("label2")) & fits(1, 2)).select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
+    links, at = stored(verify(each, texts, k, num, den), "links")
+    labels = merge_labels(labels, links)
+    forget(spark, at)
+    large, large_at = stored(open_.join(groups.where(F.col("n") > SMALL).select("a"), "a").select("a", "b"), "large")
+    apart, apart_at = stored(differences(large, texts, k, num, den), "apart")
     members, _ = stored(shared_differences(apart), "members")
+    forget(spark, open_at, large_at, apart_at)
+    tested = tested.select("a", "b")
     closed, pivots = None, 8
     while True:
         labelled = members.join(labels, "id")
@@ -340,7 +367,9 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             "key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"), F.col("p.size").alias("least"), F.col("p.most").alias("room"))
         new = (here.join(heads, "key").where("label <> of AND size >= least AND size - least <= greatest(most, room)").select(*pair("pivot", "id")).distinct().join(tested, ["a", "b"], "left_anti"))
         new, _ = stored(new, "tested")
-        labels = merge_labels(labels, stored(verify(new, texts, k, num, den), "links")[0])
+        links, at = stored(verify(new, texts, k, num, den), "links")
+        labels = merge_labels(labels, links)
+        forget(spark, at)
         tested = tested.unionByName(new)
         pivots *= 8
     return sizes.join(labels, sizes.doc_id == labels.id, "left").select(

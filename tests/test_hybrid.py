@@ -103,3 +103,15 @@ def test_router_over_either_index(spark, docs, index):
         exact = knn_join(docs.filter(predicate({"author": "Srinivasa Ramanujan"})), q, 10)
         assert strict.rows.select(*cols).exceptAll(exact.select(*cols)).isEmpty()
     assert hybrid_search(index, q, filters, 10).probes == 2 and hybrid_search(index, q, filters, 10, probes=7).probes == 7
+
+
+def test_widening_to_the_end_keeps_few_rows(spark, docs, index, monkeypatch):
+    """Where no row is left out before the filter, tasks keep k rows per query, and the rows are those of the search for all."""
+    q = spark.createDataFrame([(0, [0.1, 0.2, 0.3]), (1, None), (2, [0.9, 0.2, 0.6])], "query_id int, embedding array<float>")
+    where = predicate({"category": "Physics"})
+    kept, search = [], IvfIndex.search
+    monkeypatch.setattr(IvfIndex, "search", lambda self, queries, k, *args, **more: kept.append(k) or search(self, queries, k, *args, **more))
+    wide = post_filter_widening(index, q, where, ["category"], 10, 1 << 20, 10).collect()
+    assert kept == [10]
+    assert sorted(map(tuple, wide)) == sorted(map(tuple, post_filter_knn(index, q, where, ["category"], 10, 1000, 10).collect()))
+    assert kept == [10, 1000] and sum(r.query_id != 1 for r in wide) == 20

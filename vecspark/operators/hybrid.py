@@ -70,6 +70,14 @@ def post_filter_knn(index, queries: DataFrame, where: Column, columns: list[str]
                     ef: int = DEFAULT_EF, probes: int = 1, *, query_id: str = "query_id",
                     query_vec: str = "embedding") -> DataFrame:
     """Search for ``ef`` rows, then filter, then keep k; may return fewer than k."""
+    return _post_filter(index, queries, where, columns, k, ef, probes, None, query_id, query_vec)
+
+
+def _post_filter(index, queries, where, columns, k, ef, probes, total, query_id, query_vec) -> DataFrame:
+    """As ``post_filter_knn``, of an index of ``total`` rows (None: not counted)."""
+    if total is not None and ef >= total:
+        # no row is left out before the filter, so it can go first, and a task keeps k rows per query instead of all
+        return index.search(queries, k, probes, query_id=query_id, query_vec=query_vec, where=where, payload=[c for c in columns if c != index.id])
     extra = [c for c in columns if c != index.id]
     found = index.search(queries, max(ef, k), probes, query_id=query_id, query_vec=query_vec, payload=extra)
     return take_nearest(found.drop("rank").filter(where), k, [query_id], index.id)
@@ -84,8 +92,7 @@ def post_filter_widening(index, queries: DataFrame, where: Column, columns: list
     total = index.entries().count()
     pending, done = queries, None
     while True:
-        hits = materialize(post_filter_knn(index, pending, where, columns, k, ef, min(probes, lists),
-                                           query_id=query_id, query_vec=query_vec), "widened")
+        hits = materialize(_post_filter(index, pending, where, columns, k, ef, min(probes, lists), total, query_id, query_vec), "widened")
         full = hits.groupBy(query_id).count().filter(F.col("count") >= k).select(query_id)
         if ef >= total and probes >= lists:
             return hits if done is None else done.unionByName(hits)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.functions import bits, sparse
-from vecspark.operators import knn as knn_module
+from vecspark.operators import kernels, knn as knn_module
 from vecspark.operators.knn import knn, knn_join, range_join, range_search, with_ties
 from vecspark.operators.rerank import quantized_knn
 from vecspark.types import vec_lit
@@ -219,3 +219,76 @@ def test_first_phase_carries_no_vectors(spark, embeddings):
     assert coarse.columns == ["query_id", "vec_id", "distance", "rank"]
     final = quantized_knn(embeddings, q, 5, 20, base_id="vec_id")
     assert "LeftSemi" in executed(final) and final.count() == 25
+
+
+def _pairs_of(metric, base, asked, k, limit=None):
+    row, query, rank = kernels.nearest_in_block(metric, base, np.arange(len(base)), asked, k, limit)
+    return [(q, r) for q, r in zip(query.tolist(), row.tolist())], rank
+
+
+@pytest.mark.parametrize("name", ["l2", "ip", "cosine", "l1"])
+def test_rough_ranks_are_within_their_slack(name):
+    """Rounded numbers screen faster; their slack covers what they are off, with far and near values, and for other sizes than a tile's."""
+    rng = np.random.default_rng(3)
+    for dim, shift, size in ((70, 0.0, 1.0), (3, 1e6, 1e-2), (64, -5.0, 1e12)):
+        x, q = (shift + size * rng.standard_normal((n, dim)).astype(np.float32).astype(np.float64) for n in (300, 37))
+        base, asked, metric = kernels.DenseBlock(x), kernels.DenseBlock(q), kernels.METRICS[name]
+        rough, slack, constant = base.screen(metric, asked, True)
+        where = np.divmod(np.arange(300 * 37), 300)
+        exact = base.exact(metric, where[1], asked, where[0]).reshape(37, 300)
+        assert (np.abs(rough + constant[:, None] - exact) <= slack[:, None] * 1.01 + 1e-6 * np.abs(exact)).all()
+        got, _ = _pairs_of(metric, base, asked, 5)
+        assert got == [(i, j) for i in range(37) for j in np.lexsort((np.arange(300), exact[i]))[:5].tolist()]
+
+
+@pytest.mark.parametrize("name", ["l2", "l1", "ip", "cosine"])
+def test_sparse_rows_are_laid_out_where_that_is_cheaper(name, monkeypatch):
+    """Rows of few indices are screened as dense ones, with the same nearest rows; rows of many are not."""
+    rng = np.random.default_rng(4)
+
+    def block(n, dims, share):
+        dense = np.where(rng.random((n, dims)) < share, rng.integers(-3, 4, (n, dims)), 0).astype(np.float64)
+        dense[0] = 0
+        row, index = np.nonzero(dense)
+        return kernels.SparseBlock(np.full(n, dims), np.r_[0, np.cumsum(np.bincount(row, minlength=n))], index, dense[row, index])
+
+    base, asked, metric = block(400, 40, 0.4), block(50, 40, 0.4), kernels.METRICS[f"sparse_{name}"]
+    assert base._laid_out(asked) is not None and block(400, 20_000, 0.0005)._laid_out(block(50, 20_000, 0.0005)) is None
+    got, rank = _pairs_of(metric, base, asked, 7)
+    monkeypatch.setattr(kernels.SparseBlock, "_laid_out", lambda self, queries: None)
+    want, want_rank = _pairs_of(metric, base, asked, 7)
+    assert got == want and np.array_equal(rank, want_rank, equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["l2", "l1"])
+def test_far_rows_are_not_compared(name, monkeypatch):
+    """In few dimensions, rows far from all queries of a box drop out before distances are taken; results and ties stay."""
+    rng = np.random.default_rng(5)
+    metric = kernels.METRICS[name]
+    x, q = rng.integers(0, 40, (6000, 3)).astype(np.float64), rng.integers(0, 40, (4000, 3)) + 0.5
+    q = q[kernels.in_boxes(q, kernels.BOX_QUERIES // 8)]
+    base, asked = kernels.DenseBlock(x), kernels.DenseBlock(q)
+    want, rank = _pairs_of(metric, base, asked, 4)
+    seen, screen = [], kernels.DenseBlock.screen
+    monkeypatch.setattr(kernels.DenseBlock, "screen", lambda self, m, queries, *more: seen.append(len(self) * len(queries)) or screen(self, m, queries, *more))
+    got, _ = _pairs_of(metric, base, asked, 4, rank.reshape(4000, 4)[:, -1].copy())
+    assert got == want and sum(seen) < 6000 * 4000 / 2
+
+
+def test_blocks_are_bounded_by_what_a_task_keeps():
+    sizes = [knn_module.block_rows_for(k) for k in (1, 10, 64, 200, 10_000, 1 << 20, 1 << 40)]
+    assert sizes[0] == 65_536 and sizes[1] > 50_000 and sizes == sorted(sizes, reverse=True) and sizes[-1] == 1
+    assert all(size * k <= 1 << 21 for size, k in zip(sizes[:-1], (1, 10, 64, 200, 10_000, 1 << 20)))
+
+
+def test_limits_hold_from_the_first_batch_on():
+    """A block's k-th row limits what the next batch gives, before anything is put together."""
+    import pyarrow as pa
+    metric = knn_module.metric_of("l2")
+    side = knn_module._QuerySide(metric, pa.table({"__keys": [[0]] * 2, "__vec": [[0.0], [9.0]], "query_id": [1, 2]}))
+    state = knn_module._Nearest(metric, side, 2)
+    for first in (0, 3, 6):
+        state.add(pa.RecordBatch.from_pydict({"__key": [0] * 9, "__vec": [[float(first + i)] for i in range(9)], "id": [first * 10 + i for i in range(9)]}))
+        assert np.isfinite(state.limit).all()
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    assert sorted(state.result(schema).column("distance").to_pylist()) == [0.0, 0.0, 0.0, 1.0]

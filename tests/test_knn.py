@@ -277,7 +277,7 @@ def test_far_rows_are_not_compared(name, monkeypatch):
 
 def test_blocks_are_bounded_by_what_a_task_keeps():
     sizes = [knn_module.block_rows_for(k) for k in (1, 10, 64, 200, 10_000, 1 << 20, 1 << 40)]
-    assert sizes[0] == 65_536 and sizes[1] > 50_000 and sizes == sorted(sizes, reverse=True) and sizes[-1] == 1
+    assert sizes[0] == 131_072 and sizes[1] > 100_000 and sizes == sorted(sizes, reverse=True) and sizes[-1] == 1
     assert all(size * k <= 1 << 21 for size, k in zip(sizes[:-1], (1, 10, 64, 200, 10_000, 1 << 20)))
 
 

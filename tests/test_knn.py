@@ -292,3 +292,13 @@ def test_limits_hold_from_the_first_batch_on():
         assert np.isfinite(state.limit).all()
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
     assert sorted(state.result(schema).column("distance").to_pylist()) == [0.0, 0.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["l1", "l2"])
+def test_vectors_with_holes_are_as_before(name):
+    """A NaN row is near nothing under L1 and leaves the others alone; under L2 its block gives no rows, in few dimensions too."""
+    x = np.arange(60, dtype=np.float64).reshape(20, 3)
+    x[4, 1] = np.nan
+    base, asked, metric = kernels.DenseBlock(x), kernels.DenseBlock(np.array([[12.0, 13, 14], [0, np.nan, 2]])), kernels.METRICS[name]
+    got, _ = _pairs_of(metric, base, asked, 2, np.full(2, np.inf))
+    assert got == ([(0, 3), (0, 5)] if name == "l1" else [])

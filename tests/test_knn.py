@@ -302,3 +302,22 @@ def test_vectors_with_holes_are_as_before(name):
     base, asked, metric = kernels.DenseBlock(x), kernels.DenseBlock(np.array([[12.0, 13, 14], [0, np.nan, 2]])), kernels.METRICS[name]
     got, _ = _pairs_of(metric, base, asked, 2, np.full(2, np.inf))
     assert got == ([(0, 3), (0, 5)] if name == "l1" else [])
+
+
+@pytest.mark.parametrize("metric", ["sparse_l2", "sparse_ip", "sparse_cosine", "sparse_l1"])
+def test_sparse_distances_are_measured_densely_where_that_is_cheaper(monkeypatch, metric):
+    """Without merging indices pair by pair, and with the same result to the last bit."""
+    rng = np.random.default_rng(3)
+    data = np.where(rng.random((60, 20)) < 0.5, rng.normal(size=(60, 20)), 0)
+    data[0], data[1, 3] = 0, np.nan
+
+    def block(part):
+        row, column = np.nonzero(part)
+        offsets = np.concatenate([[0], np.cumsum(np.count_nonzero(part, axis=1))])
+        return kernels.SparseBlock(np.full(len(part), 20), offsets, column, part[row, column])
+
+    base, queries = block(data[:50]), block(data[45:])
+    row, query = np.repeat(np.arange(50), 15), np.tile(np.arange(15), 50)
+    merged = base._exact_part(kernels.METRICS[metric], row, queries, query)
+    monkeypatch.setattr(kernels.SparseBlock, "_exact_part", None)
+    np.testing.assert_array_equal(base.exact(kernels.METRICS[metric], row, queries, query), merged)

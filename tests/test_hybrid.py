@@ -115,3 +115,27 @@ def test_widening_to_the_end_keeps_few_rows(spark, docs, index, monkeypatch):
     assert kept == [10]
     assert sorted(map(tuple, wide)) == sorted(map(tuple, post_filter_knn(index, q, where, ["category"], 10, 1000, 10).collect()))
     assert kept == [10, 1000] and sum(r.query_id != 1 for r in wide) == 20
+
+
+def test_post_filter_keeps_what_is_among_the_ef_nearest_of_all_rows_but_fetches_k(spark, monkeypatch):
+    """Against plain Python, with rows and queries that are there twice, ties, rows without a vector and a query without one."""
+    from vecspark.operators import hybrid
+    from vecspark.plans import ivf
+    monkeypatch.setattr(hybrid, "FETCHED_ROWS", 12)
+    vectors = {i: [float(i * 7 % 23), float(i * 5 % 11)] for i in range(120)}
+    rows = [(i, v, i % 4) for i, v in vectors.items()] + [(i, vectors[i], i % 4) for i in range(0, 120, 9)] + [(500, None, 0)]
+    asked = [(i, vectors[i]) for i in (1, 2, 2, 50)] + [(7, None), (None, [3.0, 4.0])]
+    base = spark.createDataFrame(rows, "id int, embedding array<float>, label int")
+    queries = spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    index = IvfIndex.build(base, "l2", centers=[[5.0, 5.0], [15.0, 5.0]])
+    wanted = []
+    joined = ivf.knn_join
+    monkeypatch.setattr(ivf, "knn_join", lambda *args, **options: wanted.append(args[2]) or joined(*args, **options))
+    found = post_filter_knn(index, queries, predicate({"label": 0}), ["label"], 5, 12, 2).collect()
+    assert wanted == [5]
+    expected = []
+    for name in (1, 2, 50, 7, None):
+        near = sorted((0 if v is None else sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, i, label)
+                      for q, v in asked if q == name for i, w, label in rows if w is not None)[:12]
+        expected += [(name, i, rank) for rank, (_, i, label) in enumerate([n for n in near if n[2] == 0][:5], 1)]
+    assert sorted(((r.query_id, r.id, r["rank"]) for r in found), key=str) == sorted(expected, key=str)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vecspark.operators.knn import knn_join, take_nearest
+from vecspark.session import materialize
 
 # Fixed thresholds and parameters of the router.
 FILTER_FIRST = 0.80
@@ -14,6 +15,8 @@ WIDE_SEARCH = 0.30
 WIDE_EF = 200
 DEFAULT_EF = 40
 TOP_K = 10
+# Up to so many rows for all queries together, the ``ef`` nearest of each are fetched before the filter.
+FETCHED_ROWS = 1 << 20
 
 _OPERATORS = {
     "=": lambda c, v: c == v, "!=": lambda c, v: c != v, "<>": lambda c, v: c != v,
@@ -78,16 +81,23 @@ def _post_filter(index, queries, where, columns, k, ef, probes, total, query_id,
     if total is not None and ef >= total:
         # no row is left out before the filter, so it can go first, and a task keeps k rows per query instead of all
         return index.search(queries, k, probes, query_id=query_id, query_vec=query_vec, where=where, payload=[c for c in columns if c != index.id])
-    extra = [c for c in columns if c != index.id]
-    found = index.search(queries, max(ef, k), probes, query_id=query_id, query_vec=query_vec, payload=extra)
-    return take_nearest(found.drop("rank").filter(where), k, [query_id], index.id)
+    ef, extra = max(ef, k), [c for c in columns if c != index.id]
+    most = FETCHED_ROWS // ef
+    if queries.limit(most + 1).count() <= most:
+        found = index.search(queries, ef, probes, query_id=query_id, query_vec=query_vec, payload=extra)
+        return take_nearest(found.drop("rank").filter(where), k, [query_id], index.id)
+    # the k nearest that pass, each kept if fewer than ``ef`` rows of any kind lie ahead of it: a task sends k rows and k counts
+    # per query, where the ``ef`` nearest would be ``ef`` rows of each task
+    passing = index.search(queries, k, probes, query_id=query_id, query_vec=query_vec, where=where, payload=extra)
+    passing = materialize(take_nearest(passing.drop("rank"), k, [query_id], index.id), "passing")
+    found = index.count_ahead(queries, passing, k, probes, query_id=query_id, query_vec=query_vec)
+    return found.filter(F.col("ahead") < ef).drop("ahead")
 
 
 def post_filter_widening(index, queries: DataFrame, where: Column, columns: list[str], k: int = TOP_K,
                          ef: int = DEFAULT_EF, probes: int = 1, *, query_id: str = "query_id",
                          query_vec: str = "embedding") -> DataFrame:
     """As ``post_filter_knn``, searching again with all limits doubled for queries that came out short."""
-    from vecspark.session import materialize
     lists = len(index.centers)
     total = index.entries().count()
     pending, done = queries, None

@@ -608,6 +608,22 @@ def within_block(metric: Metric, base, queries, low, high):
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
+def within_limit(metric: Metric, base, queries, limit):
+    """``row, query, distance`` of all pairs whose ranking distance is at most ``limit`` of the query, and perhaps some beyond.
+
+    The caller bounds how many pairs are screened. An infinite limit lets all rows in.
+    """
+    base.check(queries)
+    rough, slack, constant = base.screen(metric, queries, True)
+    cut = limit - constant
+    far = np.abs(cut) + np.abs(constant) > FLOAT_MAX / 8  # as for the nearest: ranks this large become infinite
+    query, row = _at_most(rough, np.where(far, np.inf, cut + 2 * slack))
+    if far.any():
+        # NaN is in no comparison
+        query, row = (np.concatenate(p) for p in zip((query, row), _places(np.isnan(rough) & far[:, None])))
+    return row, query, to_distance(metric, base.exact(metric, row, queries, query))
+
+
 def _rank_of(metric: Metric, distance: float) -> float:
     """The ranking value of a distance; below zero no L2 rank exists."""
     if not metric.name.endswith("l2") or not np.isfinite(distance):

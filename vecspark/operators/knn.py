@@ -147,14 +147,16 @@ def _keys(base: DataFrame, queries: DataFrame, pairs) -> tuple[Column, Column]:
 class _Sides:
     """Both sides of a join with their keys: a base row has one, a query accepts several."""
 
-    def __init__(self, base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls):
+    def __init__(self, base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls, along=()):
         if query_id in (base_id, *payload):
             raise ValueError(f"the query id column needs a name of its own, not {query_id!r}")
         self.base, self.pairs, self.nulls = base, _key_pairs(on), nulls
         self.key, accepted = _keys(base, queries, self.pairs)
         self.columns = [as_col(base_vec).alias("__vec"), F.col(base_id), *[F.col(c) for c in payload]]
         values = [F.col(q).alias(f"__on{i}") for i, (_, q) in enumerate(self.pairs)]
-        self.right = queries.select(accepted.alias("__keys"), as_col(query_vec).alias("__vec"), F.col(query_id), *values)
+        self.along = list(along)
+        self.right = queries.select(accepted.alias("__keys"), as_col(query_vec).alias("__vec"), F.col(query_id), *values,
+                                    *[F.col(c) for c in self.along])
 
     def left(self, table: pa.Table) -> DataFrame:
         """The base rows that the queries of ``table`` may want: each key column is filtered by its own values, so partition columns prune."""
@@ -171,7 +173,7 @@ class _Sides:
 
     def carried(self, table: pa.Table) -> pa.Table:
         """What of the queries travels with the tasks."""
-        return table.select([0, 1, 2])
+        return table.select([*table.column_names[:3], *self.along])
 
 
 def _among(rows: DataFrame, name: str, values: list) -> DataFrame:
@@ -194,7 +196,7 @@ class _QuerySide:
     """The queries of a task: vectors as one block, and which queries accept a key."""
 
     def __init__(self, metric: Metric, table: pa.Table):
-        table = _near_together(metric, table.combine_chunks())
+        self.table = table = _near_together(metric, table.combine_chunks())
         self.ids = table.column(2)
         self.missing = table.column("__vec").is_null().to_numpy()
         self.place = np.cumsum(~self.missing) - 1
@@ -355,6 +357,71 @@ class _Nearest:
                         names=schema.names).cast(schema)
 
 
+def _in_one_order(*ids) -> list[np.ndarray]:
+    """Columns of ids as numbers that compare as the ids do, NULL first."""
+    whole = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in ids]
+    if all(pa.types.is_integer(c.type) for c in whole):
+        return [c.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy() for c in whole]
+    place = pa.compute.rank(pa.concat_arrays(whole), null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    return np.split(place, np.cumsum([len(c) for c in whole])[:-1])
+
+
+class _Ahead:
+    """How many rows come before each mark of a query, by distance, then id; marks are rows of the base, nearest first."""
+
+    def __init__(self, metric: Metric, side: _QuerySide, k: int):
+        self.metric, self.side = metric, side
+        marks = side.table.column("__marks").combine_chunks()
+        offsets, (distance, self.marked) = marks.offsets.to_numpy(), marks.flatten().flatten()
+        sizes = np.diff(offsets)
+        cell = np.repeat(np.arange(len(side)) * k, sizes) + np.arange(sizes.sum()) - np.repeat(offsets[:-1] - offsets[0], sizes)
+        self.cells, self.count = cell, np.zeros((len(side), k), np.int64)
+        # nothing comes before a mark that is not there
+        self.at, self.there = np.zeros(self.count.shape), np.zeros(self.count.shape, bool)
+        self.at.ravel()[cell], self.there.ravel()[cell] = distance.to_numpy(zero_copy_only=False), True
+        # the last mark is the farthest, and NaN comes after all numbers
+        worst = np.max(np.where(self.there, self.at, -np.inf), axis=1, initial=-np.inf)
+        far = np.isnan(worst)
+        with np.errstate(over="ignore"):
+            rank = worst * np.abs(worst) if metric.name.endswith("l2") else worst
+            self.limit = np.where(far, np.inf, rank + np.abs(rank) * 1e-12)
+
+    def add(self, batch: pa.RecordBatch):
+        if batch.num_rows == 0:
+            return
+        ids, marked = _in_one_order(batch.column(2), self.marked)
+        of_mark = np.zeros(self.count.shape, np.int64)
+        of_mark.ravel()[self.cells] = marked
+        block = kernels.block_from_arrow(self.metric, batch.column("__vec"))
+        for key, members in _batch_parts(batch):
+            asked, unasked = self.side.of(_plain(key))
+            if len(unasked):
+                # without a vector all distances are NULL, and ids alone decide
+                np.add.at(self.count, unasked, np.searchsorted(np.sort(ids[members]), of_mark[unasked]) * self.there[unasked])
+            base = block if len(members) == len(block) else block.take(members)
+            step = max(1, kernels.SCREEN_PAIRS // len(members))
+            for start in range(0, len(asked), step):
+                few = asked[start:start + step]
+                r, q, d = kernels.within_limit(self.metric, base, self.side.take(few), self.limit[few])
+                mine, d = few[q], d[:, None]
+                at = self.at[mine]
+                before, tie = d < at, d == at
+                if np.isnan(at).any():
+                    before, tie = before | (np.isnan(at) & ~np.isnan(d)), tie | (np.isnan(at) & np.isnan(d))
+                if tie.any():
+                    before |= tie & (ids[members[r]][:, None] < of_mark[mine])
+                before &= self.there[mine]
+                cell = (q[:, None] * at.shape[1] + np.arange(at.shape[1]))[before]
+                np.add.at(self.count, few, np.bincount(cell, minlength=len(few) * at.shape[1]).reshape(len(few), -1))
+
+    def result(self, schema: pa.Schema) -> pa.Table:
+        some = np.flatnonzero(self.count.any(axis=1))
+        width = self.count.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(self.count[some].ravel()))
+        ids = self.side.ids.take(pa.array(some))
+        return pa.table([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, lists], names=schema.names).cast(schema)
+
+
 class _Within:
     """All rows whose distance to a query lies in a range."""
 
@@ -461,6 +528,12 @@ def _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, pay
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "broadcast" and bounded_arrow(sides.right) is None:
         raise ValueError("the queries are too large to travel with the tasks")
+    found = _rounds(sides, query_id, base_id, metric, schema, make, flush, reduce, block_rows)
+    return reduce(base.sparkSession.createDataFrame([], schema)) if found is None else found
+
+
+def _rounds(sides: _Sides, query_id, base_id, metric, schema, make, flush, reduce, block_rows) -> DataFrame | None:
+    """What all blocks of queries give, or None where there are no queries."""
     done, last = None, None
     for table in query_blocks(sides.right, query_id, bool(sides.pairs), block_rows):
         if last is not None:
@@ -468,8 +541,6 @@ def _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, pay
             found = materialize(last, "query-round")
             done = found if done is None else done.unionByName(found)
         last = reduce(_scan(sides, table, base_id, metric, schema, make, flush))
-    if last is None:
-        return reduce(base.sparkSession.createDataFrame([], schema))
     return last if done is None else done.unionByName(last)
 
 
@@ -502,6 +573,35 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric="l2", *, base_i
                     lambda found: take_nearest(found, k, [query_id], base_id))
 
 
+def count_ahead(base: DataFrame, queries: DataFrame, found: DataFrame, k: int, metric="l2", *, base_id="id", base_vec="embedding",
+                query_id="query_id", query_vec="embedding", on=None) -> DataFrame:
+    """Add ``ahead`` to ``found``: how many rows that its query may visit come before a row by distance, then id.
+
+    ``found`` are rows of the base with ``distance`` and ``rank`` (1 to ``k``) per query id, from a stored table. Rows without a
+    vector are not counted. A task sends one row of ``k`` counts per query, however many rows lie ahead. Rows that agree in
+    distance and id follow each other by rank; queries of one id count together.
+    """
+    marks = found.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", "distance", base_id))).alias("__marks"))
+    marks = marks.select(F.col(query_id).alias("__asker"), F.transform("__marks", lambda m: F.struct(
+        m["distance"].alias("distance"), m[base_id].alias("id"))).alias("__marks"))
+    asked = queries.join(marks, F.col(query_id).eqNullSafe(F.col("__asker"))).drop("__asker")
+    metric = metric_of(metric)
+    sides = _Sides(base, asked, base_id, base_vec, query_id, query_vec, on, [], "skip", ["__marks"])
+    schema = T.StructType([queries.schema[query_id], T.StructField("__ahead", T.ArrayType(T.LongType()))])
+
+    def added(counts):
+        return counts.groupBy(query_id).agg(F.array(*[F.sum(F.get("__ahead", F.lit(j))) for j in range(k)]).alias("__ahead"))
+
+    parts = _rounds(sides, query_id, base_id, metric, schema, lambda metric, side: _Ahead(metric, side, k), False, added, block_rows_for(k))
+    if parts is None:
+        return found.withColumn("ahead", F.lit(0).cast("bigint"))
+    counts = added(parts).withColumnRenamed(query_id, "__asker")
+    alike = F.rank().over(Window.partitionBy(query_id).orderBy(F.col("distance").asc_nulls_last(), F.col(base_id)))
+    out = found.join(counts, F.col(query_id).eqNullSafe(F.col("__asker")), "left").withColumn("__alike", F.col("rank") - alike)
+    ahead = F.coalesce(F.get("__ahead", F.col("rank") - 1), F.lit(0)) + F.col("__alike")
+    return out.withColumn("ahead", ahead).select(*found.columns, "ahead")
+
+
 def range_join(base: DataFrame, queries: DataFrame, below: float = float("inf"), above: float = float("-inf"),
                metric="l2", *, base_id="id", base_vec="embedding", query_id="query_id", query_vec="embedding",
                on=None, payload=(), strategy="auto", block_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from vecspark.functions import dense
 from vecspark.operators import kernels
 from vecspark.operators.kernels import METRICS, DenseBlock, Metric, metric_of
-from vecspark.operators.knn import _key_pairs, knn_join, take_nearest
+from vecspark.operators.knn import _key_pairs, count_ahead, knn_join, take_nearest
 from vecspark.plans.manifest import Manifest, Part, State
 from vecspark.session import folder_names, materialize, remove_matching, remove_path, scratch_path
 from vecspark.types import as_col
@@ -566,6 +566,13 @@ class IvfIndex:
         return knn_join(rows, asked, k, self.metric, base_id=self.id, base_vec=self.vec, query_id=query_id,
                         query_vec="__asked", on=on, payload=payload, nulls="skip", strategy=strategy)
 
+    def count_ahead(self, queries: DataFrame, found: DataFrame, k: int, probes: int = PROBES_DEFAULT, *, query_id: str = "query_id",
+                    query_vec: str = "embedding") -> DataFrame:
+        """Add to rows that a filtered search found how many rows, of any kind, its unfiltered search would put ``ahead``."""
+        asked = self._asked(queries, query_id, query_vec, [], probes)
+        return count_ahead(self.entries(), asked, found, k, self.metric, base_id=self.id, base_vec=self.vec, query_id=query_id,
+                           query_vec="__asked", on=[("list_id", "lists")])
+
     def search_iterative(self, queries: DataFrame, k: int, probes: int = PROBES_DEFAULT,
                          max_probes: int = PROBES_MAX, *, query_id: str = "query_id", query_vec: str = "embedding",
                          on=None, where: Column | None = None, payload=(), relaxed: bool = True) -> DataFrame:

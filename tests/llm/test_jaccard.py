@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from vecspark.llm import jaccard
 from vecspark.llm.jaccard import allocate, bounds, link_components, one_of_each, signatures
 
 
@@ -64,6 +65,34 @@ def test_components(spark, k, num, den):
     assert kept == sorted(i for i, _, c in want if i is not None and i == c)
 
 
+def test_rounds_hold_open_shingles_only(spark, monkeypatch):
+    """Shingles whose members are all connected, or that a round has closed, are in no later round."""
+    draw, rows, kept = random.Random(3), [], []
+    for i in range(150):
+        # copies of one text, some of them with a passage of their own that near misses share
+        words = edits(draw, [f"g{j}" for j in range(150)], draw.choice([1, 1, 2]))
+        rows.append((i, " ".join(words[:60] + [f"p{i % 3}x{j}" for j in range(6 + i % 5)] * (i % 2) + words[60:])))
+
+    def spied(df, name, **options):
+        found = stored(df, name, **options)
+        if "key" in df.columns and "first" in df.columns:
+            kept.append((name, found[0].collect()))
+        return found
+    stored = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", spied)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, link_components(df, 3, 90, 100).collect()), key=repr) == plain(rows, 3, 90, 100)
+    tables = {name: [t for n, t in kept if n == name] for name in ("members", "open")}
+    assert len(tables["open"]) > 1 and tables["open"][0]
+    for found in tables["open"]:
+        labels = {}
+        for r in found:
+            labels.setdefault(r.key, set()).add(r.label)
+        assert all(len(x) > 1 for x in labels.values())
+    sizes = [len(t) for t in tables["members"]]
+    assert sizes[1] < len(tables["open"][0]) < sizes[0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert link_components(df, 3, 90, 100).count() == 0

@@ -251,19 +251,25 @@ def differences(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int)
 
 
 def shared_differences(apart: DataFrame) -> DataFrame:
-    """(key, id, size, most, first): members of a root by the differing shingles that others of its members share.
+    """(key, id, label, size, most, first): members of a root by the differing shingles that others of its members share.
 
     Members differ from each other by the difference of their differences from the root. Two that link either both
     link with the root, or share a shingle that lies, rarest first, in the first H / 2 + 1 of the smaller difference
     (``first``) and in the first H + 1 of the larger.
     """
-    cells = apart.select("a", "b", "most", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    cells = apart.select("a", "b", "label", "most", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     often = cells.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("a", "b")
     # shingles of one member only come first and match nothing
     place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token"))
     return (cells.join(often, ["a", "token"]).withColumn("place", place).where("place <= most + 1")
-            .select(F.xxhash64("a", "token").alias("key"), F.col("b").alias("id"), "size", "most", F.expr("place <= most DIV 2 + 1").alias("first")))
+            .select(F.xxhash64("a", "token").alias("key"), F.col("b").alias("id"), "label", "size", "most", F.expr("place <= most DIV 2 + 1").alias("first")))
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """The rows, with ``n``, of the keys whose members have different labels, ``n`` of them in front; labels only merge, so others never open again."""
+    keys = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if("first").alias("n"))
+    return members.join(keys.where("x < y AND n > 0").select("key", "n"), "key")
 
 
 def _hash(shingle: tuple) -> int:
@@ -347,21 +353,17 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     forget(spark, at)
     large, large_at = stored(open_.join(groups.where(F.col("n") > SMALL).select("a"), "a").select("a", "b"), "large")
     apart, apart_at = stored(differences(large, texts, k, num, den), "apart")
-    members, _ = stored(shared_differences(apart), "members")
+    # labels are joined per member, before its shingles
+    members, members_at = stored(shared_differences(apart.join(labels, F.col("b") == F.col("id")).drop("id")), "members")
     forget(spark, open_at, large_at, apart_at)
-    tested = tested.select("a", "b")
-    closed, pivots = None, 8
+    tested, pivots = tested.select("a", "b"), 8
     while True:
-        labelled = members.join(labels, "id")
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if("first").alias("n")).where("x < y AND n > 0").select("key", "n")
-        if closed is not None:
-            open_ = open_.where(F.col("n") > closed)
-        open_, _ = stored(open_, "open")
-        if open_.isEmpty():
+        here, here_at = stored(still_open(members), "open")
+        forget(spark, members_at)
+        if here.isEmpty():
             break
         # all members of small groups are pivots, which closes them; of larger ones as many as the round has
         closed = 4 * pivots
-        here = labelled.join(open_, "key")
         slot = F.when(F.col("n") <= closed, F.xxhash64("id", "size")).otherwise(F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots)))
         heads = here.where("first").groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("id", "label", "size", "most"), F.xxhash64("id")).alias("p")).select(
             "key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"), F.col("p.size").alias("least"), F.col("p.most").alias("room"))
@@ -369,9 +371,11 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         new, _ = stored(new, "tested")
         links, at = stored(verify(new, texts, k, num, den), "links")
         labels = merge_labels(labels, links)
-        forget(spark, at)
         tested = tested.unionByName(new)
         pivots *= 8
+        # only what the round left open is labelled anew
+        members, members_at = stored(here.where(F.col("n") > closed).drop("label", "n").join(labels, "id"), "members")
+        forget(spark, at, here_at)
     return sizes.join(labels, sizes.doc_id == labels.id, "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 

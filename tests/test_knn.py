@@ -321,3 +321,18 @@ def test_sparse_distances_are_measured_densely_where_that_is_cheaper(monkeypatch
     merged = base._exact_part(kernels.METRICS[metric], row, queries, query)
     monkeypatch.setattr(kernels.SparseBlock, "_exact_part", None)
     np.testing.assert_array_equal(base.exact(kernels.METRICS[metric], row, queries, query), merged)
+
+
+def test_keys_of_the_same_queries_are_searched_together():
+    """A probe of all lists compares a batch whole, not list by list; lists of different queries stay apart."""
+    import pyarrow as pa
+    metric = knn_module.metric_of("l2")
+    side = knn_module._QuerySide(metric, pa.table({"__keys": [[0, 1, 2], [2, 1, 0], [0, 1], [4]], "__vec": [[0.0], [5.0], None, [7.0]], "query_id": [1, 2, 3, 4]}))
+    batch = pa.RecordBatch.from_pydict({"__key": [1, 0, 2, 3, 0, 4], "__vec": [[float(i)] for i in range(6)], "id": list(range(6))})
+    found = {tuple(m.tolist()): (a.tolist(), u.tolist()) for m, a, u in side.parts(batch)}
+    assert found == {(0, 1, 4): ([0, 1], [2]), (2,): ([0, 1], []), (5,): ([3], [])}
+    state = knn_module._Nearest(metric, side, 2)
+    state.add(batch)
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    rows = state.result(schema).sort_by([("query_id", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+    assert rows.column("id").to_pylist() == [0, 1, 4, 2, 0, 1, 5] and rows.column("distance").to_pylist() == [0, 1, 1, 3, None, None, 2]

@@ -209,6 +209,9 @@ class _QuerySide:
         self.keys, self.first = np.unique(flat[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(flat)))
         self.spans = dict(zip(self.keys.tolist(), zip(self.first.tolist(), (self.first + self.count).tolist())))
+        seen = {}
+        # keys that the same queries accept have the same number
+        self.alike = {key: seen.setdefault(self.owner[a:b].tobytes(), len(seen)) for key, (a, b) in self.spans.items()}
 
     def __len__(self):
         return len(self.missing)
@@ -226,7 +229,19 @@ class _QuerySide:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.count[at], 0), self.first[at]
 
+    def parts(self, batch):
+        """Row positions of a batch with the queries that accept them, as ``of`` has them; rows of keys that the same queries accept come together."""
+        together = {}
+        for key, members in _batch_parts(batch):
+            key = _plain(key)
+            if key in self.spans:
+                together.setdefault(self.alike[key], (key, []))[1].append(members)
+        for key, members in together.values():
+            yield np.sort(np.concatenate(members)), *self.of(key)
+
     def take(self, positions):
+        if len(positions) == len(self.block) and (np.diff(positions) > 0).all():
+            return self.block
         return self.block.take(self.place[positions])
 
 
@@ -283,8 +298,7 @@ class _Nearest:
             # few queries per row: measure every pair instead of visiting key by key
             put(*self._direct(block, codes, count, first), False)
             return self._keep(carried, rows, query, rank, empty)
-        for key, members in _batch_parts(batch):
-            asked, unasked = self.side.of(_plain(key))
+        for members, asked, unasked in self.side.parts(batch):
             solid, holes = members[~missing[members]], members[missing[members]]
             if len(asked) and len(solid):
                 base = block if len(solid) == len(block) else block.take(place[solid])
@@ -393,8 +407,7 @@ class _Ahead:
         of_mark = np.zeros(self.count.shape, np.int64)
         of_mark.ravel()[self.cells] = marked
         block = kernels.block_from_arrow(self.metric, batch.column("__vec"))
-        for key, members in _batch_parts(batch):
-            asked, unasked = self.side.of(_plain(key))
+        for members, asked, unasked in self.side.parts(batch):
             if len(unasked):
                 # without a vector all distances are NULL, and ids alone decide
                 np.add.at(self.count, unasked, np.searchsorted(np.sort(ids[members]), of_mark[unasked]) * self.there[unasked])
@@ -441,7 +454,8 @@ class _Within:
                 queries, step = self.side.take(few), max(1, RANGE_PAIRS // len(few))
                 for at in range(0, len(members), step):
                     part = members[at:at + step]
-                    r, q, d = kernels.within_block(self.metric, block.take(part), queries, self.low, self.high)
+                    base = block if len(part) == len(block) else block.take(part)
+                    r, q, d = kernels.within_block(self.metric, base, queries, self.low, self.high)
                     columns = [self.side.ids.take(pa.array(few[q])), *carried.take(pa.array(part[r])).columns, pa.array(d)]
                     yield pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns],
                                    names=schema.names).cast(schema)

@@ -336,3 +336,10 @@ def test_keys_of_the_same_queries_are_searched_together():
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
     rows = state.result(schema).sort_by([("query_id", "ascending"), ("distance", "ascending"), ("id", "ascending")])
     assert rows.column("id").to_pylist() == [0, 1, 4, 2, 0, 1, 5] and rows.column("distance").to_pylist() == [0, 1, 1, 3, None, None, 2]
+
+
+def test_small_ranges_leave_a_task_together():
+    import pyarrow as pa
+    tables = [pa.table({"x": pa.array(range(n), pa.int64())}) for n in (3, 0, 4, 9, 1, 0)]
+    assert [t.column("x").to_pylist() for t in knn_module._together(tables, 6)] == [[0, 1, 2, 0, 1, 2, 3], list(range(9)), [0]]
+    assert list(knn_module._together(tables[1:2], 6)) == []

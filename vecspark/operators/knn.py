@@ -29,8 +29,9 @@ from vecspark.types import as_col
 BROADCAST_ROWS = 131_072
 BROADCAST_BYTES = 64 << 20
 KEPT_ROWS = 1 << 20
-# Pairs a task holds at once where all pairs in range are wanted, and how many queries they are of.
-RANGE_PAIRS, RANGE_QUERIES = 1 << 20, 1024
+# Pairs a task holds at once where all pairs in range are wanted, of how many queries, so that they meet a whole batch, and how
+# many rows are found before they leave the task.
+RANGE_PAIRS, RANGE_QUERIES, RANGE_ROWS = 1 << 20, 100, 10_000
 # Up to this many queries per row, pairs are measured one by one.
 DIRECT_PAIRS = 4
 # Inputs of a size between these may come in fewer pieces than there are cores, and moving them is cheap.
@@ -447,8 +448,7 @@ class _Within:
             return
         carried = pa.Table.from_batches([batch]).drop_columns(["__key", "__vec"])
         block = kernels.block_from_arrow(self.metric, batch.column("__vec"))
-        for key, members in _batch_parts(batch):
-            asked, _ = self.side.of(_plain(key))
+        for members, asked, _ in self.side.parts(batch):
             for first in range(0, len(asked), RANGE_QUERIES):
                 few = asked[first:first + RANGE_QUERIES]
                 queries, step = self.side.take(few), max(1, RANGE_PAIRS // len(few))
@@ -461,6 +461,19 @@ class _Within:
                                    names=schema.names).cast(schema)
 
 
+def _together(tables, rows: int):
+    """Small tables put together until they have ``rows`` rows."""
+    waiting, count = [], 0
+    for table in tables:
+        waiting.append(table)
+        count += table.num_rows
+        if count >= rows:
+            yield pa.concat_tables(waiting).combine_chunks()
+            waiting, count = [], 0
+    if count:
+        yield pa.concat_tables(waiting).combine_chunks()
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(schema)
@@ -481,7 +494,7 @@ def _scan(sides: _Sides, table: pa.Table, id: str, metric: Metric, schema: T.Str
             if not flush:
                 state.add(batch)
                 continue
-            for piece in state.pieces(batch, wanted):
+            for piece in _together(state.pieces(batch, wanted), RANGE_ROWS):
                 yield from piece.to_batches(max_chunksize=10_000)
         if not flush:
             yield from state.result(wanted).to_batches(max_chunksize=10_000)

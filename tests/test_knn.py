@@ -343,3 +343,28 @@ def test_small_ranges_leave_a_task_together():
     tables = [pa.table({"x": pa.array(range(n), pa.int64())}) for n in (3, 0, 4, 9, 1, 0)]
     assert [t.column("x").to_pylist() for t in knn_module._together(tables, 6)] == [[0, 1, 2, 0, 1, 2, 3], list(range(9)), [0]]
     assert list(knn_module._together(tables[1:2], 6)) == []
+
+
+@pytest.mark.parametrize("width", [1, 3, 4, 5])
+@pytest.mark.parametrize("rows, asked", [(7, 3), (3, 7), (0, 2), (200, 40)])
+def test_hamming_screen_has_small_whole_numbers(width, rows, asked):
+    rng = np.random.default_rng(width)
+    x, q = (kernels.BitBlock(rng.integers(0, 1 << 63, (n, width), dtype=np.uint64), np.full(n, 64 * width)) for n in (rows, asked))
+    x.words[:1] = ~q.words[:1]
+    rough, _, _ = x.screen(kernels.METRICS["hamming"], q, True)
+    want = np.array([[sum(int(a ^ b).bit_count() for a, b in zip(one, mine)) for mine in x.words] for one in q.words]).reshape(asked, rows)
+    assert (rough == want).all() and rough.dtype == (np.uint8 if width < 4 else np.uint16)
+    top = np.where(np.arange(asked) % 3 == 0, -1.0, np.where(np.arange(asked) % 3 == 1, 31.5, np.inf))
+    assert set(zip(*kernels._at_most(rough, top))) == set(zip(*np.nonzero(want <= top[:, None])))
+
+
+@pytest.mark.parametrize("n, k", [(10_000, 10), (100, 3), (20, 10), (333, 1)])
+def test_bound_of_the_kth_is_never_too_low(n, k):
+    rng = np.random.default_rng(n)
+    rough = rng.normal(size=(50, n)).astype(np.float32)
+    rough[3, rng.random(n) < 0.5] = np.inf
+    rough[4, 1:] = np.inf
+    bound, kth = kernels._kth_or_above(rough, k), np.sort(rough, axis=1)[:, k - 1]
+    assert (bound >= kth).all() and (rough[:3] <= bound[:3, None]).sum(axis=1).max() <= 4 * k
+    whole = rng.integers(0, 65, (50, n)).astype(np.uint8)
+    assert (kernels._kth_or_above(whole, k) >= np.sort(whole, axis=1)[:, k - 1]).all()

@@ -25,6 +25,8 @@ TILE_DIMS, TILE_STEPS, TILE_QUERIES, TILE_ROWS = 64, 1023, 16, 8192
 BOX_DIMS, BOX_QUERIES = 16, 256
 # Numbers of a sparse block laid out densely, and how many dense products cost as much as one sparse one.
 DENSE_CELLS, DENSE_FACTOR = 1 << 24, 64
+# Rows of a group whose best rank stands for it where the k-th best is bounded, and how many groups there are at least for each of the k.
+GROUP_ROWS, GROUPS_PER_ROW = 64, 8
 
 
 @dataclass(frozen=True)
@@ -277,9 +279,22 @@ class BitBlock:
     def boxed(self, metric: Metric) -> bool:
         return False
 
+    def _hamming(self, queries: BitBlock) -> np.ndarray:
+        """Distances as small whole numbers, one vector of the shorter side at a time, so that what lies between the steps stays in a cache."""
+        few, many = (queries, self) if len(queries) <= len(self) else (self, queries)
+        most = 64 * few.words.shape[1]
+        out = np.zeros((len(few), len(many)), np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+        words, gap = np.ascontiguousarray(many.words.T), np.empty(len(many), np.uint64)
+        for total, one in zip(out, few.words):
+            for mine, theirs in zip(words, one):
+                total += np.bitwise_count(np.bitwise_xor(mine, theirs, out=gap))
+        return out if few is queries else np.ascontiguousarray(out.T)
+
     def screen(self, metric: Metric, queries: BitBlock, coarse: bool = False):
         shape = (len(queries), len(self))
         zero = np.zeros(len(queries))
+        if metric.name == "hamming":
+            return self._hamming(queries), zero, zero
         return (self._distance(metric, shape, lambda w: (queries.words[:, w, None], self.words[None, :, w])), zero, zero)
 
     def exact(self, metric: Metric, rows, queries: BitBlock, qrows):
@@ -515,13 +530,33 @@ def in_boxes(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def _at_most(rough: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ranks up to ``top`` per query; for float ranks that is rounded up."""
+    """Places of the ranks up to ``top`` per query; for float ranks that is rounded up, for whole ones down."""
+    if rough.dtype.kind == "u":
+        some = np.flatnonzero(top >= 0)
+        whole = np.minimum(np.floor(top[some]), np.iinfo(rough.dtype).max).astype(rough.dtype)
+        query, row = _places((rough if len(some) == len(rough) else rough[some]) <= whole[:, None])
+        return some[query], row
     if rough.dtype == np.float32:
         with np.errstate(over="ignore"):
             top = np.nextafter(top.astype(np.float32), np.float32(np.inf))
     return _places(rough <= top[:, None])
 
 
+def _kth_or_above(rough: np.ndarray, k: int) -> np.ndarray:
+    """Per query its k-th best rank, or one a little above: the k-th best of the best ranks of groups of rows, of which each has its own row."""
+    m, n = rough.shape
+    size = min(GROUP_ROWS, n // (GROUPS_PER_ROW * k))
+    if size < 2:
+        return np.partition(rough, k - 1, axis=1)[:, k - 1]
+    best = rough[:, :n // size * size].reshape(m, size, n // size).min(axis=1)
+    out = np.partition(best, k - 1, axis=1)[:, k - 1].astype(np.float64)
+    # NaN is no bound, and infinity none that leaves rows out
+    lost = ~np.isfinite(out)
+    if lost.any():
+        out[lost] = np.partition(rough[lost], k - 1, axis=1)[:, k - 1]
+    return out
+
+
 def nearest_in_block(metric: Metric, base, codes, queries, k: int, limit=None):
     """Pairs ``(row, query, rank)`` holding, per query, its k nearest rows of the block, nearest first.
 
@@ -565,7 +600,7 @@ def _nearest_of(metric: Metric, base, codes, queries, k: int, limit):
     if n > k and open_ended.any():
         # the k-th best of the block bounds what is wanted of it
         cut = cut.copy()
-        cut[open_ended] = np.partition(rough if open_ended.all() else rough[open_ended], k - 1, axis=1)[:, k - 1]
+        cut[open_ended] = _kth_or_above(rough if open_ended.all() else rough[open_ended], k)
     far = np.abs(cut) + np.abs(constant) > FLOAT_MAX / 8  # ranks this large become infinite and tie
     qrow, row = _at_most(rough, np.where(far, np.inf, cut + 2 * slack))
     rank = base.exact(metric, row, queries, qrow)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vecspark.functions.bits import binary_quantize
 from vecspark.functions.half import to_half
-from vecspark.operators.knn import distance, knn_join, take_nearest
+from vecspark.operators.knn import _spread, distance, knn_join, take_nearest
 from vecspark.session import materialize
 
 
@@ -32,8 +32,9 @@ def quantized_knn(base: DataFrame, queries: DataFrame, k: int, candidates: int,
 
     The first phase shuffles ids and Hamming distances only; vectors are fetched for its survivors.
     """
-    coarse = knn_join(base.withColumn("__bits", binary_quantize(base_vec)),
-                      queries.withColumn("__bits", binary_quantize(query_vec)), candidates, "hamming",
+    # many candidates take many rounds, which all read the bits
+    bits = materialize(_spread(base.select(base_id, binary_quantize(base_vec).alias("__bits")), base_id), "bits")
+    coarse = knn_join(bits, queries.withColumn("__bits", binary_quantize(query_vec)), candidates, "hamming",
                       base_id=base_id, base_vec="__bits", query_id=query_id, query_vec="__bits", nulls="skip")
     coarse = materialize(coarse.select(query_id, base_id), "coarse")
     return rerank(coarse, queries, k, metric, base_id=base_id, base_vec=base_vec, query_id=query_id,

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecspark.llm import jaccard
 from vecspark.llm.jaccard import allocate, bounds, link_components, one_of_each, signatures
+from vecspark.session import path_exists
 
 
 def plain(rows, k, num, den):
@@ -93,6 +95,78 @@ def test_rounds_hold_open_shingles_only(spark, monkeypatch):
     assert sizes[1] < len(tables["open"][0]) < sizes[0]
 
 
+def near_misses(n=120):
+    """Texts that share a passage and are otherwise their own; every tenth has a near copy."""
+    draw, rows = random.Random(8), []
+    for i in range(n):
+        words = [f"{draw.choice('abcdef')}{draw.randrange(90)}" for _ in range(60)] + [f"s{j}" for j in range(80)]
+        rows.append((len(rows), " ".join(words)))
+        if i % 10 == 0:
+            rows.append((len(rows), " ".join(edits(draw, words, 1))))
+    return rows
+
+
+def test_texts_of_pairs_that_differ_too_much_stay(spark, monkeypatch):
+    """Only pairs that may link have their texts sent, and no scratch table but the result stays."""
+    sent, verify = [], jaccard.verify
+
+    def spied(pairs, *rest):
+        sent.append(pairs.count())
+        return verify(pairs, *rest)
+    monkeypatch.setattr(jaccard, "verify", spied)
+    rows, paths, stored = near_misses(), {}, jaccard.stored
+
+    def kept(df, name, **options):
+        found = stored(df, name, **options)
+        paths.setdefault(name, []).append(found[1])
+        return found
+    monkeypatch.setattr(jaccard, "stored", kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, link_components(df, 5, 80, 100).collect()), key=repr) == plain(rows, 5, 80, 100)
+    assert 0 < sum(sent) <= 24
+    assert not any(path_exists(spark, path) for name in ("edges", "texts", "tested", "links", "members") for path in paths[name])
+
+
+@pytest.mark.parametrize("counters", [1 << 22, 1])
+def test_rounds_and_counters_lose_no_link(spark, monkeypatch, counters):
+    """Pairs in several rounds, and shingles put in any order, give the same components."""
+    def parts(pairs, texts):
+        return [(pairs.where(f"pmod(xxhash64(a), 3) = {i}"), texts) for i in range(3)]
+    monkeypatch.setattr(jaccard, "in_rounds", parts)
+    monkeypatch.setattr(jaccard, "MOST_COUNTERS", counters)
+    rows = near_misses(90)
+    draw = random.Random(4)
+    rows += [(len(rows) + i, " ".join(edits(draw, [f"g{j}" for j in range(150)], draw.choice([1, 8, 16])))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, link_components(df, 5, 80, 100).collect()), key=repr) == plain(rows, 5, 80, 100)
+
+
+def test_rounds_hold_as_many_pairs_as_texts(spark):
+    pairs = spark.range(100).selectExpr("id % 40 AS a", "id AS b")
+    texts = spark.range(30).selectExpr("id AS doc_id", "'x' AS text")
+    found = jaccard.in_rounds(pairs, texts)
+    assert len(found) == 4 and sorted(r for part, _ in found for r in map(tuple, part.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_sketches_never_differ_by_more_than_sets(spark):
+    draw, sets = random.Random(5), []
+    for n in [1, 2, 5, 31, 33, 120, 700, 3000]:
+        words = [f"{draw.choice('abc')}{draw.randrange(10**6)}" for _ in range(n)]
+        sets += [words, edits(draw, words, n // 20 + 1), words[:n // 2 + 1], words * 2]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(sets)], "doc_id long, text string")
+    found = sorted(map(tuple, jaccard.sketches(rows, 3).collect()))
+    shingles = [set(zip(w, w[1:], w[2:])) if len(w) > 2 else {tuple(w)} for w in sets]
+    assert [(i, n) for i, n, _ in found] == [(i, len(s)) for i, s in enumerate(shingles)]
+    a, b = zip(*((x, y) for x in range(len(sets)) for y in range(len(sets))))
+    bits = pa.array([bytes(f[2]) for f in found])
+    least = jaccard.least_differences(bits.take(pa.array(a)), bits.take(pa.array(b)))
+    true = np.array([len(shingles[x] ^ shingles[y]) for x, y in zip(a, b)])
+    assert (least <= true).all() and (least[true == 0] == 0).all()
+    assert true[28 * len(sets) + 29] // 2 < least[28 * len(sets) + 29]
+    some = slice(7, 40)
+    assert (jaccard.least_differences(bits.take(pa.array(a))[some], bits.take(pa.array(b))[some]) == least[some]).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert link_components(df, 3, 90, 100).count() == 0

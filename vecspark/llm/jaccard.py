@@ -14,7 +14,10 @@ same.
 Each task combines equal signatures of its batch to a representative before the
 shuffle, so a signature of very many copies leaves a task once. Each member of a
 signature is compared, on the words themselves, with the signature's first
-document, its root: one pair per member, unless their sizes rule a link out.
+document, its root: one pair per member, unless their sketches rule a link out.
+A sketch has one bit per hash of a shingle, set where an odd number of shingles
+fall on it; two sketches differ in no more bits than the sets do in shingles,
+so no link is ruled out, and few texts travel that don't link.
 Linked documents get a common label. Members that don't link with the root may
 still link with each other. Of a root whose members have different labels, up to
 ``SMALL`` members are compared with each other. Of more, the shingles by which
@@ -23,7 +26,10 @@ two that link differ from the root share one of the rarest few
 whose members have different labels are compared further, with eight times as
 many pivots each round, until all such pairs have been compared. No link between
 components is lost, and large groups of near copies, or near misses, cost a
-pass, not a square. Tables are dropped after their last reader.
+pass, not a square. Rarity is an order by counts in a table of bounded size,
+so shingles are counted and picked where they lie. Texts travel beside pairs in
+rounds of about as many pairs as there are texts. Tables are dropped after
+their last reader.
 
 Defined cases: documents without words have no shingles and link with nothing;
 fewer words than a shingle are one shingle; a null doc_id links with nothing
@@ -35,7 +41,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -43,12 +49,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vecspark.llm import bloom
-from vecspark.llm.common import ascii_lower, bounded_batches, forget, shuffle_partitions, stored, words
+from vecspark.llm.common import CLEAN_UP, ascii_lower, bounded_batches, forget, settings, shuffle_partitions, stored, words
 
 SPACES = b" \t\n\x0b\x0c\r"
 MOST_DELETION_SEGMENTS = 6
 #: Members of one root that are compared each with each.
 SMALL = 24
+#: Most counters that put shingles in order of rarity.
+MOST_COUNTERS = 1 << 22
 
 
 @lru_cache(maxsize=None)
@@ -210,7 +218,7 @@ _TO_SPACE = bytes(32 if i in SPACES else i for i in range(256))
 def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "ta", "tb")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -228,26 +236,132 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return _joined(pairs, texts).mapInArrow(check, "a long, b long").distinct()
 
 
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(id, size, bits) of every row: the number of its shingles, and two bits or more per shingle, flipped by each one's hash."""
+    def flip(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            sizes = np.diff(offsets).astype(np.int64)
+            h = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].view(np.uint64)
+            width = np.int64(1) << np.ceil(np.log2(np.maximum(sizes * 2, 64) / 64)).astype(np.int64)
+            first, doc = np.concatenate([[0], np.cumsum(width)]), np.repeat(np.arange(len(sizes)), sizes)
+            at = (h & (width[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+            bits = np.zeros(first[-1], dtype=np.uint64)
+            np.bitwise_xor.at(bits, first[doc] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(bits)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), packed], names=["id", "size", "bits"])
+
+    return shingle_hashes(texts, k).mapInArrow(flip, "id long, size long, bits binary")
+
+
+def least_differences(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many shingles the sets behind two sketches differ by at least; the larger sketch is folded to the smaller one's width."""
+    def parts(x):
+        x = x.cast(pa.large_binary())
+        offsets = np.frombuffer(x.buffers()[1], dtype=np.int64)[x.offset:x.offset + len(x) + 1]
+        return np.frombuffer(x.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]].view(np.uint64), (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+
+    (u, at_u, width_u), (v, at_v, width_v) = parts(a), parts(b)
+    out = np.zeros(len(a), dtype=np.int64)
+    for x, y in np.unique(np.stack([width_u, width_v], axis=1), axis=0):
+        rows, width = np.flatnonzero((width_u == x) & (width_v == y)), min(x, y)
+        left, right = (np.bitwise_xor.reduce(words_[at[rows][:, None] + np.arange(w)].reshape(len(rows), w // width, width), axis=1)
+                       for words_, at, w in ((u, at_u, x), (v, at_v, y)))
+        out[rows] = np.bitwise_count(left ^ right).sum(axis=1)
+    return out
+
+
+def possible(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link: all but those whose sketches differ too much for it."""
+    def check(batches):
+        for batch in batches:
+            if len(batch):
+                a, b, size_a, size_b, bits_a, bits_b = batch.columns
+                may = (den + num) * least_differences(bits_a, bits_b) <= (den - num) * (size_a.to_numpy() + size_b.to_numpy())
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(may))
+
+    side = lambda x: sketched.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+            .mapInArrow(check, "a long, b long").distinct())
+
+
+def among(table: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of ``table`` whose id is in ``ids`` and few others, found by a Bloom filter."""
+    listed = table.sparkSession.sparkContext.broadcast(bloom.build(ids.select(F.xxhash64(ids.columns[0]).alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def might(h: pd.Series) -> pd.Series:
+        return pd.Series(listed.value.might_contain(h.to_numpy(dtype=np.int64)))
+
+    return table.withColumn("h", F.xxhash64(column)).where(might("h")).drop("h")
+
+
+def in_rounds(pairs: DataFrame, texts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The pairs in parts by their ``a``, each about as many as there are texts, with the texts that the part needs."""
+    parts = max(1, -(-pairs.count() // max(1, texts.count())))
+    some = [pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [pairs]
+    return [(part, among(texts, part.select(F.explode(F.array("a", "b"))))) for part in some]
+
+
+def linked(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """The pairs that link, and the tables they lie in; texts of pairs that their sketches rule out stay where they are."""
+    close, at = stored(possible(pairs, sketched, num, den), "close")
+    found = [stored(verify(part, near, k, num, den), "links") for part, near in in_rounds(close, texts)]
+    forget(pairs.sparkSession, at)
+    return reduce(DataFrame.unionByName, [links for links, _ in found]), [path for _, path in found]
+
+
 def differences(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked, most, tokens): pairs of a root a and a member b, verified, with the shingles in which they differ.
+    """(a, b, label, most, tokens): pairs of a root a and a member b with the member's label, and the shingles in which they differ.
 
     ``most`` bounds how many shingles b and any set that links with it differ by.
     """
     def check(batches):
         for batch in batches:
-            a, b, ta, tb = batch.columns
-            linked, most, tokens = [], [], []
+            a, b, label, ta, tb = batch.columns
+            most, tokens = [], []
             for x, y in zip(ta.to_pylist(), tb.to_pylist()):
                 x, y = _shingles(x or "", k), _shingles(y or "", k)
-                both = len(x & y)
-                linked.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
                 most.append((den - num) * (len(y) + len(y) * den // num) // (den + num))
                 tokens.append([_hash(t) for t in x ^ y])
             yield pa.RecordBatch.from_arrays(
-                [a, b, pa.array(linked, pa.bool_()), pa.array(most, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["a", "b", "linked", "most", "tokens"])
+                [a, b, label, pa.array(most, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["a", "b", "label", "most", "tokens"])
+
+    return _joined(pairs, texts).mapInArrow(check, "a long, b long, label long, most long, tokens array<long>")
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, rows, keys) of the tokens of a batch (a, ..., tokens): how many a row has, whose each is, and its key among the members of that root."""
+    lists = batch.column(batch.schema.get_field_index("tokens"))
+    offsets = lists.offsets.to_numpy()
+    sizes = np.diff(offsets).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    tokens = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].view(np.uint64)
+    return sizes, row, _mix(tokens ^ _mix(batch.column(0).to_numpy().view(np.uint64))[row])
+
+
+def rarity(apart: DataFrame) -> np.ndarray:
+    """Counters of the differing shingles by the low bits of their keys: never less than the members that share a shingle."""
+    cells, counters = apart.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0], 1 << 10
+    while counters < min(2 * cells, MOST_COUNTERS):
+        counters *= 2
+
+    def count(batches):
+        seen = np.zeros(counters, dtype=np.int64)
+        for batch in batches:
+            keys = _keys(batch)[2]
+            seen += np.bincount((keys & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+        used = np.flatnonzero(seen)
+        for i in range(0, len(used), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(used[i:i + (1 << 16)]), pa.array(seen[used[i:i + (1 << 16)]])], names=["slot", "n"])
 
-    return _joined(pairs, texts).mapInArrow(check, "a long, b long, linked boolean, most long, tokens array<long>")
+    with settings(apart.sparkSession, {CLEAN_UP: "true"}):
+        rows = apart.select("a", "tokens").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).select(
+            F.col("slot").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(counters, dtype=np.int32)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
 def shared_differences(apart: DataFrame) -> DataFrame:
@@ -255,15 +369,27 @@ def shared_differences(apart: DataFrame) -> DataFrame:
 
     Members differ from each other by the difference of their differences from the root. Two that link either both
     link with the root, or share a shingle that lies, rarest first, in the first H / 2 + 1 of the smaller difference
-    (``first``) and in the first H + 1 of the larger.
+    (``first``) and in the first H + 1 of the larger. Any order that all members of a root follow will do, so counters
+    that shingles share cost comparisons, never a link.
     """
-    cells = apart.select("a", "b", "label", "most", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    often = cells.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1")
-    own = Window.partitionBy("a", "b")
-    # shingles of one member only come first and match nothing
-    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token"))
-    return (cells.join(often, ["a", "token"]).withColumn("place", place).where("place <= most + 1")
-            .select(F.xxhash64("a", "token").alias("key"), F.col("b").alias("id"), "label", "size", "most", F.expr("place <= most DIV 2 + 1").alias("first")))
+    counts = apart.sparkSession.sparkContext.broadcast(rarity(apart))
+
+    def pick(batches):
+        for batch in batches:
+            sizes, row, keys = _keys(batch)
+            often = counts.value[(keys & np.uint64(len(counts.value) - 1)).astype(np.int64)]
+            order = np.lexsort((keys, often, row))
+            row, keys, often = row[order], keys[order], often[order]
+            most = batch.column(3).to_numpy()
+            # shingles of one member only come first and match nothing
+            place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] + 1
+            kept = (place <= most[row] + 1) & (often > 1)
+            row, keys, place = row[kept], keys[kept], place[kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(sizes[row]),
+                 pa.array(most[row]), pa.array(place <= most[row] // 2 + 1)], names=["key", "id", "label", "size", "most", "first"])
+
+    return apart.select("a", "b", "label", "most", "tokens").mapInArrow(pick, "key long, id long, label long, size long, most long, first boolean")
 
 
 def still_open(members: DataFrame) -> DataFrame:
@@ -311,24 +437,19 @@ def link_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     with bounded_batches(spark):
-        return stored(_components(docs, k, num, den), "jaccard")[0]
+        return _components(docs, k, num, den)
 
 
 def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
-    edges, _ = stored(candidates(docs, k, num, den), "edges")
+    edges, edges_at = stored(candidates(docs, k, num, den), "edges")
     sizes = edges.where("key IS NULL").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     edges = edges.where("key IS NOT NULL AND a <> b")
-    nodes, _ = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    listed = spark.sparkContext.broadcast(bloom.build(nodes.select(F.xxhash64("id").alias("h")), "h"))
-
-    @F.pandas_udf("boolean")
-    def possible(h: pd.Series) -> pd.Series:
-        return pd.Series(listed.value.might_contain(h.to_numpy(dtype=np.int64)))
-
+    nodes, nodes_at = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
     # only texts of candidates are kept and shuffled
-    wanted = docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).where(possible("h")).drop("h")
-    texts, _ = stored(wanted.join(nodes, F.col("doc_id") == F.col("id"), "left_semi"), "texts", compression="zstd")
+    wanted = among(docs.where("doc_id IS NOT NULL"), nodes)
+    texts, texts_at = stored(wanted.join(nodes, F.col("doc_id") == F.col("id"), "left_semi"), "texts", compression="zstd")
+    sketched, sketched_at = stored(sketches(texts, k), "sketches")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # a signature's members against its root: one pair each
@@ -339,24 +460,29 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     pairs = members.join(roots, "key").where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
     fits = lambda x, y: den * F.least(f"high{x}", f"high{y}") >= num * F.greatest(f"low{x}", f"low{y}")
     sized = lambda x: n.select(F.col("doc_id").alias(x), F.col("low").alias(f"low{x}"), F.col("high").alias(f"high{x}"))
-    tested, _ = stored(pairs.join(sized("a"), "a").join(sized("b"), "b"), "tested")
-    links, at = stored(verify(tested.where(fits("a", "b")).select("a", "b"), texts, k, num, den), "links")
+    tested, tested_at = stored(pairs.join(sized("a"), "a").join(sized("b"), "b"), "tested")
+    links, at = linked(tested.where(fits("a", "b")).select("a", "b"), sketched, texts, k, num, den)
     labels = merge_labels(nodes.select("id", F.col("id").alias("label")), links)
-    forget(spark, at)
+    forget(spark, *at)
     # roots with members of different components, which may still link with each other
     open_, open_at = stored(tested.join(labels, F.col("b") == F.col("id")).select("a", "b", F.col("lowb").alias("low"), F.col("highb").alias("high"), "label"), "open")
     groups = open_.groupBy("a").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("a", "n")
     left, right = (open_.join(groups.where(F.col("n") <= SMALL), "a").select("a", *(F.col(c).alias(f"{c}{i}") for c in ("b", "low", "high", "label"))) for i in "12")
     each = left.join(right, "a").where((F.col("b1") < F.col("b2")) & (F.col("label1") != F.col("label2")) & fits(1, 2)).select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
-    links, at = stored(verify(each, texts, k, num, den), "links")
+    links, at = linked(each, sketched, texts, k, num, den)
     labels = merge_labels(labels, links)
-    forget(spark, at)
-    large, large_at = stored(open_.join(groups.where(F.col("n") > SMALL).select("a"), "a").select("a", "b"), "large")
-    apart, apart_at = stored(differences(large, texts, k, num, den), "apart")
+    forget(spark, *at)
     # labels are joined per member, before its shingles
-    members, members_at = stored(shared_differences(apart.join(labels, F.col("b") == F.col("id")).drop("id")), "members")
-    forget(spark, open_at, large_at, apart_at)
-    tested, pivots = tested.select("a", "b"), 8
+    large, large_at = stored(open_.join(groups.where(F.col("n") > SMALL).select("a"), "a").select("a", "b").join(
+        labels, F.col("b") == F.col("id")).select("a", "b", "label"), "large")
+    shared = []
+    for part, near in in_rounds(large, texts):
+        apart, apart_at = stored(differences(part, near, k, num, den), "apart")
+        shared.append(stored(shared_differences(apart), "shared"))
+        forget(spark, apart_at)
+    members, members_at = stored(reduce(DataFrame.unionByName, [part for part, _ in shared]), "members")
+    forget(spark, open_at, large_at, *(path for _, path in shared))
+    tested, tables, pivots = tested.select("a", "b"), [edges_at, nodes_at, texts_at, sketched_at, tested_at], 8
     while True:
         here, here_at = stored(still_open(members), "open")
         forget(spark, members_at)
@@ -368,16 +494,19 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         heads = here.where("first").groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("id", "label", "size", "most"), F.xxhash64("id")).alias("p")).select(
             "key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"), F.col("p.size").alias("least"), F.col("p.most").alias("room"))
         new = (here.join(heads, "key").where("label <> of AND size >= least AND size - least <= greatest(most, room)").select(*pair("pivot", "id")).distinct().join(tested, ["a", "b"], "left_anti"))
-        new, _ = stored(new, "tested")
-        links, at = stored(verify(new, texts, k, num, den), "links")
+        new, new_at = stored(new, "tested")
+        tables.append(new_at)
+        links, at = linked(new, sketched, texts, k, num, den)
         labels = merge_labels(labels, links)
         tested = tested.unionByName(new)
         pivots *= 8
         # only what the round left open is labelled anew
         members, members_at = stored(here.where(F.col("n") > closed).drop("label", "n").join(labels, "id"), "members")
-        forget(spark, at, here_at)
-    return sizes.join(labels, sizes.doc_id == labels.id, "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+        forget(spark, *at, here_at)
+    found, _ = stored(sizes.join(labels, sizes.doc_id == labels.id, "left").select(
+        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")), "jaccard")
+    forget(spark, *tables, here_at)
+    return found
 
 
 def one_of_each(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -3,11 +3,13 @@
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vecspark.functions import bits
 from vecspark.operators.evaluate import recall, sweep
+from vecspark.operators.kernels import metric_of
 from vecspark.operators.knn import knn_join
 from vecspark.plans.ivf import IvfIndex, train_centers, training_sample
 from vecspark.session import scratch_path
@@ -281,3 +283,36 @@ def test_worst_ratios_in_blocks(spark, embeddings, monkeypatch):
     sizes = {r.list_id: r.mean_distance for r in index.list_sizes().collect()}
     worst = [max((sizes[i] + sizes[j]) / np.linalg.norm(index.centers[i] - index.centers[j]) for j in sizes if j != i) for i in sizes]
     assert whole == pytest.approx(np.mean(worst))
+
+
+def test_nearest_list_bounds_the_others(spark, monkeypatch):
+    """In few dimensions the nearest list is searched first, and the rows stay those of an exact join: with ties, repeated ids, far rows and short lists."""
+    from vecspark.plans import ivf
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in draw.integers(0, 9, 3)], i % 7) for i in range(900)]
+    rows += [(i + 900, [1e18, 1.0, 1.0], 0) for i in range(3)] + [(950, None, 1)]
+    asked = [(i, [float(x) for x in draw.random(3) * 9]) for i in range(40)] + [(3, [8.0, 8.0, 8.0]), (None, [1.0, 2.0, 3.0]), (70, None)]
+    base = spark.createDataFrame(rows, "id int, embedding array<float>, label int")
+    queries = spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    seen, join = [], ivf.knn_join
+    monkeypatch.setattr(ivf, "knn_join", lambda b, q, *a, **c: seen.append(q) or join(b, q, *a, **c))
+    index = IvfIndex.build(base, "l2", 6)
+    for where, k in ((None, 5), (F.col("label") == 2, 60), (F.col("id") >= 899, 3)):
+        kept = base if where is None else base.filter(where)
+        found = index.search(queries, k, 6, where=where)
+        want = knn_join(kept, queries.filter("embedding IS NOT NULL"), k, nulls="skip")
+        columns = ["query_id", "id", "distance", "rank"]
+        assert sorted(map(repr, found.filter("query_id IS NULL OR query_id <> 70").select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+    limits = [q.filter("__asked IS NOT NULL AND __limit IS NOT NULL").count() for q in seen if "__limit" in q.columns]
+    assert len(limits) == 3 and limits[0] == 42
+
+
+def test_rows_beyond_a_limit_are_not_kept():
+    from vecspark.operators.knn import _Nearest, _QuerySide
+    vectors = pa.array([[1.0, 0.0], [2.0, 0.0], [3.0, 0.0]], pa.list_(pa.float32()))
+    side = _QuerySide(metric_of("l2"), pa.table({"__keys": [[0], [0]], "__vec": pa.array([[0.0, 0.0], [0.0, 0.0]], pa.list_(pa.float32())),
+                                                 "query_id": [1, 2], "__limit": pa.array([2.0, None], pa.float64())}))
+    state = _Nearest(metric_of("l2"), side, 3)
+    state.add(pa.RecordBatch.from_arrays([pa.array([0, 0, 0]), vectors, pa.array([7, 8, 9])], names=["__key", "__vec", "id"]))
+    out = state.result(pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]))
+    assert sorted(zip(out["query_id"].to_pylist(), out["id"].to_pylist())) == [(1, 7), (1, 8), (2, 7), (2, 8), (2, 9)]

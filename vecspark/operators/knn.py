@@ -39,6 +39,9 @@ SPREAD_BYTES = (2 << 20, 512 << 20)
 # Distinct key values up to these numbers become a literal filter on the base scan: whole numbers, and others.
 LITERAL_NUMBERS, LITERAL_KEYS = 1 << 16, 2000
 
+# A column of queries with a distance beyond which no row matters, NULL where there is none.
+LIMIT = "__limit"
+
 DISTANCES = {
     "l2": dense.l2_distance, "ip": dense.negative_inner_product, "cosine": dense.cosine_distance,
     "l1": dense.l1_distance, "hamming": bits.hamming_distance, "jaccard": bits.jaccard_distance,
@@ -277,6 +280,11 @@ class _Nearest:
     def __init__(self, metric: Metric, side: _QuerySide, k: int):
         self.metric, self.side, self.k = metric, side, k
         self.limit = np.full(len(side), np.inf)
+        if LIMIT in side.table.column_names:
+            far = side.table.column(LIMIT).to_numpy()
+            with np.errstate(over="ignore"):
+                rank = far * np.abs(far) if metric.name.endswith("l2") else far
+                self.limit = np.where(np.isnan(far), np.inf, rank + np.abs(rank) * 1e-12 + np.finfo(float).tiny)
         self.parts, self.waiting = [], 0
 
     def add(self, batch: pa.RecordBatch):
@@ -547,9 +555,9 @@ def query_blocks(right: DataFrame, query_id: str, keyed: bool, rows: int = BROAD
 
 
 def _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, payload, nulls, strategy, make, flush, reduce,
-          block_rows):
+          block_rows, along=()):
     metric = metric_of(metric)
-    sides = _Sides(base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls)
+    sides = _Sides(base, queries, base_id, base_vec, query_id, query_vec, on, payload, nulls, along)
     schema = _candidate_schema(base, queries, base_id, query_id, payload)
     if strategy not in ("auto", "broadcast", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -575,7 +583,8 @@ def _nearest(base, queries, k, metric, base_id, base_vec, query_id, query_vec, o
     if k < 1:
         raise ValueError("k must be at least 1")
     return _meet(base, queries, metric, base_id, base_vec, query_id, query_vec, on, list(payload), nulls, strategy,
-                 lambda metric, side: _Nearest(metric, side, k), False, reduce, block_rows or block_rows_for(k))
+                 lambda metric, side: _Nearest(metric, side, k), False, reduce, block_rows or block_rows_for(k),
+                 [LIMIT] if LIMIT in queries.columns else [])
 
 
 def knn_candidates(base: DataFrame, queries: DataFrame, k: int, metric="l2", *, base_id="id", base_vec="embedding",
@@ -595,6 +604,7 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric="l2", *, base_i
     ``("base_col", "query_col")``. NULL vectors rank last, or are left out with
     ``nulls="skip"``; ties go to the lower id. Queries beyond ``block_rows`` (by default
     up to 131,072, fewer for a large ``k``) or 64 MB are answered in rounds, which run when this is called.
+    A column ``__limit`` of the queries holds a distance that at least ``k`` rows of the query id are known not to exceed.
     """
     return _nearest(base, queries, k, metric, base_id, base_vec, query_id, query_vec, on, payload, nulls, strategy, block_rows,
                     lambda found: take_nearest(found, k, [query_id], base_id))
